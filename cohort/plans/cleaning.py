@@ -95,3 +95,148 @@ def q_fair_docs(spark, sf):
         F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("p"), "lang")
     pos = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     return rounded(fair.group_rates(j, "y", "p", ["lang"], positive=pos))
+
+
+# ---------------------------------------------------------------- projections P3-P16
+
+from ..functions import expressions as X  # noqa: E402
+from ..operators import clean as C  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+@query("flags_threshold_truthy", f"""
+SELECT doc_id, CAST(coalesce(lower(CAST(quality AS VARCHAR)) IN ('yes', '1', 'true'), false) AS INT) AS quality_flag,
+       CAST(coalesce(toxic > 0, false) AS INT) AS toxic_flag
+FROM labels""")
+def q_flags(spark, sf):
+    lab = table(spark, sf, "labels")
+    return lab.select("doc_id", X.truthy_flag("quality").alias("quality_flag"),
+                      X.threshold_flag("toxic", 0).alias("toxic_flag"))
+
+
+@query("clip_keeps_null", with_records(select="""
+SELECT row_id, CASE WHEN "ParentalEducation" IS NULL THEN NULL WHEN "ParentalEducation" > 2.5 THEN 2.5
+                    WHEN "ParentalEducation" < 0.5 THEN 0.5 ELSE "ParentalEducation" END AS pe_clipped,
+       CASE WHEN "StudyTimeWeekly" > 40.0 THEN 40.0 WHEN "StudyTimeWeekly" < 1.0 THEN 1.0 ELSE "StudyTimeWeekly" END AS study_clipped
+FROM records"""))
+def q_clip(spark, sf):
+    r = records(spark, sf)
+    return r.select("row_id", X.clip("ParentalEducation", 0.5, 2.5).alias("pe_clipped"),
+                    X.clip("StudyTimeWeekly", 1.0, 40.0).alias("study_clipped"))
+
+
+@query("right_closed_bins_orders", f"""
+SELECT o_orderkey, {grade_bins('o_totalprice / 100000.0')} AS price_class FROM orders""")
+def q_bins(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", X.grade_class(F.col("o_totalprice") / 100000.0).alias("price_class"))
+
+
+@query("fill_nulls_constant", with_records(select="""
+SELECT row_id, coalesce("ParentalEducation", 0.0) AS "ParentalEducation", coalesce("InternetAccess", 0) AS "InternetAccess"
+FROM records"""))
+def q_fill(spark, sf):
+    r = records(spark, sf).select("row_id", "ParentalEducation", "InternetAccess")
+    return C.fill_constant(r, 0)
+
+
+@query("interaction_features", with_records(PREPARED, select=f"""
+SELECT row_id, {r6('"TechSynergy"')} AS "TechSynergy", {r6('"SelfDriven"')} AS "SelfDriven",
+       {r6('"SupportIndex"')} AS "SupportIndex", {r6('"BalancedLife"')} AS "BalancedLife",
+       {r6('"AbsenceRisk"')} AS "AbsenceRisk"
+FROM featured"""))
+def q_features(spark, sf):
+    return rounded(prepared_records(spark, sf).select("row_id", "TechSynergy", "SelfDriven", "SupportIndex",
+                                                      "BalancedLife", "AbsenceRisk"))
+
+
+@query("round_class_half_even", with_records(select="""
+SELECT row_id, CAST(round_even("GPA", 0) AS INT) AS gpa_class, CAST(round_even("StudyTimeWeekly" / 2, 0) AS INT) AS half_study
+FROM records"""))
+def q_round(spark, sf):
+    r = records(spark, sf)
+    return r.select("row_id", X.round_class("GPA").alias("gpa_class"),
+                    X.round_class(F.col("StudyTimeWeekly") / 2).alias("half_study"))
+
+
+@query("grade_letters", with_records(select="""
+SELECT coalesce(CASE "GradeClass" WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'F' END, 'Unknown') AS letter,
+       count(*) AS n
+FROM records GROUP BY 1"""))
+def q_letters(spark, sf):
+    r = records(spark, sf)
+    return r.groupBy(X.grade_letter("GradeClass").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("align_model_columns", with_records(select="""
+SELECT "GPA", 0 AS "Missing_A", "Absences", 0 AS "Missing_B" FROM records"""))
+def q_align(spark, sf):
+    return C.align_to_columns(records(spark, sf), ["GPA", "Missing_A", "Absences", "Missing_B"], 0)
+
+
+@query("label_encode_brand", """
+SELECT p_partkey, p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS p_brand_code FROM part""")
+def q_label(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    return C.label_encode(p, "p_brand", "p_brand_code").select("p_partkey", "p_brand", "p_brand_code")
+
+
+@query("recommendation_rules", with_records(select="""
+SELECT row_id, CASE WHEN "GradeClass" / 4.0 > 0.5 THEN concat_ws('; ', 'High Risk of Failure.',
+         CASE WHEN "Absences" > 10 THEN 'Critical: Reduce absences immediately. Aim for < 5.' END,
+         CASE WHEN "StudyTimeWeekly" < 5 THEN 'Action: Increase study time to at least 8-10 hours/week.' END,
+         CASE WHEN "InternetAccess" = 0 THEN 'Support: Provide access to school computer lab or hotspot.' END)
+       ELSE concat_ws('; ', 'Student is on track.',
+         CASE WHEN "GradeClass" > 0 THEN 'To improve further, focus on consistent study habits.' END) END AS advice
+FROM records"""))
+def q_advice(spark, sf):
+    r = records(spark, sf)
+    adv = X.recommendations(F.col("GradeClass") / 4.0, "Absences", "StudyTimeWeekly", "InternetAccess", "GradeClass")
+    return r.select("row_id", F.array_join(adv, "; ").alias("advice"))
+
+
+# ---------------------------------------------------------------- relational R1, R7-R13
+
+@query("risk_filter", with_records(select="""
+SELECT row_id, "GradeClass", "Gender", "InternetAccess" FROM records
+WHERE "GradeClass" >= 3 AND "Gender" IN (0, 1) AND "InternetAccess" IN (1)"""))
+def q_risk(spark, sf):
+    return C.risk_filter(records(spark, sf), "GradeClass", 3, {"Gender": [0, 1], "InternetAccess": [1]},
+                         ["row_id", "GradeClass", "Gender", "InternetAccess"])
+
+
+@query("top_gpa", with_records(select="""
+SELECT row_id, "GPA" FROM records ORDER BY "GPA" DESC, row_id ASC LIMIT 10"""))
+def q_top(spark, sf):
+    return C.top_n(records(spark, sf).select("row_id", "GPA"), 10, F.desc("GPA"), F.asc("row_id"))
+
+
+@query("shape_rows_columns", with_records(select="""
+SELECT count(*) AS n_rows, 11 AS n_columns FROM records"""))
+def q_shape(spark, sf):
+    r = records(spark, sf)
+    return r.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(r.columns)))
+
+
+@query("distinct_counts", with_records(select="""
+SELECT count(DISTINCT "GradeClass") AS "n_distinct_GradeClass", count(DISTINCT "InternetAccess") AS "n_distinct_InternetAccess",
+       count(DISTINCT "ParentalEducation") AS "n_distinct_ParentalEducation" FROM records"""))
+def q_distinct(spark, sf):
+    return C.distinct_count(records(spark, sf), ["GradeClass", "InternetAccess", "ParentalEducation"])
+
+
+@query("distinct_values_union", """
+SELECT DISTINCT v FROM (SELECT n_regionkey AS v FROM nation UNION ALL SELECT r_regionkey FROM region)""")
+def q_distinct_union(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("v"))
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("v"))
+    return C.union_aligned([n, r]).distinct()
+
+
+@query("nation_region_join", """
+SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def q_dim_join(spark, sf):
+    from ..operators.windows import join_small
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return join_small(n, r, on="n_regionkey").select("n_nationkey", "n_name", "r_name")
