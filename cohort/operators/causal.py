@@ -106,7 +106,7 @@ def permuted_treatment(df: DataFrame, id_col: str, treatment: str, replicates: i
     a = chunked_running(a, ["replicate"], [F.col("_k")], md5_chunk(F.col("_k")), {"_rank": F.lit(1)}).drop("_k")
     edges = range_edges(df, id_col, 64)
     b = chunked_running(df.select(id_col, treatment), [], [F.col(id_col)], range_chunk(id_col, edges),
-                        {"_rank": F.lit(1)}).select("_rank", F.col(treatment).alias(name))
+                        {"_rank": F.lit(1)}, n_chunks=len(edges) + 1).select("_rank", F.col(treatment).alias(name))
     return a.join(b, "_rank").drop("_rank")
 
 

@@ -77,7 +77,8 @@ def halves(df: DataFrame, order_col: str, frac: float = 0.5, chunks: int = 64) -
     Adds ``part`` = 'reference' | 'current'. Rank is chunked by value range of ``order_col``.
     """
     edges = range_edges(df, order_col, chunks)
-    d = chunked_running(df, [], [F.col(order_col)], range_chunk(order_col, edges), {"_rn": F.lit(1)})
+    d = chunked_running(df, [], [F.col(order_col)], range_chunk(order_col, edges), {"_rn": F.lit(1)},
+                        n_chunks=len(edges) + 1)
     total = df.count()
     cut = int(total * frac)
     return d.withColumn("part", F.when(F.col("_rn") <= cut, F.lit("reference")).otherwise(F.lit("current"))).drop("_rn")

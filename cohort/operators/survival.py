@@ -66,7 +66,7 @@ def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str,
     edges = range_edges(per_t, "t", chunks)
     chunk = F.lit(len(edges)) - range_chunk("t", edges)    # descending order of t
     rs = chunked_running(per_t.withColumn("_neg", -F.col("t")), [], [F.col("_neg")], chunk,
-                         {f"r_{n}": F.col(n) for n in names}).where(F.col("dcount") > 0)
+                         {f"r_{n}": F.col(n) for n in names}, n_chunks=len(edges) + 1).where(F.col("dcount") > 0)
     # Efron terms: one row per (time, l), l = 0..d-1, generated in blocks
     blocks = rs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                                     F.ceil(F.col("dcount") / EFRON_BLOCK).cast("bigint") - 1))
@@ -158,9 +158,11 @@ def baseline_hazard(df: DataFrame, fit: dict, duration: str = "Duration", event:
         F.sum(F.exp(eta)).alias("w"), F.count_if(F.col(event) == 1).alias("d"))
     edges = range_edges(per_t, "t", chunks)
     desc = chunked_running(per_t.withColumn("_neg", -F.col("t")), [], [F.col("_neg")],
-                           F.lit(len(edges)) - range_chunk("t", edges), {"risk": F.col("w")})
+                           F.lit(len(edges)) - range_chunk("t", edges), {"risk": F.col("w")},
+                           n_chunks=len(edges) + 1)
     haz = desc.select("t", (F.col("d") / F.col("risk")).alias("dh"))
-    asc = chunked_running(haz, [], [F.col("t")], range_chunk("t", edges), {"H0": F.col("dh")})
+    asc = chunked_running(haz, [], [F.col("t")], range_chunk("t", edges), {"H0": F.col("dh")},
+                          n_chunks=len(edges) + 1)
     return asc.select("t", "H0")
 
 

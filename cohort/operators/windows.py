@@ -15,18 +15,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tables at most this many rows are broadcast; their size is counted first.
+# Largest row bound for which an explicit broadcast hint is given.
 BROADCAST_ROWS = 2_000_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join, broadcasting ``small`` only after counting it (a proven size bound).
-
-    Above the bound Catalyst chooses (sort-merge / shuffle-hash, AQE may still switch).
+               known_rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a side that is usually small.
+
+    A broadcast hint is added only when the caller passes ``known_rows``, a bound that
+    holds by construction (e.g. k classes, 9 offsets, <= chunks x groups rows with a
+    known group count) and is below ``max_rows``. Otherwise the join is planned normally
+    and AQE checks the real size at runtime: it turns the sort-merge join into a
+    broadcast join only when the materialised side is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and keeps the shuffle join beyond.
+    No extra job is spent counting the small side.
     """
-    n = small.count()
-    if n <= max_rows:
+    if known_rows is not None and known_rows <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on=on, how=how)
 
@@ -57,10 +62,12 @@ def range_chunk(col, edges: Sequence) -> Column:
 
 
 def chunked_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk: Column,
-                    sums: Mapping[str, Column], exclusive: bool = False) -> DataFrame:
+                    sums: Mapping[str, Column], exclusive: bool = False,
+                    n_chunks: int | None = None) -> DataFrame:
     """Add running sums ``sums`` per ``by`` in ``order`` (inclusive, or exclusive of the row).
 
-    ``chunk`` must be monotone in ``order`` inside each ``by`` group.
+    ``chunk`` must be monotone in ``order`` inside each ``by`` group. Without ``by`` the
+    offset table has at most ``n_chunks`` rows, a bound by construction, so it is broadcast.
     """
     by = list(by)
     d = df.withColumn("_chunk", chunk)
@@ -71,7 +78,7 @@ def chunked_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], c
     upper = -1 if exclusive else Window.currentRow
     w_in = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     d = d.withColumns({f"_r_{k}": F.coalesce(F.sum(v).over(w_in), F.lit(0)) for k, v in sums.items()})
-    d = join_small(d, off, on=[*by, "_chunk"], how="inner")
+    d = join_small(d, off, on=[*by, "_chunk"], how="inner", known_rows=None if by else n_chunks)
     return d.withColumns({k: F.col(f"_r_{k}") + F.col(f"_o_{k}") for k in sums}).drop(
         "_chunk", *[f"_r_{k}" for k in sums], *[f"_o_{k}" for k in sums])
 
@@ -81,7 +88,8 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order_key: Column, name
     """row_number() over (partition by ``by`` order by ``order_key``) for an md5 text key,
     chunked by the key's leading hex digits."""
     d = df.withColumn("_ok", order_key)
-    out = chunked_running(d, by, [F.col("_ok")], md5_chunk(F.col("_ok"), digits), {name: F.lit(1)})
+    out = chunked_running(d, by, [F.col("_ok")], md5_chunk(F.col("_ok"), digits), {name: F.lit(1)},
+                          n_chunks=16 ** digits)
     return out.drop("_ok")
 
 
