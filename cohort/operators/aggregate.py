@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import KDE_BINS, QUANTILES, quantile_agg
 from .windows import join_small
 
 
@@ -40,7 +41,7 @@ def kpi_row(df: DataFrame, cls: str = "GradeClass", value: str = "GPA", risk_thr
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas rule), long form (column, p, value)."""
-    aggs = [F.percentile(F.col(c), list(probs)).alias(f"q_{c}") for c in cols]
+    aggs = [quantile_agg(F.col(c), list(probs)).alias(f"q_{c}") for c in cols]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.arrays_zip(
         F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col(f"q_{c}").alias("value")).alias("z"))
@@ -104,7 +105,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 
 def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: float | None = None) -> DataFrame:
-    """Exact Gaussian kernel density on an even grid (Scott bandwidth = sd * n^-1/5).
+    """Gaussian kernel density on an even grid (Scott bandwidth = sd * n^-1/5); exact unless
+    ``config.QUANTILES == "approx"``, which snaps values to a fixed grid first.
 
     Rows collapse to (distinct value, count) first; each distinct value then emits one
     contribution per grid point via ``explode(sequence)`` and the grid sums are a grouped
@@ -116,8 +118,12 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: f
     h = bandwidth if bandwidth is not None else (sd * n ** (-0.2) if sd > 0 else 1.0)
     g0, g1 = lo - cut * h, hi + cut * h
     step = (g1 - g0) / (grid - 1)
-    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
+    v = F.col(col).cast("double")
+    if QUANTILES == "approx" and hi > lo:
+        # bounded work: snap values to KDE_BINS points (error <= half a bin width)
+        w = (hi - lo) / (KDE_BINS - 1)
+        v = F.lit(lo) + F.round((v - F.lit(lo)) / F.lit(w)) * F.lit(w)
+    vals = df.where(F.col(col).isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     pts = vals.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
     x = F.lit(g0) + F.col("g") * F.lit(step)
     z = (x - F.col("v")) / F.lit(h)
@@ -130,8 +136,8 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: f
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """Per group: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and
     outlier count. Quartiles are one grouped aggregate; the fences join back to the rows
-    through a counted broadcast of the group table."""
-    q = df.groupBy(group).agg(F.percentile(F.col(col), [0.25, 0.5, 0.75]).alias("_q"), F.count(col).alias("n"))
+    (one row per group; AQE broadcasts it when its measured size is small)."""
+    q = df.groupBy(group).agg(quantile_agg(F.col(col), [0.25, 0.5, 0.75]).alias("_q"), F.count(col).alias("n"))
     q = q.select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
@@ -159,7 +165,7 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
 def qcut_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Exact quantile edges at 0, 1/q, .., 1 with duplicates dropped."""
     probs = [i / q for i in range(q + 1)]
-    e = df.agg(F.percentile(F.col(col), probs)).first()[0]
+    e = df.agg(quantile_agg(F.col(col), probs)).first()[0]
     return sorted(set(float(x) for x in e))
 
 

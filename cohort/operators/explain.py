@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import quantile_agg
 from .windows import chunked_row_number, join_small, md5_order
 
 
@@ -41,8 +42,12 @@ def background_sample(df: DataFrame, id_col: str, size: int = 100, seed: int = 0
 
 
 def shapley_values(model, df: DataFrame, id_col: str, features: Sequence[str], target_class: int,
-                   background: DataFrame, samples: int = 16, seed: int = 0) -> DataFrame:
-    """(row id, feature, phi): mean over ``samples`` permutations of the marginal contribution."""
+                   background: DataFrame, samples: int = 16, seed: int = 0, return_base: bool = False):
+    """(row id, feature, phi): mean over ``samples`` permutations of the marginal contribution.
+
+    With ``return_base`` also (row id, base) where base = mean f(background draw), so that
+    sum(phi) = f(x) - base per row.
+    """
     p = len(features)
     nbg = background.count()
     bg = background.select("_bg", F.struct(*[F.col(c).cast("double").alias(c) for c in features]).alias("_z"))
@@ -64,11 +69,13 @@ def shapley_values(model, df: DataFrame, id_col: str, features: Sequence[str], t
     d = d.select(id_col, "_m", "_step", "_ord", *[v.alias(c) for c, v in vals.items()])
     s = _prob(model, d, features, target_class, "_f")
     w = Window.partitionBy(id_col, "_m").orderBy("_step")   # p + 1 rows per partition
-    s = s.withColumn("_delta", F.col("_f") - F.lag("_f", 1).over(w)).where(F.col("_step") > 0)
-    s = s.withColumn("_feat", F.element_at(F.col("_ord"), F.col("_step")))
+    s = s.withColumn("_delta", F.col("_f") - F.lag("_f", 1).over(w))
+    base = s.where(F.col("_step") == 0).groupBy(id_col).agg(F.avg("_f").alias("base"))
+    s = s.where(F.col("_step") > 0).withColumn("_feat", F.element_at(F.col("_ord"), F.col("_step")))
     names = F.array(*[F.lit(c) for c in features])
-    return s.groupBy(id_col, "_feat").agg((F.sum("_delta") / F.lit(float(samples))).alias("phi")).select(
+    phi = s.groupBy(id_col, "_feat").agg((F.sum("_delta") / F.lit(float(samples))).alias("phi")).select(
         id_col, F.element_at(names, F.col("_feat") + 1).alias("feature"), "phi")
+    return (phi, base) if return_base else phi
 
 
 def mean_abs_ranking(phi: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def counterfactuals(model, df: DataFrame, id_col: str, features: Sequence[str],
     Output: id, cf_rank, the full feature values of the counterfactual, distance, n_changed.
     """
     probs = [i / (grid - 1) for i in range(grid)]
-    st = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in allowed],
+    st = df.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in allowed],
                 *[F.stddev_pop(c).alias(f"s_{c}") for c in allowed]).first()
     cand_vals = {c: sorted(set(float(v) for v in st[f"q_{c}"])) for c in allowed}
     combos = list(itertools.product(*[cand_vals[c] for c in allowed]))     # grid ** len(allowed), bounded
@@ -146,7 +153,7 @@ def scenario_grid(df: DataFrame, cols: Sequence[str], fixed: dict | None = None,
     """What-if profiles: the cross product of each column's observed quantiles (points per column),
     generated from one aggregate of the data (points ** len(cols) rows)."""
     probs = [i / (points - 1) for i in range(points)]
-    st = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
+    st = df.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
     vals = [sorted(set(float(v) for v in st[c])) for c in cols]
     combos = list(itertools.product(*vals))
     rows = [tuple(combo) + tuple((fixed or {}).values()) for combo in combos]

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import quantile_agg
 from .windows import chunked_running, range_chunk, range_edges
 
 # Chebyshev fit of erfc (fractional error < 1.2e-7), coefficients in order.
@@ -52,7 +53,7 @@ def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]
     """
     gcols = sorted({g for _, g, _ in hypotheses})
     st = df.agg(*[F.count_distinct(g).alias(f"d_{g}") for g in gcols],
-                *[F.percentile(F.col(g).cast("double"), 0.5).alias(f"m_{g}") for g in gcols],
+                *[quantile_agg(F.col(g).cast("double"), 0.5).alias(f"m_{g}") for g in gcols],
                 *[F.max(g).alias(f"x_{g}") for g in gcols], *[F.min(g).alias(f"n_{g}") for g in gcols]).first()
     structs = []
     for name, g, y in hypotheses:
@@ -153,8 +154,6 @@ def pc_skeleton(corr, n: int, names: Sequence[str], alpha: float = 0.05, max_ord
         any_tested = False
         for i in range(p):
             for j in sorted(adj[i]):
-                if j < i and i in adj[j] and j in adj[i]:
-                    pass
                 others = sorted(adj[i] - {j})
                 if len(others) < order:
                     continue

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import chunked_running, range_chunk, range_edges
+from .windows import chunked_running, join_small, range_chunk, range_edges
 
 
 def action_values(log: DataFrame, action: str = "action", reward: str = "reward") -> DataFrame:
@@ -38,7 +38,7 @@ def empirical_propensity(log: DataFrame, action: str = "action", name: str = "pr
     shares = log.groupBy(action).agg(F.count(F.lit(1)).alias("_c"))
     total = F.sum("_c").over(Window.partitionBy())   # over the small per-action table
     shares = shares.select(action, (F.col("_c") / total).alias(name))
-    return log.join(F.broadcast(shares), action)   # one row per action: bounded by the action set
+    return join_small(log, shares, action)   # one row per action; AQE broadcasts it after measuring
 
 
 def ips_value(log: DataFrame, target_action, action: str = "action", reward: str = "reward",
