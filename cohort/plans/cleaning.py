@@ -240,3 +240,9 @@ def q_dim_join(spark, sf):
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     return join_small(n, r, on="n_regionkey").select("n_nationkey", "n_name", "r_name")
+
+
+@query("numeric_projection", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def q_numeric(spark, sf):
+    o = C.drop_columns(table(spark, sf, "orders"), ["o_orderdate", "not_a_column"])
+    return C.select_numeric(o)

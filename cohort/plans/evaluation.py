@@ -301,3 +301,9 @@ SELECT CAST(coalesce(lower(CAST("InternetAccess" AS VARCHAR)) IN ('yes', '1', 't
 def q_treatment(spark, sf):
     t = H.binary_treatment(records(spark, sf), "InternetAccess", truthy=True)
     return t.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("drift_overall", with_records(*_RECORD_PAIR, *_psi_ctes, select=f"""
+SELECT bool_or(psi > 0.2) AS drift_detected, {r6('max(psi)')} AS max_psi FROM ({_psi_sel})"""))
+def q_drift_overall(spark, sf):
+    return rounded(M.drift_overall(_record_psi(spark, sf)))

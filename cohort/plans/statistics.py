@@ -277,3 +277,43 @@ e AS (SELECT list_sort(list_distinct(quantile_cont("StudyTimeWeekly", [0, 0.2, 0
 FROM b WHERE qbin IS NOT NULL GROUP BY 1, 2"""))
 def q_interact(spark, sf):
     return rounded(A.interaction_table(prepared_records(spark, sf), "StudyTimeWeekly", "GPA", "InternetAccess"))
+
+
+@query("test_rows_with_raw", with_records(PREPARED, select=f"""
+SELECT t.row_id, t."GradeClass", t."InternetAccess", r."InternetAccess" AS "InternetAccess_raw"
+FROM (SELECT row_id, "GradeClass", "InternetAccess" FROM (SELECT row_id, "GradeClass", "InternetAccess",
+        row_number() OVER (PARTITION BY "GradeClass" ORDER BY {MD5}) AS rn,
+        count(*) OVER (PARTITION BY "GradeClass") AS n FROM prepared) WHERE rn <= round(n * 0.2)) t
+LEFT JOIN records r ON t.row_id = r.row_id"""))
+def q_test_raw(spark, sf):
+    _, test = S.stratified_split(prepared_records(spark, sf), "row_id", "GradeClass", 0.2, 42)
+    raw = records(spark, sf).select("row_id", F.col("InternetAccess").alias("InternetAccess_raw"))
+    return test.select("row_id", "GradeClass", "InternetAccess").join(raw, "row_id", "left")
+
+
+def _yj_sql(c):
+    x = f'CAST("{c}" AS DOUBLE)'
+    return f"CASE WHEN {x} >= 0 THEN (pow({x} + 1, 0.5) - 1) / 0.5 ELSE -(pow(-{x} + 1, 1.5) - 1) / 1.5 END"
+
+
+@query("yeo_johnson_fixed_lambda", with_records(
+    "t AS (SELECT row_id, " + ", ".join(f'{_yj_sql(c)} AS "{c}"' for c in ["StudyTimeWeekly", "Absences"]) + " FROM records)",
+    select="SELECT row_id, " + ", ".join(
+        r6(f'("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER ()') + f' AS "{c}"'
+        for c in ["StudyTimeWeekly", "Absences"]) + " FROM t"))
+def q_yj_fixed(spark, sf):
+    r = records(spark, sf).select("row_id", "StudyTimeWeekly", F.col("Absences").cast("double"))
+    return rounded(FE.yeo_johnson_fixed(r, ["StudyTimeWeekly", "Absences"], 0.5))
+
+
+@query("column_group_transform")
+def q_column_groups(spark, sf):
+    d = records(spark, sf)
+    from ..functions.expressions import interaction_features
+    d = interaction_features(d.na.fill(0, ["InternetAccess"]))
+    train, test = S.stratified_split(d, "row_id", "GradeClass", 0.2, 42)
+    numeric = ["StudyTimeWeekly", "Absences", "TechSynergy", "SelfDriven", "SupportIndex", "BalancedLife",
+               "AbsenceRisk"]
+    tr, te = FE.column_group_transform(train, test, numeric, ["ParentalEducation"],
+                                       ["Gender", "Tutoring", "Extracurricular", "InternetAccess"], "GradeClass", "row_id")
+    return rounded(te)
