@@ -12,14 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import chunked_row_number, chunked_running, group_sizes, join_small, md5_order, range_chunk, range_edges
+from .windows import (chunked_row_number, chunked_running, join_small, md5_chunk, md5_order, range_chunk,
+                      range_edges)
 
 
 def _ranked(df: DataFrame, id_col: str, by: Sequence[str], seed) -> DataFrame:
-    d = chunked_row_number(df, by, md5_order(F.col(id_col), seed), name="_rn")
-    if by:
-        return group_sizes(d, list(by), name="_n")
-    return d.withColumn("_n", F.lit(df.count()))
+    """Adds _rn (rank in stratum by md5) and _n (stratum size) in one windowed pass."""
+    d = df.withColumn("_ok", md5_order(F.col(id_col), seed))
+    d = chunked_running(d, by, [F.col("_ok")], md5_chunk(F.col("_ok")), {"_rn": F.lit(1)},
+                        n_chunks=256, totals=True)
+    return d.withColumnRenamed("_rn_total", "_n").drop("_ok")
 
 
 def random_split(df: DataFrame, id_col: str, test_ratio: float = 0.2, seed=42) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +80,10 @@ def halves(df: DataFrame, order_col: str, frac: float = 0.5, chunks: int = 64) -
     """
     edges = range_edges(df, order_col, chunks)
     d = chunked_running(df, [], [F.col(order_col)], range_chunk(order_col, edges), {"_rn": F.lit(1)},
-                        n_chunks=len(edges) + 1)
-    total = df.count()
-    cut = int(total * frac)
-    return d.withColumn("part", F.when(F.col("_rn") <= cut, F.lit("reference")).otherwise(F.lit("current"))).drop("_rn")
+                        n_chunks=len(edges) + 1, totals=True)
+    cut = F.floor(F.col("_rn_total") * F.lit(frac))
+    return d.withColumn("part", F.when(F.col("_rn") <= cut, F.lit("reference")).otherwise(F.lit("current"))).drop(
+        "_rn", "_rn_total")
 
 
 __all__ = ["random_split", "stratified_split", "split_flag", "stratified_folds", "sample_with_replacement",

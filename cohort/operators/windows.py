@@ -63,18 +63,22 @@ def range_chunk(col, edges: Sequence) -> Column:
 
 def chunked_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk: Column,
                     sums: Mapping[str, Column], exclusive: bool = False,
-                    n_chunks: int | None = None) -> DataFrame:
+                    n_chunks: int | None = None, totals: bool = False) -> DataFrame:
     """Add running sums ``sums`` per ``by`` in ``order`` (inclusive, or exclusive of the row).
 
     ``chunk`` must be monotone in ``order`` inside each ``by`` group. Without ``by`` the
     offset table has at most ``n_chunks`` rows, a bound by construction, so it is broadcast.
+    ``totals`` also adds ``<name>_total``, the sum over the whole ``by`` group, taken from the
+    same small table (no extra pass over the rows).
     """
     by = list(by)
     d = df.withColumn("_chunk", chunk)
     tot = d.groupBy(*by, "_chunk").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     w_off = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
     off = tot.select(*by, "_chunk", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
-                                      for k in sums])
+                                      for k in sums],
+                     *([F.sum(f"_t_{k}").over(w_all).alias(f"{k}_total") for k in sums] if totals else []))
     upper = -1 if exclusive else Window.currentRow
     w_in = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     d = d.withColumns({f"_r_{k}": F.coalesce(F.sum(v).over(w_in), F.lit(0)) for k, v in sums.items()})
