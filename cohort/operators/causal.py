@@ -41,7 +41,7 @@ def propensity_cells(df: DataFrame, treatment: str, confounders: Sequence[str],
 
 
 def nearest_match(df: DataFrame, id_col: str, arm: str, score: str, outcome: str,
-                  by: Sequence[str] = (), chunks: int = 64) -> DataFrame:
+                  by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """For every row, the outcome of the nearest-score row of the other arm (1-NN with replacement).
 
     Adds ``matched_outcome`` and ``matched_score``. ``by`` runs independent matchings.
@@ -104,7 +104,7 @@ def permuted_treatment(df: DataFrame, id_col: str, treatment: str, replicates: i
     key = md5_order(F.concat_ws("|", F.col(id_col).cast("string"), F.col("replicate").cast("string")), seed)
     a = rep.withColumn("_k", key)
     a = chunked_running(a, ["replicate"], [F.col("_k")], md5_chunk(F.col("_k")), {"_rank": F.lit(1)}).drop("_k")
-    edges = range_edges(df, id_col, 64)
+    edges = range_edges(df, id_col)
     b = chunked_running(df.select(id_col, treatment), [], [F.col(id_col)], range_chunk(id_col, edges),
                         {"_rank": F.lit(1)}, n_chunks=len(edges) + 1).select("_rank", F.col(treatment).alias(name))
     return a.join(b, "_rank").drop("_rank")

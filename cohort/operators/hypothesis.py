@@ -69,7 +69,7 @@ def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]
     return df.select(F.inline(F.array(*structs))).where(F.col("grp").isNotNull() & F.col("y").isNotNull())
 
 
-def mann_whitney(stacked: DataFrame, chunks: int = 64) -> DataFrame:
+def mann_whitney(stacked: DataFrame, chunks: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U per hypothesis on (hypothesis, grp, y) rows, High vs Low.
 
     Output: hypothesis, n_high, n_low, u (statistic of High), z (tie and continuity

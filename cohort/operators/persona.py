@@ -31,7 +31,7 @@ def _unit(seed, name) -> float:
 
 
 def oversample_minority(df: DataFrame, id_col: str, label: str, minority, numeric: Sequence[str],
-                        nominal: Sequence[str] = (), seed: int = 42, chunks: int = 64) -> DataFrame:
+                        nominal: Sequence[str] = (), seed: int = 42, chunks: int | None = None) -> DataFrame:
     """Return the input plus one synthetic row per minority row (so that class is doubled).
 
     Synthetic ids are negative (-(id) - 1) so they never collide with real ids.

@@ -25,7 +25,7 @@ def greedy_action(log: DataFrame, action: str = "action", reward: str = "reward"
 
 
 def running_action_values(log: DataFrame, order: str, action: str = "action", reward: str = "reward",
-                          chunks: int = 64) -> DataFrame:
+                          chunks: int | None = None) -> DataFrame:
     """Incremental mean per action in ``order`` (the epsilon-greedy value estimate after each pull)."""
     edges = range_edges(log, order, chunks)
     d = chunked_running(log, [action], [F.col(order)], range_chunk(order, edges),

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import chunked_running, md5_chunk, md5_order, range_chunk, range_edges
+from .windows import md5_chunks, chunked_running, md5_chunk, md5_order, range_chunk, range_edges
 
 
 def _binom_sf(k: int, n: int) -> float:
@@ -28,8 +28,8 @@ def _binom_sf(k: int, n: int) -> float:
 def shadow_rows(df: DataFrame, id_col: str, features: Sequence[str], seed) -> DataFrame:
     a = df.withColumn("_k", md5_order(F.col(id_col), f"shadow-{seed}"))
     a = chunked_running(a, [], [F.col("_k")], md5_chunk(F.col("_k")), {"_r": F.lit(1)},
-                        n_chunks=256).drop("_k")
-    edges = range_edges(df, id_col, 64)
+                        n_chunks=md5_chunks()).drop("_k")
+    edges = range_edges(df, id_col)
     b = chunked_running(df.select(id_col, *features), [], [F.col(id_col)], range_chunk(id_col, edges),
                         {"_r": F.lit(1)}, n_chunks=len(edges) + 1).select("_r", *[F.col(c).alias(f"shadow_{c}") for c in features])
     return a.join(b, "_r").drop("_r")

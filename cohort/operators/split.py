@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import (chunked_row_number, chunked_running, join_small, md5_chunk, md5_order, range_chunk,
+from .windows import (md5_chunks, chunked_row_number, chunked_running, join_small, md5_chunk, md5_order, range_chunk,
                       range_edges)
 
 
@@ -20,7 +20,7 @@ def _ranked(df: DataFrame, id_col: str, by: Sequence[str], seed) -> DataFrame:
     """Adds _rn (rank in stratum by md5) and _n (stratum size) in one windowed pass."""
     d = df.withColumn("_ok", md5_order(F.col(id_col), seed))
     d = chunked_running(d, by, [F.col("_ok")], md5_chunk(F.col("_ok")), {"_rn": F.lit(1)},
-                        n_chunks=256, totals=True)
+                        n_chunks=md5_chunks(), totals=True)
     return d.withColumnRenamed("_rn_total", "_n").drop("_ok")
 
 
@@ -73,7 +73,7 @@ def sample_with_replacement(df: DataFrame, id_col: str, n: int, seed=0) -> DataF
     return draws.join(ranked, "_pos").drop("_pos")
 
 
-def halves(df: DataFrame, order_col: str, frac: float = 0.5, chunks: int = 64) -> DataFrame:
+def halves(df: DataFrame, order_col: str, frac: float = 0.5, chunks: int | None = None) -> DataFrame:
     """Positional split by an explicit order: the first floor(N * frac) rows are ``reference``.
 
     Adds ``part`` = 'reference' | 'current'. Rank is chunked by value range of ``order_col``.

@@ -98,7 +98,7 @@ def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str,
 
 
 def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str = "Duration", event: str = "Event",
-            penalizer: float = 0.1, max_steps: int = 20, tol: float = 1e-9, chunks: int = 64) -> dict:
+            penalizer: float = 0.1, max_steps: int = 20, tol: float = 1e-9, chunks: int | None = None) -> dict:
     """Cox PH with Efron ties and an L2 penalty 0.5 * penalizer * ||b||^2 on standardised covariates.
 
     Returns coefficients on the original scale, standard errors, hazard ratios and the
@@ -150,7 +150,7 @@ def cox_table(spark, fit: dict) -> DataFrame:
 
 
 def baseline_hazard(df: DataFrame, fit: dict, duration: str = "Duration", event: str = "Event",
-                    chunks: int = 64) -> DataFrame:
+                    chunks: int | None = None) -> DataFrame:
     """Breslow cumulative baseline hazard at centred covariates: (t, H0(t))."""
     xs = fit["covariates"]
     eta = sum(F.lit(float(b)) * (F.col(x) - F.lit(float(m))) for b, x, m in zip(fit["coef"], xs, fit["mean"]))

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import MD5_CHUNK_DIGITS, RANGE_CHUNKS
+
 # Largest row bound for which an explicit broadcast hint is given.
 BROADCAST_ROWS = 2_000_000
 
@@ -41,24 +43,38 @@ def md5_order(key: Column, seed) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
 
 
-def md5_chunk(order_key: Column, digits: int = 2) -> Column:
-    """Chunk of an md5 order key: its first hex digits (256 ordered chunks for 2 digits)."""
-    return F.substring(order_key, 1, digits)
+def md5_chunk(order_key: Column, digits: int | None = None) -> Column:
+    """Chunk of an md5 order key: its first hex digits (16**digits ordered chunks)."""
+    return F.substring(order_key, 1, digits or MD5_CHUNK_DIGITS)
+
+
+def md5_chunks(digits: int | None = None) -> int:
+    return 16 ** (digits or MD5_CHUNK_DIGITS)
 
 
-def range_edges(df: DataFrame, col: str, n: int = 64, rel_err: float = 0.001) -> list:
-    """Approximate n-quantile edges of ``col`` (one sampling job, n numbers to the driver)."""
+def range_edges(df: DataFrame, col: str, n: int | None = None, rel_err: float = 0.001) -> list:
+    """Approximate n-quantile edges of ``col`` (one sketch job, n numbers to the driver)."""
+    n = n or RANGE_CHUNKS
     probs = [i / n for i in range(1, n)]
-    edges = df.approxQuantile(col, probs, rel_err)
+    edges = df.approxQuantile(col, probs, min(rel_err, 0.25 / n))
     return sorted(set(e for e in edges if e is not None))
 
 
+def _count_le(c: Column, edges: Sequence, lo: int, hi: int) -> Column:
+    """Number of edges <= c, knowing edges[:lo] <= c < edges[hi:]: a balanced CASE tree,
+    so a row costs log2(len(edges)) comparisons."""
+    if hi - lo <= 4:
+        return sum((c >= F.lit(e)).cast("int") for e in edges[lo:hi]) + F.lit(lo) if hi > lo else F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(c >= F.lit(edges[mid]), _count_le(c, edges, mid + 1, hi)).otherwise(_count_le(c, edges, lo, mid))
+
+
 def range_chunk(col, edges: Sequence) -> Column:
     """Ordered chunk number = count of edges <= value (null -> 0)."""
     c = F.col(col) if isinstance(col, str) else col
     if not edges:
         return F.lit(0)
-    return sum((F.coalesce(c >= F.lit(e), F.lit(False))).cast("int") for e in edges)
+    return F.coalesce(_count_le(c, list(edges), 0, len(edges)), F.lit(0))
 
 
 def chunked_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk: Column,
@@ -88,12 +104,12 @@ def chunked_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], c
 
 
 def chunked_row_number(df: DataFrame, by: Sequence[str], order_key: Column, name: str = "rn",
-                       digits: int = 2) -> DataFrame:
+                       digits: int | None = None) -> DataFrame:
     """row_number() over (partition by ``by`` order by ``order_key``) for an md5 text key,
     chunked by the key's leading hex digits."""
     d = df.withColumn("_ok", order_key)
     out = chunked_running(d, by, [F.col("_ok")], md5_chunk(F.col("_ok"), digits), {name: F.lit(1)},
-                          n_chunks=16 ** digits)
+                          n_chunks=md5_chunks(digits))
     return out.drop("_ok")
 
 
