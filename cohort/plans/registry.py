@@ -35,7 +35,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            # round(x * 10^d) / 10^d: both engines round the scaled double the same way
+            scale = float(10 ** digits)
+            out.append((F.round(F.col(f"`{f.name}`").cast("double") * F.lit(scale), 0) / F.lit(scale)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

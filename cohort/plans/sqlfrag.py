@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    """Six-digit rounding written as round(x * 1e6) / 1e6 on both sides: rounding the scaled
+    double to an integer is done the same way by both engines, while round(x, 6) is not."""
+    return f"(round(CAST({expr} AS DOUBLE) * 1000000.0) / 1000000.0)"
 
 
 def grade_bins(expr: str) -> str:

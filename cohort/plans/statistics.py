@@ -222,13 +222,13 @@ def q_kde(spark, sf):
     return rounded(A.kde(records(spark, sf), "GPA", grid=50))
 
 
-@query("box_stats_extendedprice", """
+@query("box_stats_extendedprice", f"""
 WITH q AS (SELECT l_returnflag, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
                   quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
            FROM lineitem GROUP BY 1)
-SELECT q.l_returnflag, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-       round(min(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END), 6) AS whisker_lo,
-       round(max(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END), 6) AS whisker_hi,
+SELECT q.l_returnflag, n, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS q3,
+       {r6('min(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END)')} AS whisker_lo,
+       {r6('max(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END)')} AS whisker_hi,
        count_if(NOT (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)))::BIGINT AS n_outliers
 FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag GROUP BY q.l_returnflag, n, q1, median, q3""")
 def q_box(spark, sf):

@@ -7,6 +7,7 @@ order-insensitive comparison of the values.
 from __future__ import annotations
 
 import math
+import os
 import sys
 
 import duckdb
@@ -44,7 +45,7 @@ def _norm(v):
     if isinstance(v, (int, float)):
         if isinstance(v, float) and math.isnan(v):
             return None
-        return round(float(v), 5)
+        return round(float(v), int(os.environ.get("ORACLE_DIGITS", "12")))
     return v
 
 
