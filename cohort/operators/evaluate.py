@@ -45,7 +45,10 @@ def quadratic_kappa(df: DataFrame, y: str, p: str) -> DataFrame:
 
     With positions i, j: sum(w O) = sum((i - j)^2), sum(w E) = sum i^2 + sum j^2 - 2 sum i sum j / N.
     """
-    conf = confusion_counts(df, y, p)
+    return _kappa(confusion_counts(df, y, p))
+
+
+def _kappa(conf: DataFrame) -> DataFrame:
     lab = _labels(conf)
     j = (conf.join(lab.select(F.col("label").alias("y"), F.col("idx").alias("i")), "y")
          .join(lab.select(F.col("label").alias("p"), F.col("idx").alias("j")), "p"))
@@ -60,7 +63,10 @@ def quadratic_kappa(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
     """(label, precision, recall, f1, support); 0/0 -> 0."""
-    conf = confusion_counts(df, y, p)
+    return _per_class(confusion_counts(df, y, p))
+
+
+def _per_class(conf: DataFrame) -> DataFrame:
     lab = _labels(conf).select("label")
     tp = conf.where(F.col("y") == F.col("p")).select(F.col("y").alias("label"), F.col("n").alias("tp"))
     sup = conf.groupBy(F.col("y").alias("label")).agg(F.sum("n").alias("support"))
@@ -76,7 +82,11 @@ def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per-class rows plus 'macro avg' and 'weighted avg' rows; ``label`` is text."""
-    pc = per_class(df, y, p).cache()
+    return _report(confusion_counts(df, y, p))
+
+
+def _report(conf: DataFrame) -> DataFrame:
+    pc = _per_class(conf)
     rows = pc.select(F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support")
     tot = F.sum("support")
     macro = pc.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
@@ -88,11 +98,15 @@ def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Long table (metric, value): qwk, accuracy, weighted precision/recall/F1, macro F1."""
-    conf = confusion_counts(df, y, p)
+    """Long table (metric, value): qwk, accuracy, weighted precision/recall/F1, macro F1.
+
+    The scored rows are read once: the k x k confusion table is persisted and every
+    metric is derived from it.
+    """
+    conf = confusion_counts(df, y, p).persist()
     acc = conf.agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("v"))
-    rep = classification_report(df, y, p)
-    kappa = quadratic_kappa(df, y, p)
+    rep = _report(conf)
+    kappa = _kappa(conf)
     parts = [
         kappa.select(F.lit("qwk").alias("metric"), F.col("qwk").alias("value")),
         acc.select(F.lit("accuracy").alias("metric"), F.col("v").alias("value")),

@@ -270,8 +270,10 @@ def q_cox(spark, sf):
 
 @query("cox_records_curves")
 def q_cox_curves(spark, sf):
+    from ..operators.clean import present
     d = _surv(spark, sf)
-    fit = SV.cox_fit(d, ["StudyTimeWeekly", "Absences", "GPA"], penalizer=0.1)
+    # optional covariates: a listed column the table lacks (ParentalSupport) is skipped
+    fit = SV.cox_fit(d, present(d, ["StudyTimeWeekly", "Absences", "ParentalSupport", "GPA"]), penalizer=0.1)
     return rounded(SV.survival_profiles(d, fit, "Absences", [0, 10, 20, 30]))
 
 
