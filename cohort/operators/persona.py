@@ -73,7 +73,7 @@ _NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 def grid_density_clusters(df: DataFrame, x: str, y: str, eps: float, min_samples: int = 10,
                           min_cluster_size: int = 50, max_iter: int = 50, name: str = "cluster") -> DataFrame:
     """Cluster label per row (-1 = noise); see the module note."""
-    from ..session import cut_lineage
+    from ..session import materialize
     d = df.withColumn("_cx", F.floor(F.col(x) / eps).cast("long")).withColumn("_cy", F.floor(F.col(y) / eps).cast("long"))
     cells = d.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
     offs = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in _NEIGHBOURS])
@@ -81,21 +81,27 @@ def grid_density_clusters(df: DataFrame, x: str, y: str, eps: float, min_samples
         (F.col("_cx") + F.col("dx")).alias("_cx"), (F.col("_cy") + F.col("dy")).alias("_cy"), "_n")
     dens = spread.groupBy("_cx", "_cy").agg(F.sum("_n").alias("_hood"))
     cells = cells.join(dens, ["_cx", "_cy"]).withColumn("_core", F.col("_hood") >= min_samples)
-    core = cells.where("_core").select("_cx", "_cy",
-                                       (F.col("_cx") * F.lit(2 ** 31) + F.col("_cy")).alias("_lab"))
-    core = cut_lineage(core)
+    cid = F.col("_cx") * F.lit(2 ** 31) + F.col("_cy")
+    core = cells.where("_core").select("_cx", "_cy", cid.alias("_id"), cid.alias("_lab"))
+    core = materialize(core, "cells")
     for _ in range(max_iter):
-        nb = core.select("_cx", "_cy", "_lab", F.inline(offs)).select(
+        # 1) take the smallest label among the 3x3 neighbours
+        nb = core.select("_lab", F.inline(offs), "_cx", "_cy").select(
             (F.col("_cx") + F.col("dx")).alias("_cx"), (F.col("_cy") + F.col("dy")).alias("_cy"), "_lab")
         best = nb.groupBy("_cx", "_cy").agg(F.min("_lab").alias("_m"))
         new = core.join(best, ["_cx", "_cy"], "left").select(
-            "_cx", "_cy", F.least("_lab", F.coalesce("_m", "_lab")).alias("_lab"))
-        new = cut_lineage(new)
-        changed = new.join(core.withColumnRenamed("_lab", "_old"), ["_cx", "_cy"]).where(
+            "_cx", "_cy", "_id", F.least("_lab", F.coalesce("_m", "_lab")).alias("_lab"))
+        # 2) pointer jump: adopt the label of the cell named by the label (halves path lengths)
+        hop = new.select(F.col("_id").alias("_lab"), F.col("_lab").alias("_lab2"))
+        new = new.join(hop, "_lab", "left").select(
+            "_cx", "_cy", "_id", F.least("_lab", F.coalesce("_lab2", "_lab")).alias("_lab"))
+        new = materialize(new, "cells")
+        changed = new.join(core.select("_id", F.col("_lab").alias("_old")), "_id").where(
             F.col("_lab") != F.col("_old")).limit(1).count()
         core = new
         if changed == 0:
             break
+    core = core.drop("_id")
     # border cells take the smallest label of an adjacent core cell
     nb = core.select("_cx", "_cy", "_lab", F.inline(offs)).select(
         (F.col("_cx") + F.col("dx")).alias("_cx"), (F.col("_cy") + F.col("dy")).alias("_cy"), "_lab")

@@ -47,7 +47,7 @@ def event_duration(df: DataFrame, cls: str = "GradeClass", event_class: int = 4,
     return df.withColumns({"Event": event, "Duration": F.when(event == 1, dur).otherwise(F.lit(max_time))})
 
 
-def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str, event: str, chunks: int):
+def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str, event: str, edges: list):
     p = len(xs)
     eta = sum(F.lit(float(beta[i])) * F.col(x) for i, x in enumerate(xs)) if p else F.lit(0.0)
     w = F.exp(eta)
@@ -63,7 +63,6 @@ def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str,
     per_t = d.groupBy(F.col(duration).alias("t")).agg(*aggs)
     # risk set = rows with duration >= t: running sums in descending time
     names = ["a0"] + [f"a1_{i}" for i in range(p)] + [f"a2_{i}_{j}" for i in range(p) for j in range(i, p)]
-    edges = range_edges(per_t, "t", chunks)
     chunk = F.lit(len(edges)) - range_chunk("t", edges)    # descending order of t
     rs = chunked_running(per_t.withColumn("_neg", -F.col("t")), [], [F.col("_neg")], chunk,
                          {f"r_{n}": F.col(n) for n in names}, n_chunks=len(edges) + 1).where(F.col("dcount") > 0)
@@ -114,9 +113,11 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str = "Duration"
                   *[((F.col(x) - F.lit(float(mean[i]))) / F.lit(float(sd[i]))).alias(x) for i, x in enumerate(xs)])
     d = cut_lineage(d)
     p = len(xs)
+    # durations do not change between Newton steps: chunk edges of the time axis once
+    edges = range_edges(d.select(F.col(duration).alias("t")).distinct(), "t", chunks)
 
     def penalised(b):
-        ll, g, h = _cox_step(d, xs, b, duration, event, chunks)
+        ll, g, h = _cox_step(d, xs, b, duration, event, edges)
         return ll - 0.5 * penalizer * float(b @ b), g - penalizer * b, h - penalizer * np.eye(p)
 
     beta = np.zeros(p)
