@@ -79,16 +79,20 @@ def q_metrics_json(spark, sf):
 
 @query("pipeline_save_load_score")
 def q_pipeline(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
     from ..operators.features import RobustScaler
     train, test = _train_test(spark, sf)
+    train, test = train.drop("features"), test.drop("features")
     pipe = MD.pipeline_of(RobustScaler(inputCols=["StudyTimeWeekly", "Absences"]),
+                          VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep"),
                           MD.forest_classifier("label", trees=20, depth=8))
-    model = pipe.fit(train.drop("features").transform(lambda d: MD.assemble(d, FEATURES)) if False else train)
+    model = pipe.fit(train)
     path = _scratch(spark, "model")
     IO.save_model(model, path)
     loaded = IO.load_pipeline_model(path)
     log = _scratch(spark, "runlog")
-    IO.log_run(spark, log, "pipeline", {"trees": 20}, {"n_test": test.count()})
+    IO.log_run(spark, log, "pipeline", {"trees": 20, "depth": 8}, {"n_train": train.count()})
     return MD.score(loaded, test).select("row_id", "GradeClass", "pred_class")
 
 
