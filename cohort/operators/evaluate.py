@@ -104,6 +104,7 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     metric is derived from it.
     """
     conf = confusion_counts(df, y, p).persist()
+    conf.count()   # materialise the k x k table once; every metric below reads the cache
     acc = conf.agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("v"))
     rep = _report(conf)
     kappa = _kappa(conf)
