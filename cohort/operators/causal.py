@@ -40,14 +40,10 @@ def propensity_cells(df: DataFrame, treatment: str, confounders: Sequence[str],
     return df.join(cells, keys)   # one row per cell; Catalyst broadcasts when small (AQE)
 
 
-def nearest_match(df: DataFrame, id_col: str, arm: str, score: str, outcome: str,
-                  by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
-    """For every row, the outcome of the nearest-score row of the other arm (1-NN with replacement).
-
-    Adds ``matched_outcome`` and ``matched_score``. ``by`` runs independent matchings.
-    """
+def _match_scores(reps: DataFrame, arm: str, score: str, by: Sequence[str], chunks: int | None) -> DataFrame:
+    """On a table with one row per (by, arm, score) and its representative outcome ``_y``,
+    add ``matched_outcome``/``matched_score``: the nearest score of the other arm."""
     by = list(by)
-    reps = df.groupBy(*by, arm, score).agg(F.min_by(F.col(outcome).cast("double"), F.col(id_col)).alias("_y"))
     edges = range_edges(reps, score, chunks)
     d = reps.withColumn("_c", range_chunk(score, edges))
     cand = {a: F.when(F.col(arm) == a, F.struct(F.col(score).alias("s"), F.col("_y").alias("y"))) for a in (0, 1)}
@@ -65,30 +61,53 @@ def nearest_match(df: DataFrame, id_col: str, arm: str, score: str, outcome: str
                          .alias(f"_clo{a}") for a in (0, 1)],
                        *[F.first(f"_mn{a}", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
                          .alias(f"_chi{a}") for a in (0, 1)])
-    d = join_small(d, summ, on=[*by, "_c"])
+    d = join_small(d, summ, on=[*by, "_c"], known_rows=None if by else len(edges) + 1)
     other = 1 - F.col(arm)
     lo = F.when(other == 0, F.coalesce("_lo0", "_clo0")).otherwise(F.coalesce("_lo1", "_clo1"))
     hi = F.when(other == 0, F.coalesce("_hi0", "_chi0")).otherwise(F.coalesce("_hi1", "_chi1"))
-    d = d.select(*by, arm, score, lo.alias("_lo"), hi.alias("_hi"))
+    keep = [c for c in reps.columns]
+    d = d.select(*keep, lo.alias("_lo"), hi.alias("_hi"))
     dlo = F.col(score) - F.col("_lo.s")
     dhi = F.col("_hi.s") - F.col(score)
     pick_lo = F.col("_hi").isNull() | (F.col("_lo").isNotNull() & (dlo <= dhi))
     best = F.when(pick_lo, F.col("_lo")).otherwise(F.col("_hi"))
-    m = d.select(*by, arm, score, best["y"].alias("matched_outcome"), best["s"].alias("matched_score"))
+    return d.select(*keep, best["y"].alias("matched_outcome"), best["s"].alias("matched_score"))
+
+
+def nearest_match(df: DataFrame, id_col: str, arm: str, score: str, outcome: str,
+                  by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """For every row, the outcome of the nearest-score row of the other arm (1-NN with replacement).
+
+    Adds ``matched_outcome`` and ``matched_score``. ``by`` runs independent matchings.
+    """
+    by = list(by)
+    reps = df.groupBy(*by, arm, score).agg(F.min_by(F.col(outcome).cast("double"), F.col(id_col)).alias("_y"))
+    m = _match_scores(reps, arm, score, by, chunks).drop("_y")
     return df.join(m, [*by, arm, score], "left")
 
 
 def matched_effect(df: DataFrame, id_col: str, treatment: str, score: str, outcome: str,
-                   by: Sequence[str] = ()) -> DataFrame:
-    """ATT, ATC and ATE by nearest-score matching in both directions."""
-    m = nearest_match(df, id_col, treatment, score, outcome, by)
-    diff = F.when(F.col(treatment) == 1, F.col(outcome) - F.col("matched_outcome")).otherwise(
-        F.col("matched_outcome") - F.col(outcome))
+                   by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """ATT, ATC and ATE by nearest-score matching in both directions.
+
+    Everything after one grouped pass runs on the (arm, score) table: a group of n rows
+    with outcome sum S matched to outcome m contributes S - n m (treated) or n m - S
+    (control), so the rows are never joined back.
+    """
+    by = list(by)
+    y = F.col(outcome).cast("double")
+    reps = df.groupBy(*by, treatment, score).agg(
+        F.min_by(y, F.col(id_col)).alias("_y"), F.count(y).alias("_n"), F.sum(y).alias("_sy"))
+    m = _match_scores(reps, treatment, score, by, chunks).where(F.col("matched_outcome").isNotNull())
+    t = F.col(treatment) == 1
+    contrib = F.when(t, F.col("_sy") - F.col("_n") * F.col("matched_outcome")).otherwise(
+        F.col("_n") * F.col("matched_outcome") - F.col("_sy"))
+    n_t = F.sum(F.when(t, F.col("_n")))
+    n_c = F.sum(F.when(~t, F.col("_n")))
     return m.groupBy(*by).agg(
-        F.avg(F.when(F.col(treatment) == 1, diff)).alias("att"),
-        F.avg(F.when(F.col(treatment) == 0, diff)).alias("atc"),
-        F.avg(diff).alias("ate"), F.count_if(F.col(treatment) == 1).alias("n_treated"),
-        F.count_if(F.col(treatment) == 0).alias("n_control"))
+        (F.sum(F.when(t, contrib)) / n_t).alias("att"), (F.sum(F.when(~t, contrib)) / n_c).alias("atc"),
+        (F.sum(contrib) / F.sum("_n")).alias("ate"), F.coalesce(n_t, F.lit(0)).cast("bigint").alias("n_treated"),
+        F.coalesce(n_c, F.lit(0)).cast("bigint").alias("n_control"))
 
 
 def permuted_treatment(df: DataFrame, id_col: str, treatment: str, replicates: int, seed=0,
