@@ -219,9 +219,13 @@ def score(model, df: DataFrame, pred: str = "prediction", prob: str = "probabili
 
 def split_ratio_study(df: DataFrame, id_col: str, label: str, feature_cols, ratios=(0.1, 0.2, 0.3, 0.4),
                       make_estimator=None, seed: int = 42) -> DataFrame:
-    """For each test ratio: stratified split, fit, QWK/accuracy/F1 on the test part -> long table."""
+    """For each test ratio: stratified split, fit, QWK/accuracy/F1 on the test part -> long table.
+
+    Each ratio's metrics (six numbers) are computed when its model is fitted, so the result
+    is a small table rather than a union of four full training lineages.
+    """
     from .split import split_flag
-    out = None
+    rows = []
     base = assemble(df, feature_cols)
     for r in ratios:
         d = split_flag(base, id_col, label, r, seed)
@@ -229,9 +233,8 @@ def split_ratio_study(df: DataFrame, id_col: str, label: str, feature_cols, rati
         m = est.fit(d.where(~F.col("is_test")))
         pred = m.transform(d.where(F.col("is_test")))
         met = classification_metrics(pred.withColumn("_p", F.col("prediction").cast("int")), label, "_p")
-        met = met.withColumn("test_ratio", F.lit(float(r)))
-        out = met if out is None else out.unionByName(met)
-    return out
+        rows += [(x["metric"], float(x["value"]), float(r)) for x in met.collect()]   # six rows per ratio
+    return df.sparkSession.createDataFrame(rows, "metric string, value double, test_ratio double")
 
 
 def pipeline_of(*stages) -> Pipeline:

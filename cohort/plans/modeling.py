@@ -34,7 +34,8 @@ def _scratch(spark, name: str) -> str:
 def _train_test(spark, sf, ratio=0.2):
     d = MD.assemble(prepared_records(spark, sf), FEATURES)
     d = split_flag(d, "row_id", "GradeClass", ratio, 42).withColumn("label", F.col("GradeClass").cast("double"))
-    d = d.persist()
+    # not persisted: MLlib caches its own training input, and long sessions that run many
+    # queries should not pile up cached tables
     return d.where(~F.col("is_test")), d.where(F.col("is_test"))
 
 
@@ -154,7 +155,7 @@ def q_mlp(spark, sf):
 @query("stacking_metrics")
 def q_stack(spark, sf):
     train, test = _train_test(spark, sf)
-    train = stratified_folds(train, "row_id", "GradeClass", 3, 42).persist()
+    train = stratified_folds(train, "row_id", "GradeClass", 3, 42)
     bases = {"rf": MD.forest_classifier("label", trees=20, depth=8),
              "gbt": MD.OrdinalBoost(5, "label", max_iter=5, depth=3),
              "mlp": MD.mlp_classifier(len(FEATURES), 5, "label", hidden=(16, 8)).setMaxIter(30)}
