@@ -52,12 +52,22 @@ def md5_chunks(digits: int | None = None) -> int:
     return 16 ** (digits or MD5_CHUNK_DIGITS)
 
 
-def range_edges(df: DataFrame, col: str, n: int | None = None, rel_err: float = 0.001) -> list:
-    """Approximate n-quantile edges of ``col`` (one sketch job, n numbers to the driver)."""
+def range_edges(df: DataFrame, col: str, n: int | None = None, rel_err: float = 0.001, extra: dict | None = None):
+    """Approximate n-quantile edges of ``col`` (one sketch aggregate, n numbers to the driver).
+
+    ``extra`` = {name: aggregate Column} is computed in the same pass; then the result is
+    (edges, {name: value}).
+    """
     n = n or RANGE_CHUNKS
     probs = [i / n for i in range(1, n)]
-    edges = df.approxQuantile(col, probs, min(rel_err, 0.25 / n))
-    return sorted(set(e for e in edges if e is not None))
+    accuracy = int(1 / min(rel_err, 0.25 / n)) + 1
+    aggs = [F.percentile_approx(F.col(col), probs, accuracy).alias("_edges")]
+    aggs += [e.alias(k) for k, e in (extra or {}).items()]
+    row = df.agg(*aggs).first()
+    edges = sorted(set(e for e in (row["_edges"] or []) if e is not None))
+    if extra is None:
+        return edges
+    return edges, {k: row[k] for k in extra}
 
 
 def _count_le(c: Column, edges: Sequence, lo: int, hi: int) -> Column:
