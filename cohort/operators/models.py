@@ -131,6 +131,9 @@ def stacking_fit_predict(train: DataFrame, test: DataFrame, label: str, fold_col
     base is fitted on the other folds and scores fold f; bases are then refitted on all
     training rows to score ``test``. Returns (test predictions, oof table).
     """
+    from ..session import materialize
+    # every base is fitted k + 1 times: read the prepared inputs from one written copy
+    train, test = materialize(train, "stack-train"), materialize(test, "stack-test")
     folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]   # k fold ids
     oof = None
     for f in folds:

@@ -156,9 +156,9 @@ def q_mlp(spark, sf):
 def q_stack(spark, sf):
     train, test = _train_test(spark, sf)
     train = stratified_folds(train, "row_id", "GradeClass", 3, 42)
-    bases = {"rf": MD.forest_classifier("label", trees=20, depth=8),
-             "gbt": MD.OrdinalBoost(5, "label", max_iter=5, depth=3),
-             "mlp": MD.mlp_classifier(len(FEATURES), 5, "label", hidden=(16, 8)).setMaxIter(30)}
+    bases = {"rf": MD.forest_classifier("label", trees=10, depth=6),
+             "gbt": MD.OrdinalBoost(5, "label", max_iter=3, depth=3),
+             "mlp": MD.mlp_classifier(len(FEATURES), 5, "label", hidden=(16, 8)).setMaxIter(20)}
     pred, _ = MD.stacking_fit_predict(train, test, "label", "fold", "row_id", bases, 5)
     return rounded(_metrics(pred))
 
