@@ -1,10 +1,7 @@
 """Streaming adapter, model-side operators and brute-force checks of the iterative ones."""
 
-import math
-
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
