@@ -125,11 +125,15 @@ def counterfactuals(model, df: DataFrame, id_col: str, features: Sequence[str],
     return sc.withColumn("cf_rank", F.row_number().over(w)).where(F.col("cf_rank") <= k).drop("_pd")
 
 
-def changed_cells(cf: DataFrame, id_col: str, allowed: Sequence[str]) -> DataFrame:
-    """Only the cells a counterfactual changes: (id, cf_rank, feature, from_value, to_value)."""
-    s = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_o_{c}").alias("from_value"),
-                           F.col(c).alias("to_value")) for c in allowed])
-    return cf.select(id_col, "cf_rank", F.inline(s)).where(F.col("from_value") != F.col("to_value"))
+def changed_cells(cf: DataFrame, id_col: str, allowed: Sequence[str], rank_col: str | None = "cf_rank") -> DataFrame:
+    """Only the cells a proposal changes: (id, [rank], feature, from_value, to_value).
+
+    ``cf`` holds the proposed values in the column names and the originals in ``_o_<name>``.
+    """
+    s = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_o_{c}").cast("double").alias("from_value"),
+                           F.col(c).cast("double").alias("to_value")) for c in allowed])
+    keys = [id_col] + ([rank_col] if rank_col else [])
+    return cf.select(*keys, F.inline(s)).where(~F.col("from_value").eqNullSafe(F.col("to_value")))
 
 
 def scenario_scores(model, scenarios: DataFrame, features: Sequence[str], risk_classes=(3, 4)) -> DataFrame:

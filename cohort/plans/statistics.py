@@ -317,3 +317,17 @@ def q_column_groups(spark, sf):
     tr, te = FE.column_group_transform(train, test, numeric, ["ParentalEducation"],
                                        ["Gender", "Tutoring", "Extracurricular", "InternetAccess"], "GradeClass", "row_id")
     return rounded(te)
+
+
+@query("changed_cells_capping", f"""
+WITH q AS (SELECT quantile_cont(value, 0.25) AS a1, quantile_cont(value, 0.75) AS a3 FROM events),
+c AS (SELECT event_id, value AS o, CASE WHEN value > a3 + 1.5 * (a3 - a1) THEN a3 + 1.5 * (a3 - a1)
+             WHEN value < a1 - 1.5 * (a3 - a1) THEN a1 - 1.5 * (a3 - a1) ELSE value END AS n FROM events, q)
+SELECT event_id, 'value' AS feature, {r6('o')} AS from_value, {r6('n')} AS to_value FROM c WHERE o IS DISTINCT FROM n""")
+def q_changed_capping(spark, sf):
+    """Show only the cells a proposal changes (here: what the IQR cap changes in event values)."""
+    from ..operators.explain import changed_cells
+    ev = table(spark, sf, "events").select("event_id", F.col("value").cast("double").alias("value"))
+    orig = ev.select("event_id", F.col("value").alias("_o_value"))
+    capped = FE.IQRCapper(inputCols=["value"]).fit(ev).transform(ev)
+    return rounded(changed_cells(capped.join(orig, "event_id"), "event_id", ["value"], rank_col=None))
