@@ -3,7 +3,7 @@
 * Shapley values by permutation sampling: each (row, sample) draws a feature order and a
   background row (md5-seeded); the p + 1 points along that order are generated with
   ``explode`` (no join of rows with rows), scored in one ``transform``, and consecutive
-  differences are the contributions. Per row they sum to f(x) - mean f(background)
+  differences, taken by a signed grouped sum (no window), are the contributions. Per row they sum to f(x) - mean f(background)
   exactly (telescoping). The background is a fixed-size md5 sample, counted, broadcast.
 * Counterfactuals: for every query row, candidate changes of the allowed columns come
   from a grid of observed quantiles (a few values per column, exploded per row), are
@@ -68,12 +68,20 @@ def shapley_values(model, df: DataFrame, id_col: str, features: Sequence[str], t
             for i, c in enumerate(features)}
     d = d.select(id_col, "_m", "_step", "_ord", *[v.alias(c) for c, v in vals.items()])
     s = _prob(model, d, features, target_class, "_f")
-    w = Window.partitionBy(id_col, "_m").orderBy("_step")   # p + 1 rows per partition
-    s = s.withColumn("_delta", F.col("_f") - F.lag("_f", 1).over(w))
-    base = s.where(F.col("_step") == 0).groupBy(id_col).agg(F.avg("_f").alias("base"))
-    s = s.where(F.col("_step") > 0).withColumn("_feat", F.element_at(F.col("_ord"), F.col("_step")))
+    # contribution of the feature added at step k is f_k - f_(k-1): every evaluation adds
+    # +f_k to the feature entering at k and -f_k to the feature entering at k + 1, so a
+    # grouped sum gives the differences without a window (partial aggregation combines
+    # each row's chain inside the task that generated it)
+    step = F.col("_step")
+    parts = F.array(
+        F.when(step >= 1, F.struct(F.element_at("_ord", F.greatest(step, F.lit(1))).alias("_feat"),
+                                   F.col("_f").alias("_v"))),
+        F.when(step < p, F.struct(F.element_at("_ord", F.least(step + 1, F.lit(p))).alias("_feat"),
+                                  (-F.col("_f")).alias("_v"))))
+    terms = s.select(id_col, F.inline(F.filter(parts, lambda x: x.isNotNull())))
+    base = s.where(step == 0).groupBy(id_col).agg(F.avg("_f").alias("base"))
     names = F.array(*[F.lit(c) for c in features])
-    phi = s.groupBy(id_col, "_feat").agg((F.sum("_delta") / F.lit(float(samples))).alias("phi")).select(
+    phi = terms.groupBy(id_col, "_feat").agg((F.sum("_v") / F.lit(float(samples))).alias("phi")).select(
         id_col, F.element_at(names, F.col("_feat") + 1).alias("feature"), "phi")
     return (phi, base) if return_base else phi
 
