@@ -259,3 +259,29 @@ def test_pc_recovers_collider(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c)], "a double, b double, c double")
     e = {(r.src, r.dst, r.kind) for r in H.causal_edges(df, ["a", "b", "c"]).collect()}
     assert e == {("a", "c", "directed"), ("b", "c", "directed")}
+
+
+def test_bayesian_ridge_from_gram_matches_data_matrix_version():
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(300, 3))
+    y = X @ np.array([1.0, -2.0, 0.5]) + 3 + rng.normal(scale=0.5, size=300)
+    A = np.hstack([np.ones((300, 1)), X])
+    got = FE.bayesian_ridge_from_gram(A.T @ A, A.T @ y, float(y @ y))
+    # same evidence updates on the centred data matrix via its SVD
+    Xc, yc = X - X.mean(0), y - y.mean()
+    U, S, Vt = np.linalg.svd(Xc, full_matrices=False)
+    eig = S ** 2
+    alpha, lam = 1 / (yc.var() + np.finfo(float).eps), 1.0
+    old = None
+    for _ in range(300):
+        coef = Vt.T @ ((Vt @ (Xc.T @ yc)) / (eig + lam / alpha))
+        rmse = np.sum((yc - Xc @ coef) ** 2)
+        gamma = np.sum(alpha * eig / (lam + alpha * eig))
+        lam = (gamma + 2e-6) / (np.sum(coef ** 2) + 2e-6)
+        alpha = (300 - gamma + 2e-6) / (rmse + 2e-6)
+        if old is not None and np.sum(np.abs(old - coef)) < 1e-3:
+            break
+        old = coef
+    coef = Vt.T @ ((Vt @ (Xc.T @ yc)) / (eig + lam / alpha))
+    want = [y.mean() - X.mean(0) @ coef] + list(coef)
+    assert np.allclose(got, want, atol=1e-8)
