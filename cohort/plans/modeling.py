@@ -180,7 +180,11 @@ def q_random(spark, sf):
     space = {rf.maxDepth: ("int", 3, 10), rf.minInstancesPerNode: ("int", 1, 10),
              rf.subsamplingRate: ("float", 0.5, 1.0), rf.featureSubsetStrategy: ("choice", ["sqrt", "all"])}
     cv = MD.random_search(rf, space, 4, train, "label", "fold")
-    return rounded(MD.trials_table(spark, cv))
+    trials = MD.trials_table(spark, cv)
+    log = _scratch(spark, "trials")
+    for t in trials.collect():   # one row per trial (4)
+        IO.log_run(spark, log, f"trial-{t.trial}", {"params": t.params}, {"cv_qwk": t.cv_qwk})
+    return rounded(trials)
 
 
 @query("split_ratio_study")
