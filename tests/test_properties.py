@@ -285,3 +285,14 @@ def test_bayesian_ridge_from_gram_matches_data_matrix_version():
     coef = Vt.T @ ((Vt @ (Xc.T @ yc)) / (eig + lam / alpha))
     want = [y.mean() - X.mean(0) @ coef] + list(coef)
     assert np.allclose(got, want, atol=1e-8)
+
+
+def test_label_codes_sorted_and_unseen_raises(spark):
+    from cohort.operators.clean import apply_label_codes, label_dimension
+    train = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "s string")
+    dim = label_dimension(train, "s", "code")
+    assert sorted((r.s, r.code) for r in dim.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    ok = apply_label_codes(spark.createDataFrame([("c",), (None,)], "s string"), dim, "s", "code")
+    assert sorted((r.s or "", r.code if r.code is not None else -1) for r in ok.collect()) == [("", -1), ("c", 2)]
+    with pytest.raises(ValueError):
+        apply_label_codes(spark.createDataFrame([("z",)], "s string"), dim, "s", "code")
