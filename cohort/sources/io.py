@@ -43,7 +43,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def _is_missing_path(e: AnalysisException) -> bool:
-    cls = getattr(e, "getErrorClass", lambda: None)() or ""
+    get = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", None)
+    cls = (get() if get else None) or ""
     return "PATH_NOT_FOUND" in cls or "Path does not exist" in str(e)
 
 

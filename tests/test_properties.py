@@ -296,3 +296,17 @@ def test_label_codes_sorted_and_unseen_raises(spark):
     assert sorted((r.s or "", r.code if r.code is not None else -1) for r in ok.collect()) == [("", -1), ("c", 2)]
     with pytest.raises(ValueError):
         apply_label_codes(spark.createDataFrame([("z",)], "s string"), dim, "s", "code")
+
+
+def test_read_first_only_skips_missing_paths(spark, tmp_path):
+    from cohort.sources.io import read_first
+    df = read_first(spark, [str(tmp_path / "nope"), f"{SF_MID}/region.parquet"])
+    assert df.count() == 5
+    bad = tmp_path / "not_parquet"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("this is not parquet")
+    with pytest.raises(Exception) as e:
+        read_first(spark, [str(bad), f"{SF_MID}/region.parquet"]).count()
+    assert "nope" not in str(e.value)
+    with pytest.raises(FileNotFoundError):
+        read_first(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
