@@ -33,3 +33,9 @@ def quantile_agg(col, probs) -> Column:
         return F.percentile_approx(c, probs, APPROX_ACCURACY).cast(
             "array<double>" if isinstance(probs, (list, tuple)) else "double")
     return F.percentile(c, list(probs) if isinstance(probs, (list, tuple)) else probs)
+
+
+def distinct_count(col) -> Column:
+    """Distinct count for threshold decisions: exact, or HyperLogLog++ (1 % error) in approx mode."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.approx_count_distinct(c, 0.01) if QUANTILES == "approx" else F.count_distinct(c)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import quantile_agg
+from ..config import distinct_count, quantile_agg
 from .windows import chunked_running, range_chunk, range_edges
 
 # Chebyshev fit of erfc (fractional error < 1.2e-7), coefficients in order.
@@ -52,7 +52,7 @@ def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]
     value is High and the smaller Low (the reference compares groups that do not exist).
     """
     gcols = sorted({g for _, g, _ in hypotheses})
-    st = df.agg(*[F.count_distinct(g).alias(f"d_{g}") for g in gcols],
+    st = df.agg(*[distinct_count(g).alias(f"d_{g}") for g in gcols],
                 *[quantile_agg(F.col(g).cast("double"), 0.5).alias(f"m_{g}") for g in gcols],
                 *[F.max(g).alias(f"x_{g}") for g in gcols], *[F.min(g).alias(f"n_{g}") for g in gcols]).first()
     structs = []
