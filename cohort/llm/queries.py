@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import lines, mixing, quality
 from .common import read
 
 QUERIES: dict = {}
@@ -29,3 +29,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_mix_sources"] = mixing.SQL
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(read(spark, sf_dir, "documents"))
+
+
+SQL["op7_line_dedup"] = lines.SQL
