@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, neardup, quality, secrets, toxicity
+from . import decontaminate, lines, mixing, neardup, quality, secrets, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -57,3 +57,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+SQL["op8_warc_archives"] = warc.SQL
