@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, neardup, quality, secrets, toxicity, warc
+from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -65,3 +65,11 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op8_warc_archives"] = warc.SQL
+
+
+@query
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"))
+
+
+SQL["op5_lm_scores"] = lm.SQL
