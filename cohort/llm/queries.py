@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, toxicity, warc
+from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, substrings, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -73,3 +73,8 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_lm_scores"] = lm.SQL
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(read(spark, sf_dir, "documents"))
