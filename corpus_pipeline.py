@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import mixing, quality
+from cohort.llm import decontaminate, lines, mixing, neardup, quality
 from cohort.llm.common import Scratch, read
 
 
@@ -18,12 +18,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.trusted_ids(spark, sf_dir))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines are cut; a document of which no word is left goes."""
+    return lines.without_repeats(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes, with the words taken of each."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("mixing", mixing_stage)]
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
 
 #: The hashed importance ratio of the first stage cannot be said in portable SQL.
 ORACLE_SQL = None
