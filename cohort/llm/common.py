@@ -37,6 +37,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on derived columns.
+
+    A plain filter would be pushed below the projections, with a copy of every expression the
+    condition refers to, and copies of copies; a generator is computed where it stands.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.explode(F.when(condition, F.array(row))).alias("_kept")).select("_kept.*")
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, to cut lineage and to compute once.
 

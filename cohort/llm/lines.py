@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, keep_where, words
 
 MIN_WORDS = 5
 
@@ -116,7 +116,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str =
 
     ``chars_col``, where the table has it, is counted anew for changed texts.
     """
-    out = dedup_lines(docs, min_words).where((F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(SPACES)) != ""))
+    out = keep_where(dedup_lines(docs, min_words, text_col=text_col).drop("n_lines"),
+                     (F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(SPACES)) != ""))
     changed = F.col("n_removed") > 0
     cols = []
     for c in docs.columns:
