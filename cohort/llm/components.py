@@ -34,7 +34,9 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or state[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._scratch_path = edges._scratch_path
+            return out
         seen = state
         new = scratch.write(_small_star(_large_star(edges)), "links")
         scratch.drop(edges)

@@ -28,6 +28,7 @@ component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,10 @@ from .components import components
 COORDS = 64
 TREES = 6
 FANOUT = 2
-LEAF = 256
+LEAF = 1024
 FLOOR = 0.5
 PERCENT = 75
+BROADCAST_IDS = 20_000
 
 _SIG = "id long, n long, s1 long, s2 long, sig binary"
 
@@ -194,7 +196,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, coords: int, floor: float) -> D
     return both.mapInArrow(work, "a long, a1 long, b long, b1 long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text_col: str, k: int) -> DataFrame:
     """``id, s1, set`` of the wanted (id, s1): all shingle hashes, computed from the texts."""
     def work(batches):
         for batch in batches:
@@ -206,7 +208,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
                                               pa.array(sets, pa.binary())], ["id", "s1", "set"])
     ids = wanted.select(F.col("id").alias("_id")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(ids.hint("shuffle_hash"), F.col("id") == F.col("_id")).select("id", "text")
+    ids = F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    rows = rows.join(ids, F.col("id") == F.col("_id")).select("id", "text")
     return rows.mapInArrow(work, "id long, s1 long, set binary").join(wanted, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
 
 
@@ -238,27 +241,32 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # an id with several texts is one node from the start
     same_id = sig.where("n > 0 and id is not null").join(reps.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"])
     same_id = same_id.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    links, comp, sets = None, None, None
+    comp, sets = None, None
 
     def with_comp(rows: DataFrame) -> DataFrame:
         if comp is None:
             return rows.withColumn("comp", F.col("id"))
         return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
-    def add_links(found: DataFrame, label: str) -> None:
-        nonlocal links, comp
-        found = scratch.write(found, label)
-        if links is not None and not found.limit(1).count():
-            return
-        links, old = found if links is None else links.union(found), comp
-        comp = components(links, scratch)
-        scratch.drop(old)
+    def add_links(*tables: DataFrame) -> None:
+        """Contract what is linked: the components so far stand for all earlier links."""
+        nonlocal comp
+        found = [scratch.write(t, "found") for t in tables]
+        found = [t for t in found if t.limit(1).count()]
+        if found:
+            old = comp
+            known = [] if old is None else [old.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            comp = components(functools.reduce(DataFrame.union, [*known, *found]), scratch)
+            scratch.drop(old, *found)
 
     def load_sets(need: DataFrame) -> None:
         nonlocal sets
         need = need.distinct() if sets is None else need.distinct().join(sets, ["id", "s1"], "left_anti")
-        new = scratch.write(_full_sets(docs, need, id_col, text_col, k), "sets")
-        sets = new if sets is None else sets.union(new)
+        need = scratch.write(need, "need")
+        rows = need.count()
+        if rows or sets is None:
+            new = scratch.write(_full_sets(docs, need, rows, id_col, text_col, k), "sets")
+            sets = new if sets is None else sets.union(new)
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows of the nodes that hold more than one component."""
@@ -273,7 +281,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = scratch.write(rows, "nodes")
         sizes = with_comp(rows).groupBy("path").agg(
             F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min_by(F.struct("id", "s1"), F.xxhash64("path", "id", "s1")).alias("pivot"))
+            F.min_by(F.struct("id", "s1", "comp"), F.xxhash64("path", "id", "s1")).alias("pivot"))
         sizes = scratch.write(sizes.where("c > 1 and lo < hi"), "sizes")
         big = sizes.where(F.col("c") > leaf)
         any_big = big.limit(1).count() > 0
@@ -282,25 +290,27 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         need = small.select("id", "s1")
         star = None
         if any_big:
-            # each member of a large node against the node's pivot
-            pairs = rows.join(big.select("path", "pivot"), "path").select(
+            # each member of a large node against the node's pivot, unless links found before join them
+            pairs = with_comp(rows).join(big.select("path", "pivot"), "path").where(F.col("pivot.comp") != F.col("comp")).select(
                 F.col("pivot.id").alias("a"), F.col("pivot.s1").alias("a1"), F.col("id").alias("b"), F.col("s1").alias("b1"))
-            star = scratch.write(_agreeing(pairs.where("a <> b").distinct(), reps, coords, floor), "star")
+            star = scratch.write(_agreeing(pairs.distinct(), reps, coords, floor), "star")
             need = need.union(star.select("b", "b1")).union(star.select("a", "a1"))
         load_sets(need)
-        if star is not None:
-            add_links(_verified(star, sets, percent), "star-links")
+        first = [] if star is None else [_verified(star, sets, percent)]
         if level == 0:
             # a sixth of the nodes first; what they join needs no second look
-            add_links(_links_in_nodes(small.where(F.pmod("path", F.lit(trees)) == 0), sets, coords, floor, percent), "node-links")
+            first.append(_links_in_nodes(small.where(F.pmod("path", F.lit(trees)) == 0), sets, coords, floor, percent))
+        add_links(*first)
         small = mixed(small.drop("comp")) if comp is not None else small
-        add_links(_links_in_nodes(small, sets, coords, floor, percent), "node-links")
+        add_links(_links_in_nodes(small, sets, coords, floor, percent))
         if not any_big:
             break
         rows = mixed(rows.join(big.select("path"), "path")).select("path", "id", "s1")
         rows, level = _children(rows.join(slim.drop("n"), ["id", "s1"]), coords, fanout if level < 2 else 1), level + 1
 
-    comp = components(same_id.union(links), scratch)
+    add_links(same_id)
+    if comp is None:
+        return sig.select("id", "n", F.col("id").alias("component"))
     return sig.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component"))
 
