@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, read, shingle_hashes, words
+from .common import keep_where, read, shingle_hashes, words
 
 BUCKETS = 10_000          #: features are hashed into so many buckets
 PRIOR = 1_000.0           #: weight, in features, of the corpus distribution in the target's
@@ -44,8 +44,8 @@ def repeat_words(grams: str, n_words: str, df: DataFrame, out: str) -> DataFrame
 
 
 def _features(text: Column) -> Column:
-    """Words with runs of punctuation as words of their own."""
-    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\x20\x09-\x0D]+)", " $1 ")
+    """Words, with runs of ASCII punctuation as words of their own."""
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"[!-/:-@\[-`{-~]+", " $0 ")
     return words(apart)
 
 
@@ -130,4 +130,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The input rows that the rules keep, with the input's columns."""
     out = quality_columns(docs, log_ratios(docs, trusted), carry=True, **options)
-    return out.where("kept").select("_row.*")
+    return keep_where(out.select("_row", "kept"), F.col("kept")).select("_row.*")
