@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_bounded, words
+from .common import Scratch, join_bounded, words
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -32,9 +32,10 @@ BINS = 4096
 
 
 def letter_share(text: Column) -> Column:
-    """Quality weight of a document: 0.1 plus the share of its characters that are letters."""
+    """Quality weight of a document: 0.1 plus the share of its characters that are not ASCII
+    digits, punctuation, spaces or controls."""
     full = F.coalesce(text, F.lit(""))
-    letters = F.length(F.regexp_replace(full, r"[^\p{L}]+", ""))
+    letters = F.length(F.regexp_replace(full, r"[\x00-@\[-`{-\x7F]+", ""))
     return F.lit(0.1) + letters.cast("double") / F.greatest(F.lit(1), F.length(full))
 
 
@@ -79,10 +80,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                      F.size(words(text)).cast("bigint").alias("_size"), key.alias("_key"))
     # keys are positive; 1 - exp(-key) spreads them over (0, 1) in the same order
     df = df.select("*", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * bins).cast("int").alias("_bin"))
+    # texts are scanned once: everything below reads this table
+    scratch = Scratch(docs.sparkSession, "mixing")
+    df = scratch.write(df, "keyed")
     slim = df.select("_source", "_size", "_bin")
     binned = slim.groupBy("_source", "_bin").agg(F.sum("_size").alias("_size"))
     targets = source_targets(binned, weights, max_epochs)
-    n_sources = docs.select(source_col).distinct().count()
+    n_sources = df.select("_source").distinct().count()
     epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size"))).cast("int"))
     targets = targets.select("*", epochs.alias("_epochs")).select(
         "*", F.greatest(F.lit(0), F.round(F.col("target") - F.col("_epochs") * F.col("source_size"))
@@ -124,7 +128,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '-42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
-           / (0.1 + length(regexp_replace(coalesce(text, ''), '[^\p{L}]+', '', 'g'))::DOUBLE / greatest(1, length(coalesce(text, '')))) AS k
+           / (0.1 + length(regexp_replace(coalesce(text, ''), '[\x00-@\[-`{-\x7F]+', '', 'g'))::DOUBLE / greatest(1, length(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w FROM d GROUP BY source),
