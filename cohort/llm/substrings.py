@@ -142,6 +142,8 @@ def kept_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 def _fingerprints(data: np.ndarray, q: np.ndarray) -> np.ndarray:
     """64-bit hash of the REACH bytes from each position."""
     h = np.zeros(len(q), np.uint64)
+    if not len(q):
+        return h
     for o in (*range(0, REACH - GRAM, GRAM), REACH - GRAM):
         h = tn.mix(h + _grams(data, q + o))
     return h
@@ -219,7 +221,7 @@ def owners(right: np.ndarray, left: np.ndarray, mask: np.ndarray, ids: np.ndarra
         rows = np.flatnonzero(has)
         if len(rows) < 2:
             continue
-        key = tn.mix(group[rows].astype(np.uint64)) ^ before[rows]
+        key = tn.mix(tn.mix(group[rows].astype(np.uint64) ^ np.uint64(0x6A09E667F3BCC909)) + before[rows])
         by = np.argsort(key, kind="stable")
         rows, key = rows[by], key[by]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])

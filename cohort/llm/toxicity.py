@@ -149,7 +149,9 @@ def restored_words(text: str, decoder: Decoder | None) -> set[str]:
             if _odd(token.rstrip(".,;:")):
                 found.add(decoder.best(token.rstrip(".,;:")))
         for m in SPELLED.finditer(text):
-            found.add(decoder.best("".join(c for c in m.group() if c.isalpha())))
+            letters = "".join(c for c in m.group() if c.isalpha())
+            # a word of one letter next to it may stick to it
+            found.update(decoder.best(x) for x in (letters, letters[1:], letters[:-1]))
     found.discard("")
     return found
 
