@@ -160,6 +160,29 @@ def test_kappa_matches_formula_on_reference_confusion(spark):
     assert abs(EV.quadratic_kappa(const, "y", "p").first()[0]) < 1e-12
 
 
+def stability_index(reference, current, bins=10, floor=1e-4):
+    """By definition: share of each side's rows per half-open bin (the last one closed), counted one by one."""
+    import math
+    from statistics import quantiles
+    known = sorted(x for x in reference if x is not None and x == x)
+    values = sorted(set(known))
+    if len(values) > bins:
+        edges = sorted({known[0], *quantiles(known, n=bins, method="inclusive"), known[-1]})
+    else:
+        edges = [*values, values[-1] + 1e-10]
+
+    def share(rows, i):
+        last = i == len(edges) - 2
+        inside = sum(1 for x in rows if x is not None and x == x and edges[i] <= x and (x <= edges[i + 1] if last else x < edges[i + 1]))
+        return inside / len(rows) or floor
+    total = 0.0
+    for i in range(len(edges) - 1):
+        before, after = share(reference, i), share(current, i)
+        total += (after - before) * math.log(after / before)
+    return total
+
+
+
 def test_psi_identity_and_brute_force(spark, rec):
     cols = ["StudyTimeWeekly", "Absences", "GPA", "ParentalEducation"]
     same = M.psi(rec, rec, cols).collect()
@@ -169,7 +192,7 @@ def test_psi_identity_and_brute_force(spark, rec):
     got = {r.column_name: r.psi for r in M.psi(ref, cur, cols).collect()}
     pr, pc = ref.toPandas(), cur.toPandas()
     for c in cols:
-        assert abs(got[c] - M.psi_local(pr[c].tolist(), pc[c].tolist())) < 1e-9
+        assert abs(got[c] - stability_index(pr[c].tolist(), pc[c].tolist())) < 1e-9
 
 
 def test_psi_alarms_on_injected_drift(spark, rec):
@@ -310,3 +333,10 @@ def test_read_first_only_skips_missing_paths(spark, tmp_path):
     assert "nope" not in str(e.value)
     with pytest.raises(FileNotFoundError):
         read_first(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+
+
+def test_minmax_keeps_null_and_survives_flat_columns(spark):
+    t = spark.createDataFrame([(1.0, 5.0, None), (3.0, 5.0, None), (None, 5.0, None)], "a double, b double, c double")
+    out = FE.MinMaxScaler(inputCols=["a", "b", "c"]).fit(t).transform(t).collect()
+    assert [r["a"] for r in out] == [0.0, 1.0, None]
+    assert [r["b"] for r in out] == [0.0, 0.0, 0.0] and [r["c"] for r in out] == [None, None, None]
