@@ -342,9 +342,7 @@ def q_oversample(spark, sf):
 def _personas(spark, sf):
     cols = ["StudyTimeWeekly", "Absences", "ParentalEducation", "InternetAccess", "Tutoring", "Extracurricular"]
     e = PE.embed_2d(prepared_records(spark, sf), cols)
-    n = e.count()   # density thresholds scale with the table so the grid stays meaningful
-    return PE.grid_density_clusters(e, "embed_1", "embed_2", eps=0.1, min_samples=max(10, n // 360),
-                                    min_cluster_size=max(50, n // 72))
+    return PE.grid_density_clusters(e, "embed_1", "embed_2", eps=0.1, min_samples=10, min_cluster_size=50)
 
 
 @query("persona_clusters")
