@@ -148,8 +148,11 @@ def read_archive(data: bytes):
 
 def train_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
     """Dictionary from the first ``SAMPLE_BYTES`` of at most ``SAMPLE_PAGES`` pages, the first by hash of the id."""
-    rows = (pages.where(F.col(payload_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES)
-            .select(F.substring(payload_col, 1, SAMPLE_BYTES).alias("p"), id_col).collect())
+    place = F.xxhash64(id_col).alias("h")
+    # ids are ranked alone: a task's leading rows, which go to the driver, hold no text
+    lead = pages.select(place).orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    few = pages.where(F.xxhash64(id_col) <= F.lit(lead).cast("long")).select(F.substring(payload_col, 1, SAMPLE_BYTES).alias("p"), id_col, place)
+    rows = few.where("p is not null").orderBy("h").limit(SAMPLE_PAGES).collect()
     samples = [build_record(r[1], "", r[0].encode(), "0" * 64, None, False) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
