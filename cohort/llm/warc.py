@@ -11,8 +11,8 @@ leading skippable frame, decodes one frame per record, and validates version, re
 lengths, block ends and payload digests. A file of which a byte is missing or wrong raises.
 
 Payloads of at least ``MIN_REVISIT`` bytes are stored once: the record with the smallest page id is
-the response, the others are revisits that refer to it. Archives hold about ``ARCHIVE_BYTES`` of
-payload, so that a file fits a task; the number follows from the total size, not from a key.
+the response, the others are revisits that refer to it. Archives hold at most about ``ARCHIVE_BYTES``
+of payload, so that a file fits a task; the number follows from the total size, not from a key.
 
 Edge cases: a null payload is empty; a null page id sorts last and is written as ``none``; rows
 that repeat the smallest page id are responses too; extra columns are ignored; an empty table
@@ -161,20 +161,29 @@ def train_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str
 
 
 def record_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``page, url, payload, digest, first``: first is the smallest id with the same payload of enough bytes, else null."""
+                min_revisit: int = MIN_REVISIT, files: int | None = None) -> DataFrame:
+    """``page, url, payload, digest, first``: first is the smallest id with the same payload of enough bytes, else null.
+
+    With ``files`` the rows come in that many partitions. Payloads are exchanged once, by page and
+    digest; what repeats is found on digests alone and meets them there.
+    """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), url.cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"))
-    # the digests alone say which payloads repeat; only those few are joined
-    first = (rows.where(F.octet_length("payload") >= min_revisit).groupBy(F.unhex("digest").alias("_d"))
-             .agg(F.min("page").alias("first"), F.count("*").alias("_c")).where("_c > 1").drop("_c"))
-    return rows.join(first, F.unhex("digest") == F.col("_d"), "left").select("page", "url", "payload", "digest", "first")
-
-
-def write_archives(records: DataFrame, path: str, dictionary: bytes, total_bytes: int, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Archives of about ``archive_bytes`` of payload in the folder ``path``."""
+    names = rows.where(F.octet_length("payload") >= min_revisit).select("page", "digest", F.unhex("digest").alias("_d"))
+    first = names.groupBy("_d").agg(F.min("page").alias("first"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    key = F.concat_ws("/", F.col("page").cast("string"), "digest").alias("_key")
+    copies = names.join(first, "_d").groupBy(key).agg(F.first("first").alias("first"))
+    rows = rows.select("*", key)
+    if files is not None:
+        rows, copies = rows.repartition(files, "_key"), copies.repartition(files, "_key")
+    return rows.join(copies, "_key", "left").select("page", "url", "payload", "digest", "first")
+
+
+def write_archives(pages: DataFrame, path: str, dictionary: bytes, total_bytes: int, id_col: str = "page_id", url_col: str = "url",
+                   payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives of at most about ``archive_bytes`` of payload in the folder ``path``."""
     lead = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
 
     def work(batches):
@@ -186,8 +195,10 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes, total_bytes
                 revisit = first is not None and page != first
                 out.append(tool.compress(build_record(page, url, payload, digest, first, revisit)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-    files = max(1, -(-total_bytes // archive_bytes))
-    frames = records.repartition(files, F.xxhash64("page", "digest")).mapInArrow(work, "frame binary")
+    # with fewer files than shuffle partitions, Spark would exchange the payloads again for the join
+    files = max(-(-total_bytes // archive_bytes), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    records = record_plan(pages, id_col, url_col, payload_col, files=files)
+    frames = records.mapInArrow(work, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", PAD).option("compression", "none").text(path)
 
 
@@ -208,7 +219,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
     path = Scratch(spark, "warc").path("archives")
-    write_archives(record_plan(pages, id_col, url_col, payload_col), path, train_dictionary(pages, id_col, payload_col), total)
+    write_archives(pages, path, train_dictionary(pages, id_col, payload_col), total, id_col, url_col, payload_col)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
