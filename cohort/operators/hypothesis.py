@@ -73,7 +73,7 @@ def mann_whitney(stacked: DataFrame, chunks: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U per hypothesis on (hypothesis, grp, y) rows, High vs Low.
 
     Output: hypothesis, n_high, n_low, u (statistic of High), z (tie and continuity
-    corrected, for max(U1, U2)), p_value = erfc(z / sqrt 2).
+    corrected, for max(U1, U2)), p_value = erfc(z / sqrt 2). A constant target has no z and no p_value.
     """
     vals = stacked.groupBy("hypothesis", "y").agg(
         F.count_if(F.col("grp") == "High").alias("c1"), F.count(F.lit(1)).alias("t"))
@@ -87,9 +87,9 @@ def mann_whitney(stacked: DataFrame, chunks: int | None = None) -> DataFrame:
     n2 = n - n1
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u = F.greatest(u1, n1 * n2 - u1)
-    s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (u - n1 * n2 / 2 - F.lit(0.5)) / s
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), erfc_expr(z / F.lit(math.sqrt(2.0)))))
+    s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(u - n1 * n2 / 2 - F.lit(0.5), s)       # null where every value is tied or a group is empty
+    p = F.when(z.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), erfc_expr(z / F.lit(math.sqrt(2.0))))))
     return g.select("hypothesis", F.col("n1").cast("bigint").alias("n_high"), (F.col("n") - F.col("n1")).cast("bigint")
                     .alias("n_low"), u1.alias("u"), z.alias("z"), p.alias("p_value"))
 
@@ -118,11 +118,19 @@ def gram(df: DataFrame, cols: Sequence[str], center: bool = False):
 
 
 def vif(df: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> list[tuple]:
-    """Uncentred VIF_i = (X'X)_ii * ((X'X)^-1)_ii (no constant added); rows (feature, vif, high)."""
+    """Uncentred VIF_i = (X'X)_ii * ((X'X)^-1)_ii (no constant added); rows (feature, vif, high).
+
+    Columns that take part in an exact linear dependence are infinite; a column of zeros has no value (NaN).
+    """
     import numpy as np
     G, _ = gram(df, cols)
-    inv = np.linalg.pinv(G)
-    return [(c, float(G[i, i] * inv[i, i]), bool(G[i, i] * inv[i, i] > threshold)) for i, c in enumerate(cols)]
+    length = np.sqrt(np.diag(G))
+    live = length > 0
+    values, vectors = np.linalg.eigh((G / np.outer(np.where(live, length, 1), np.where(live, length, 1)))[np.ix_(live, live)])
+    lost = values < 1e-12 * len(cols)
+    out = np.full(len(cols), np.nan)
+    out[live] = np.where((vectors[:, lost] ** 2).sum(axis=1) > 1e-9, np.inf, (vectors[:, ~lost] ** 2 / values[~lost]).sum(axis=1))
+    return [(c, float(v), bool(v > threshold)) for c, v in zip(cols, out)]
 
 
 def vif_frame(df: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> DataFrame:

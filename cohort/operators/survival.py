@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import clip
 from .windows import chunked_running, range_chunk, range_edges
 
 EFRON_BLOCK = 10000
@@ -29,20 +30,21 @@ EFRON_BLOCK = 10000
 def event_duration(df: DataFrame, cls: str = "GradeClass", event_class: int = 4, exposure: str = "Absences",
                    max_time: float = 40.0, noise_sd: float = 0.0, id_col: str | None = None, seed=42) -> DataFrame:
     """Event = class == event_class; duration = max_time * (1 - minmax(exposure)) (+ noise), clipped
-    to [1, max_time]; rows without the event are censored at max_time.
+    to [1, max_time]; rows without the event are censored at max_time. An event without exposure has
+    no duration (null).
 
     Noise (optional) is Box-Muller from md5 of the row id, so it is reproducible anywhere.
     """
     r = df.agg(F.min(exposure).alias("lo"), F.max(exposure).alias("hi")).first()
     lo, hi = float(r["lo"]), float(r["hi"])
-    norm = F.coalesce(F.try_divide(F.col(exposure) - F.lit(lo), F.lit(hi - lo)), F.lit(0.0))
+    norm = F.when(F.col(exposure).isNotNull(), F.coalesce(F.try_divide(F.col(exposure) - F.lit(lo), F.lit(hi - lo)), F.lit(0.0)))
     dur = F.lit(max_time) * (F.lit(1.0) - norm)
     if noise_sd and id_col:
         h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
         u1 = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16 ** 12 + 1))
         u2 = F.conv(F.substring(h, 13, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
         dur = dur + F.lit(noise_sd) * F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-    dur = F.least(F.lit(max_time), F.greatest(F.lit(1.0), dur))
+    dur = clip(dur, 1.0, max_time)
     event = (F.col(cls) == F.lit(event_class)).cast("int")
     return df.withColumns({"Event": event, "Duration": F.when(event == 1, dur).otherwise(F.lit(max_time))})
 

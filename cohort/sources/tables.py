@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import right_closed_bins
+from ..functions.expressions import clip, right_closed_bins
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _clamp_gpa(x: Column) -> Column:
-    return F.least(F.lit(4.0), F.greatest(F.lit(0.0), x))
+    return clip(x, 0.0, 4.0)
 
 
 def _flag(cond: Column) -> Column:

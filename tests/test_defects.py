@@ -1,16 +1,20 @@
 """One test per reference defect we do not reproduce."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from cohort.operators import fairness as FA
 from cohort.operators import features as FE
+from cohort.operators import hypothesis as H
 from cohort.operators import monitor as M
+from cohort.operators import survival as SV
 from cohort.operators.clean import present
 from cohort.plans import modeling as MP
 from cohort.plans.audit import prepared_records
 from cohort.sources.contract import STUDENT_CONTRACT, Contract, validate
-from cohort.sources.tables import records
+from cohort.sources.tables import _clamp_gpa, records
 
 
 def test_d1_no_nulls_is_enforced_when_asked(spark):
@@ -22,6 +26,30 @@ def test_d1_no_nulls_is_enforced_when_asked(spark):
     assert not any(rule == "not_null" for _, rule in parity)
 
 
+def test_vif_of_collinear_columns_is_infinite(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7), 0.0) for i in range(1, 30)], "x double, y double, z double, o double")
+    got = {f: (v, high) for f, v, high in H.vif(df, ["x", "y", "z", "o"])}
+    assert got["x"] == got["y"] == (math.inf, True)
+    assert 1 <= got["z"][0] < 10 and math.isnan(got["o"][0])
+
+
+def test_mann_whitney_of_a_constant_target(spark):
+    df = spark.createDataFrame([("flat", "High" if i % 2 else "Low", 3.0) for i in range(8)]
+                               + [("real", "High" if i > 3 else "Low", float(i)) for i in range(8)], "hypothesis string, grp string, y double")
+    out = {r["hypothesis"]: r for r in H.mann_whitney(df).collect()}
+    assert out["flat"]["p_value"] is None and 0 < out["real"]["p_value"] < 0.05
+
+
+def test_event_without_exposure_has_no_duration(spark):
+    df = spark.createDataFrame([(1, 4, None), (2, 4, 30.0), (3, 4, 0.0), (4, 0, None)], "k int, GradeClass int, Absences double")
+    assert {r["k"]: r["Duration"] for r in SV.event_duration(df).collect()} == {1: None, 2: 1.0, 3: 40.0, 4: 40.0}
+
+
+def test_null_score_stays_null(spark):
+    df = spark.createDataFrame([(None,), (5.0,), (-1.0,)], "x double").select(_clamp_gpa(F.col("x")).alias("x"))
+    assert [r["x"] for r in df.collect()] == [None, 4.0, 0.0]
+
+
 def test_d2_imputer_runs_before_any_fill(spark):
     r = records(spark, SF_MID).select("row_id", "ParentalEducation")
     m = FE.MeanImputer(inputCols=["ParentalEducation"]).fit(r)
