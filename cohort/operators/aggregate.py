@@ -59,10 +59,19 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return g.select(F.inline(rows)).select("column_name", F.inline("z"))
 
 
+def _corr(a: str, b: str) -> Column:
+    """``corr`` from its parts, as the built-in fails on a constant column under ANSI rules."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlations of all pairs (pairwise-complete rows), one aggregate, long form."""
+    """Pearson correlations of all pairs (pairwise-complete rows), one aggregate, long form; a
+    constant column has none (null)."""
     pairs = list(itertools.combinations_with_replacement(cols, 2))
-    g = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
+    g = df.agg(*[_corr(a, b).alias(f"c{i}")
                  for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
@@ -75,7 +84,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Correlation of each column with ``target`` (target itself excluded); sort desc to show."""
     cols = [c for c in cols if c != target]
-    g = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"c{i}")
+    g = df.agg(*[_corr(c, target).alias(f"c{i}")
                  for i, c in enumerate(cols)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("r")) for i, c in enumerate(cols)])
     return g.select(F.inline(rows))
@@ -83,13 +92,13 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 
 def _min_max(df: DataFrame, col: str):
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return float(r["lo"]), float(r["hi"])
+    return (0.0, 0.0) if r["lo"] is None else (float(r["lo"]), float(r["hi"]))     # no value: no bin is filled
 
 
 def equal_width_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """1-based equal-width bin; the top edge belongs to the last bin; constant column -> 1."""
     if hi == lo:
-        return F.lit(1)
+        return F.when(x.isNotNull(), F.lit(1))
     b = F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int") + 1
     return F.least(b, F.lit(bins))
 
@@ -152,7 +161,7 @@ def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """2-D equal-width binned counts for every column pair (pair-plot data), long form."""
     r = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-    rng = {c: (float(r[f"lo_{c}"]), float(r[f"hi_{c}"])) for c in cols}
+    rng = {c: (float(r[f"lo_{c}"] or 0.0), float(r[f"hi_{c}"] or 0.0)) for c in cols}
     pairs = list(itertools.combinations(cols, 2))
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                         equal_width_bin(F.col(a), *rng[a], bins).alias("bin_a"),
@@ -166,12 +175,14 @@ def qcut_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Exact quantile edges at 0, 1/q, .., 1 with duplicates dropped."""
     probs = [i / q for i in range(q + 1)]
     e = df.agg(quantile_agg(F.col(col), probs)).first()[0]
-    return sorted(set(float(x) for x in e))
+    return sorted(set(float(x) for x in e or []))
 
 
 def qcut_bin(x: Column, edges: Sequence[float]) -> Column:
     """Right-closed quantile bin 0..k-1 with the lowest edge included; outside -> null."""
     k = len(edges) - 1
+    if k < 0:      # a column without values
+        return F.lit(None).cast("int")
     if k < 1:
         return F.when(x == F.lit(edges[0]), F.lit(0))
     b = sum((x > F.lit(e)).cast("int") for e in edges[1:-1]) if k > 1 else F.lit(0)
@@ -186,8 +197,8 @@ def qcut(df: DataFrame, col: str, q: int = 5, out: str = "qbin") -> tuple[DataFr
 def qcut_table(df: DataFrame, col: str, q: int = 5) -> DataFrame:
     """(qbin, lo, hi, n)."""
     d, edges = qcut(df, col, q)
-    lo = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("qbin") + 1)
-    hi = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("qbin") + 2)
+    at = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
+    lo, hi = F.get(at, F.col("qbin")), F.get(at, F.least(F.col("qbin") + 1, F.lit(len(edges) - 1)))
     return d.where(F.col("qbin").isNotNull()).groupBy("qbin").agg(F.count(F.lit(1)).alias("n")).select(
         "qbin", lo.alias("lo"), hi.alias("hi"), "n")
 

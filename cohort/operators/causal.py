@@ -133,15 +133,20 @@ def placebo_refute(df: DataFrame, id_col: str, treatment: str, confounders: Sequ
                    estimate: float, replicates: int = 20, seed=0) -> DataFrame:
     """Re-estimate the effect with a permuted treatment per replicate (cell propensity + matching).
 
-    Returns one row: estimate, mean placebo effect, sd, p-value of the estimate against
-    the placebo distribution (two-sided normal).
+    Returns one row: estimate, mean placebo effect, sd, ``p_value`` of zero under the placebo
+    distribution (large: the placebo effect is no effect, as it should be) and ``p_estimate`` of
+    the estimate under it (small: the estimate is not chance); both two-sided normal, null where
+    all replicates agree.
     """
-    p = permuted_treatment(df, id_col, treatment, replicates, seed)
-    p = propensity_cells(p, "placebo", confounders, "_ps", by=["replicate"])
-    eff = matched_effect(p, id_col, "placebo", "_ps", outcome, by=["replicate"])
+    d = permuted_treatment(df, id_col, treatment, replicates, seed)
+    d = propensity_cells(d, "placebo", confounders, "_ps", by=["replicate"])
+    eff = matched_effect(d, id_col, "placebo", "_ps", outcome, by=["replicate"])
     st = eff.agg(F.avg("ate").alias("placebo_mean"), F.stddev_samp("ate").alias("placebo_sd"),
                  F.count(F.lit(1)).alias("replicates"))
-    z = F.abs(F.lit(estimate) - F.col("placebo_mean")) / F.col("placebo_sd")
     from .hypothesis import erfc_expr
+
+    def p(value):
+        z = F.try_divide(F.abs(F.lit(float(value)) - F.col("placebo_mean")), F.col("placebo_sd"))
+        return F.when(z.isNotNull(), erfc_expr(z / F.lit(math.sqrt(2.0))))
     return st.select(F.lit(estimate).alias("estimate"), "placebo_mean", "placebo_sd", "replicates",
-                     erfc_expr(z / F.lit(math.sqrt(2.0))).alias("p_value"))
+                     p(0.0).alias("p_value"), p(estimate).alias("p_estimate"))

@@ -147,9 +147,11 @@ def _partial_corr(C, i, j, S):
 
 
 def pc_skeleton(corr, n: int, names: Sequence[str], alpha: float = 0.05, max_order: int | None = None):
-    """PC algorithm on a correlation matrix with Fisher-z tests.
+    """PC algorithm on a correlation matrix with Fisher-z tests, in the order-independent form:
+    the neighbours tested at a level are those at its start.
 
-    Returns (edges, sepsets): edges as set of frozensets, sepset per removed pair.
+    Returns (edges, sepsets, p-values): edges as set of frozensets, sepset per removed pair, the
+    largest p-value tested per pair.
     """
     p = len(names)
     adj = {i: set(range(p)) - {i} for i in range(p)}
@@ -160,9 +162,12 @@ def pc_skeleton(corr, n: int, names: Sequence[str], alpha: float = 0.05, max_ord
         if max_order is not None and order > max_order:
             break
         any_tested = False
+        start = {i: frozenset(a) for i, a in adj.items()}
         for i in range(p):
-            for j in sorted(adj[i]):
-                others = sorted(adj[i] - {j})
+            for j in sorted(start[i]):
+                if j not in adj[i]:
+                    continue
+                others = sorted(start[i] - {j})
                 if len(others) < order:
                     continue
                 for S in itertools.combinations(others, order):
@@ -173,13 +178,13 @@ def pc_skeleton(corr, n: int, names: Sequence[str], alpha: float = 0.05, max_ord
                         continue
                     zstat = math.sqrt(dof) * 0.5 * math.log((1 + r) / (1 - r))
                     pv = math.erfc(abs(zstat) / math.sqrt(2))
+                    pair = frozenset((i, j))
+                    pvals[pair] = max(pv, pvals.get(pair, 0.0))
                     if pv > alpha:
                         adj[i].discard(j)
                         adj[j].discard(i)
-                        sepset[frozenset((i, j))] = set(S)
-                        pvals[frozenset((i, j))] = pv
+                        sepset[pair] = set(S)
                         break
-                    pvals.setdefault(frozenset((i, j)), pv)
         order += 1
         if not any_tested:
             break
@@ -188,7 +193,10 @@ def pc_skeleton(corr, n: int, names: Sequence[str], alpha: float = 0.05, max_ord
 
 
 def pc_orient(edges, sepset, p: int):
-    """Orient v-structures then apply Meek rules 1-3; returns set of directed (i, j) and undirected pairs."""
+    """Orient v-structures then apply Meek rules 1-3; returns set of directed (i, j) and undirected pairs.
+
+    A v-structure that would turn round an arrow of an earlier one is left out.
+    """
     directed = set()
     undirected = {tuple(sorted(e)) for e in edges}
     adj = {i: set() for i in range(p)}
@@ -200,7 +208,7 @@ def pc_orient(edges, sepset, p: int):
         for i, j in itertools.combinations(sorted(adj[k]), 2):
             if j in adj[i]:
                 continue
-            if k not in sepset.get(frozenset((i, j)), set()):
+            if k not in sepset.get(frozenset((i, j)), set()) and not {(k, i), (k, j)} & directed:
                 for a in (i, j):
                     directed.add((a, k))
                     undirected.discard(tuple(sorted((a, k))))

@@ -62,12 +62,11 @@ def mlp_classifier(n_features: int, n_classes: int, label: str = "label", hidden
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Class weights n / (k * n_c) joined on the label (k rows, broadcast)."""
+    """Class weights n / (k * n_c) joined on the label (k rows, broadcast if k is small)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.count()
-    k = counts.count()
+    k, tot = counts.agg(F.count(F.lit(1)), F.sum("_nc")).first()
     w = counts.select(label, (F.lit(float(tot)) / (F.lit(float(k)) * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)   # k rows, k = number of classes (counted above)
+    return df.join(F.broadcast(w) if k <= 10_000 else w, label)
 
 
 # ---------------------------------------------------------------- ordinal boosted trees (M6)

@@ -14,6 +14,7 @@ clusters with noise, silhouette.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -57,22 +58,28 @@ def oversample_minority(df: DataFrame, id_col: str, label: str, minority, numeri
 
 
 def embed_2d(df: DataFrame, cols: Sequence[str], names=("embed_1", "embed_2")) -> DataFrame:
-    """Standardise and project on the first two principal components (replaces UMAP)."""
-    va = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip")
-    d = va.transform(df)
+    """Standardise and project on the first two principal components (replaces UMAP).
+
+    Rows with a null or NaN in ``cols`` stay, with a null embedding.
+    """
+    full = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    full = F.coalesce(full, F.lit(False))
+    rest = df.where(~full).select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+    va = VectorAssembler(inputCols=list(cols), outputCol="_v")
+    d = va.transform(df.where(full))
     sc = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(d)
     d = sc.transform(d)
     pca = PCA(k=2, inputCol="_s", outputCol="_pc").fit(d)
     arr = vector_to_array("_pc")
-    return pca.transform(d).withColumn(names[0], arr[0]).withColumn(names[1], arr[1]).drop("_v", "_s", "_pc")
+    return pca.transform(d).withColumn(names[0], arr[0]).withColumn(names[1], arr[1]).drop("_v", "_s", "_pc").unionByName(rest)
 
 
 _NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
 def grid_density_clusters(df: DataFrame, x: str, y: str, eps: float, min_samples: int = 10,
-                          min_cluster_size: int = 50, max_iter: int = 50, name: str = "cluster") -> DataFrame:
-    """Cluster label per row (-1 = noise); see the module note."""
+                          min_cluster_size: int = 50, name: str = "cluster") -> DataFrame:
+    """Cluster label per row (-1 = noise, also rows without a place); see the module note."""
     from ..session import materialize
     d = df.withColumn("_cx", F.floor(F.col(x) / eps).cast("long")).withColumn("_cy", F.floor(F.col(y) / eps).cast("long"))
     cells = d.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
@@ -84,7 +91,7 @@ def grid_density_clusters(df: DataFrame, x: str, y: str, eps: float, min_samples
     cid = F.col("_cx") * F.lit(2 ** 31) + F.col("_cy")
     core = cells.where("_core").select("_cx", "_cy", cid.alias("_id"), cid.alias("_lab"))
     core = materialize(core, "cells")
-    for _ in range(max_iter):
+    while True:     # labels only fall, so this ends
         # 1) take the smallest label among the 3x3 neighbours
         nb = core.select("_lab", F.inline(offs), "_cx", "_cy").select(
             (F.col("_cx") + F.col("dx")).alias("_cx"), (F.col("_cy") + F.col("dy")).alias("_cy"), "_lab")
@@ -114,7 +121,7 @@ def grid_density_clusters(df: DataFrame, x: str, y: str, eps: float, min_samples
     ids = lab.where(F.col("_lab").isNotNull()).select("_lab").distinct()
     ids = ids.withColumn("_id", (F.dense_rank().over(Window.orderBy("_lab")) - 1).cast("int"))   # one row per cluster
     lab = lab.join(ids, "_lab", "left").select("_cx", "_cy", F.coalesce("_id", F.lit(-1)).alias(name))
-    return join_small(d, lab, ["_cx", "_cy"], "left").drop("_cx", "_cy")
+    return join_small(d, lab, ["_cx", "_cy"], "left").drop("_cx", "_cy").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> float | None:

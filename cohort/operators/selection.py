@@ -1,9 +1,9 @@
 """Shadow-feature selection (Boruta-style) with MLlib random forests.
 
-Each round adds shadow copies of all features taken from another row (a seeded md5
-permutation: the row at md5-rank k borrows the values of the row at id-rank k, one
-shuffle join per round), fits a forest, and counts a *hit* for every real feature whose
-importance beats the best shadow. After all rounds a two-sided binomial test (p = 0.5,
+Each round adds shadow copies of all features, each permuted on its own (seeded md5 order per
+column: the row at md5-rank k borrows the value of the row at id-rank k), fits a forest with
+balanced class weights, and counts a *hit* for every real feature whose importance beats the
+best shadow. After all rounds a two-sided binomial test (p = 0.5,
 Bonferroni over features) gives confirmed / tentative / rejected.
 """
 
@@ -17,7 +17,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import md5_chunks, chunked_running, md5_chunk, md5_order, range_chunk, range_edges
+from ..session import materialize
+from .models import balanced_weights
+from .windows import chunked_running, md5_chunk, range_chunk, range_edges
 
 
 def _binom_sf(k: int, n: int) -> float:
@@ -26,25 +28,33 @@ def _binom_sf(k: int, n: int) -> float:
 
 
 def shadow_rows(df: DataFrame, id_col: str, features: Sequence[str], seed) -> DataFrame:
-    a = df.withColumn("_k", md5_order(F.col(id_col), f"shadow-{seed}"))
-    a = chunked_running(a, [], [F.col("_k")], md5_chunk(F.col("_k")), {"_r": F.lit(1)},
-                        n_chunks=md5_chunks()).drop("_k")
+    """The rows with a ``shadow_`` column per feature; all columns' permutations share one join."""
+    names = F.explode(F.array(*[F.lit(c) for c in features]))
+    a = df.select(id_col, names.alias("_c"))
+    a = a.withColumn("_k", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-shadow-{seed}-"), F.col("_c"))))
+    a = chunked_running(a, ["_c"], [F.col("_k")], md5_chunk(F.col("_k")), {"_r": F.lit(1)}).drop("_k")
     edges = range_edges(df, id_col)
     b = chunked_running(df.select(id_col, *features), [], [F.col(id_col)], range_chunk(id_col, edges),
-                        {"_r": F.lit(1)}, n_chunks=len(edges) + 1).select("_r", *[F.col(c).alias(f"shadow_{c}") for c in features])
-    return a.join(b, "_r").drop("_r")
+                        {"_r": F.lit(1)}, n_chunks=len(edges) + 1)
+    b = b.select("_r", F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in features])))
+    shadows = a.join(b, ["_c", "_r"]).groupBy(id_col).agg(
+        *[F.max(F.when(F.col("_c") == c, F.col("_v"))).alias(f"shadow_{c}") for c in features])
+    return df.join(shadows, id_col)
 
 
-def boruta(df: DataFrame, id_col: str, label: str, features: Sequence[str], rounds: int = 10, trees: int = 50,
+def boruta(df: DataFrame, id_col: str, label: str, features: Sequence[str], rounds: int = 100, trees: int = 100,
            alpha: float = 0.05, seed: int = 42) -> list[tuple]:
-    """Rows (feature, hits, rounds, decision)."""
+    """Rows (feature, hits, rounds, decision). Too few rounds to decide at ``alpha`` are refused."""
     feats = list(features)
+    if 0.5 ** rounds >= alpha / len(feats):
+        raise ValueError(f"{rounds} rounds can neither confirm nor reject {len(feats)} features at {alpha}")
     hits = {c: 0 for c in feats}
+    df = materialize(balanced_weights(df, label, "_weight"), "boruta")
     for r in range(rounds):
         d = shadow_rows(df, id_col, feats, f"{seed}-{r}")
         cols = feats + [f"shadow_{c}" for c in feats]
         d = VectorAssembler(inputCols=cols, outputCol="_fv", handleInvalid="keep").transform(d)
-        rf = RandomForestClassifier(featuresCol="_fv", labelCol=label, numTrees=trees, seed=seed + r)
+        rf = RandomForestClassifier(featuresCol="_fv", labelCol=label, weightCol="_weight", numTrees=trees, seed=seed + r)
         imp = rf.fit(d.withColumn(label, F.col(label).cast("double"))).featureImportances.toArray()
         best_shadow = max(imp[len(feats):])
         for i, c in enumerate(feats):

@@ -14,6 +14,7 @@ Cox fitting is Newton's method on standardised covariates. Each step is:
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -103,10 +104,11 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str = "Duration"
     """Cox PH with Efron ties and an L2 penalty 0.5 * penalizer * ||b||^2 on standardised covariates.
 
     Returns coefficients on the original scale, standard errors, hazard ratios and the
-    covariate means (for baseline curves).
+    covariate means (for baseline curves). Rows with a null in any of the columns are left out.
     """
     from ..session import cut_lineage
     xs = list(covariates)
+    df = df.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [duration, event, *xs]]))
     st = df.agg(*[F.avg(x).alias(f"m_{x}") for x in xs], *[F.stddev_samp(x).alias(f"s_{x}") for x in xs]).first()
     mean = np.array([st[f"m_{x}"] or 0.0 for x in xs])
     sd = np.array([st[f"s_{x}"] or 1.0 for x in xs])
@@ -137,6 +139,8 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str = "Duration"
         ll, g, h = ll_c, g_c, h_c
         if abs(ll - ll_old) < tol * max(1.0, abs(ll_old)) or np.max(np.abs(t * direction)) < 1e-10:
             break
+    else:
+        raise RuntimeError(f"no convergence in {max_steps} steps")
     h = h + penalizer * np.eye(p)
     cov = np.linalg.inv(-(h - penalizer * np.eye(p)))
     se_std = np.sqrt(np.diag(cov))

@@ -177,7 +177,7 @@ def q_roi(spark, sf):
 _DRIFT_COLS = ["StudyTimeWeekly", "Absences", "GPA", "ParentalEducation"]
 
 
-def _psi_sql(ref: str, cur: str, cols) -> tuple[list[str], str]:
+def _psi_sql(ref: str, cur: str, cols, outer: str = "drop") -> tuple[list[str], str]:
     probs = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
     ctes, sels = [], []
     for i, c in enumerate(cols):
@@ -188,6 +188,9 @@ def _psi_sql(ref: str, cur: str, cols) -> tuple[list[str], str]:
           FROM {ref})""")
 
         def b(tbl):
+            if outer == "open":      # 10 inner edges or fewer split the whole line
+                return f"""SELECT CASE WHEN {x} IS NOT NULL THEN len(list_filter(e[2:len(e) - 1], lambda v: {x} >= v)) END AS bin
+                   FROM {tbl}, e{i}"""
             return f"""SELECT CASE WHEN {x} >= e[1] AND {x} <= e[len(e)] THEN
                    CASE WHEN {x} = e[len(e)] THEN len(e) - 2 ELSE len(list_filter(e[2:len(e) - 1], lambda v: {x} >= v)) END END AS bin
                    FROM {tbl}, e{i}"""
@@ -206,9 +209,9 @@ _RECORD_PAIR = ["ref AS (SELECT * FROM records WHERE row_id < 3000000000)",
 _psi_ctes, _psi_sel = _psi_sql("ref", "cur", _DRIFT_COLS)
 
 
-def _record_psi(spark, sf):
+def _record_psi(spark, sf, outer="drop"):
     r = records(spark, sf)
-    return M.psi(r.where(F.col("row_id") < 3000000000), r.where(F.col("row_id") >= 3000000000), _DRIFT_COLS)
+    return M.psi(r.where(F.col("row_id") < 3000000000), r.where(F.col("row_id") >= 3000000000), _DRIFT_COLS, outer=outer)
 
 
 @query("psi_sources", with_records(*_RECORD_PAIR, *_psi_ctes, select=f"SELECT column_name, {r6('psi')} AS psi FROM ({_psi_sel})"))
@@ -216,6 +219,14 @@ def q_psi(spark, sf):
     return rounded(_record_psi(spark, sf))
 
 
+_psi_open_ctes, _psi_open_sel = _psi_sql("ref", "cur", _DRIFT_COLS, "open")
+
+
+@query("psi_sources_open", with_records(*_RECORD_PAIR, *_psi_open_ctes, select=f"SELECT column_name, {r6('psi')} AS psi FROM ({_psi_open_sel})"))
+def q_psi_open(spark, sf):
+    return rounded(_record_psi(spark, sf, "open"))
+
+
 @query("drift_status", with_records(*_RECORD_PAIR, *_psi_ctes, select=f"""
 SELECT column_name, {r6('psi')} AS psi, CASE WHEN psi > 0.2 THEN 'Drift Detected (Critical)' WHEN psi > 0.1 THEN 'Warning'
        ELSE 'Stable' END AS status FROM ({_psi_sel})"""))
@@ -236,7 +247,7 @@ def q_psi_events(spark, sf):
                                            .alias("value_band"), F.hour("ts").alias("hour"))
     h = halves(ev, "event_id")
     return rounded(M.psi(h.where(F.col("part") == "reference"), h.where(F.col("part") == "current"),
-                         ["value", "value_band", "hour"]))
+                         ["value", "value_band", "hour"], outer="drop"))
 
 
 # ---------------------------------------------------------------- H1, H2, H4, H9 hypothesis tests

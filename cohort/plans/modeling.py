@@ -362,7 +362,7 @@ def q_silhouette(spark, sf):
 def q_boruta(spark, sf):
     d = prepared_records(spark, sf)
     return boruta_frame(d, "row_id", "GradeClass", ["StudyTimeWeekly", "Absences", "ParentalEducation",
-                                                     "InternetAccess", "Tutoring", "Gender"], rounds=5, trees=20)
+                                                     "InternetAccess", "Tutoring", "Gender"], rounds=8, trees=20)
 
 
 # ---------------------------------------------------------------- explanations

@@ -111,7 +111,7 @@ def test_d9_dependence_table_has_rows(spark):
 def test_d10_psi_open_outer_bins_count_outside_values(spark):
     ref = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     cur = spark.createDataFrame([(float(i),) for i in range(50, 150)], "x double")
-    drop = M.psi(ref, cur, ["x"]).first().psi
+    drop = M.psi(ref, cur, ["x"], outer="drop").first().psi
     opened = M.psi(ref, cur, ["x"], outer="open").first().psi
     assert drop != opened and opened > 0
 
