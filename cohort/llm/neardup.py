@@ -8,14 +8,19 @@ form of Christiani, Pagh and Sivertsen's recursive join).
    nothing further. Each representative gets ``coords`` minwise tokens.
 2. ``trees`` independent trees: a node picks ``fanout`` coordinates by a hash of its path, and
    a document goes to one child per picked coordinate, named by its token there. With fan-out
-   2 a pair of similarity 0.75 has 1.5 expected common children, so it stays together at any
-   two levels with probability over 0.91 and is missed by all of six trees with about 5e-7.
+   2 a pair of similarity 0.75 has 1.5 expected common children. A tree parts it within one,
+   two or three levels with probability 0.063, 0.088 or 0.100, all of six trees with 6e-8,
+   5e-7 or 1e-6. Trees end there: ``LEVELS`` is three.
 3. Nodes of at most ``leaf`` documents are compared exhaustively inside a task. In a larger node
    every document is compared with one pivot; verified links are contracted to components, and
-   nodes that still hold more than one component branch again, until none is large (from the
-   third level on by one coordinate, so that unlike documents cannot multiply).
+   nodes that still hold more than one component branch again. What is in large nodes of the
+   last level is compared by prefix blocks, which part no pair: of two sets of similarity
+   0.75 or more, the rarest ``n - ceil(0.75 n) + 1`` shingles of each (in one order for all)
+   have one in common, so a block per such shingle holds every pair. A block of more than
+   ``leaf`` documents is compared in pieces, each pair of pieces in a task. So the miss does not
+   grow with depth: at most 1e-6 for a pair of similarity 0.75, and less above.
 4. Candidates whose tokens agree in at least ``floor`` of the coordinates (0.75 expected, 4.6
-   deviations less by default) are verified on the full shingle sets. A pair that earlier links
+   deviations less by default, about 3e-6 of such pairs) are verified on the full shingle sets. A pair that earlier links
    already join needs no check, since the result is components.
 
 Only signatures and links travel through the trees; shingle sets are computed from the texts
@@ -43,7 +48,9 @@ from .components import components
 COORDS = 64
 TREES = 6
 FANOUT = 2
+LEVELS = 3
 LEAF = 1024
+PREFIX_BUCKETS = 1 << 18      #: of shingle counts that order the prefixes; fewer only make blocks larger
 FLOOR = 0.5
 PERCENT = 75
 BROADCAST_IDS = 20_000
@@ -231,8 +238,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "sa", "sb").mapInArrow(work, "u long, v long")
 
 
+def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int = PREFIX_BUCKETS) -> DataFrame:
+    """Rows (path, id, s1): a path for each of the rarest shingles of a set that a similar set must share one of."""
+    def count(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for x in batch.column("set"):
+                np.add.at(total, (np.frombuffer(x.as_py(), "<u8") % np.uint64(buckets)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "c"])
+    own = sets.join(members, ["id", "s1"], "left_semi")
+    often = np.zeros(buckets, np.int64)
+    for r in own.select("set").mapInArrow(count, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+        often[r["b"]] = r["c"]
+    often = members.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches):
+        for batch in batches:
+            paths, rows = [np.zeros(0, np.uint64)], []
+            for x in batch.column("set"):
+                s = np.frombuffer(x.as_py(), "<u8")
+                size = len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, often.value[(s % np.uint64(buckets)).astype(np.int64)]))
+                paths.append(s[order[:size]])
+                rows.append(min(size, len(s)))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.uint64).view(np.int64)),
+                                              batch.column("id").take(at), batch.column("s1").take(at)], ["path", "id", "s1"])
+    return own.select("id", "s1", "set").mapInArrow(prefix, "path long, id long, s1 long")
+
+
+def _in_pieces(rows: DataFrame, leaf: int) -> DataFrame:
+    """Blocks (path, id, s1) of more than ``leaf`` documents as one node per pair of pieces, so that every pair meets in a small node."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1")
+    rows = rows.join(sizes, "path").select("path", "id", "s1", F.ceil(F.col("c") / leaf).cast("int").alias("k"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", "s1"), F.col("k")))
+    rows = rows.select("path", "id", "s1", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    path = F.when(F.col("k") == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
+    return rows.select(path.alias("path"), "id", "s1")
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, coords: int = COORDS,
-                      fanout: int = FANOUT, leaf: int = LEAF, floor: float = FLOOR, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+                      fanout: int = FANOUT, levels: int = LEVELS, leaf: int = LEAF, floor: float = FLOOR, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """``id, n, component`` for every input row."""
     scratch = Scratch(docs.sparkSession, "neardup")
     sig = scratch.write(signatures(docs, id_col, text_col, coords, k), "signatures")
@@ -306,7 +353,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not any_big:
             break
         rows = mixed(rows.join(big.select("path"), "path")).select("path", "id", "s1")
-        rows, level = _children(rows.join(slim.drop("n"), ["id", "s1"]), coords, fanout if level < 2 else 1), level + 1
+        if level == levels - 1:
+            members = scratch.write(rows.select("id", "s1").distinct(), "members")
+            load_sets(members)
+            blocks = mixed(_prefix_rows(members, sets, percent)).select("path", "id", "s1")
+            blocks = with_comp(_in_pieces(scratch.write(blocks, "blocks"), leaf)).join(slim, ["id", "s1"])
+            add_links(_links_in_nodes(scratch.write(_promising(blocks, coords, floor, percent), "promising"), sets, coords, floor, percent))
+            break
+        rows, level = _children(rows.join(slim.drop("n"), ["id", "s1"]), coords, fanout), level + 1
 
     add_links(same_id)
     if comp is None:

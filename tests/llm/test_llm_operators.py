@@ -196,6 +196,21 @@ def test_near_duplicates_match_brute_force(spark, leaf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_near_duplicates_under_a_template_match_brute_force(spark):
+    # unlinked documents of one template at similarity 0.6 stay in large nodes; pairs a little over 0.75 hide among them
+    rng, rows = random.Random(11), []
+    template = prose(70, 120).split()
+    for i in range(300):
+        text = template + prose(1000 + i, 40).split()
+        rows.append((2 * i, " ".join(text)))
+        text[130:130 + rng.randint(8, 14)] = prose(5000 + i, 12).split()
+        rows.append((2 * i + 1, " ".join(text)))
+    want = brute_components(rows)
+    assert sum(c != d for d, (_, c) in want.items()) > 100
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
 def test_near_duplicates_odd_rows(odd, none):
     out = neardup.near_duplicates(odd)
     assert out.count() == odd.count()
