@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,6 +282,27 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_repeated_runs(spark):
+    # 144 shared shingles; a run of one word in the item is overwritten in the copy: similarity exactly 0.75
+    items, docs = [], []
+    for i in range(40):
+        shared = [f"w{i}x{j}" for j in range(148)]
+        items.append((i, " ".join(["blank"] * 24 + shared)))
+        docs.append((i, " ".join([f"n{i}x{j}" for j in range(24)] + shared)))
+
+    def shingles(text):
+        w = text.split()
+        return Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4))
+    want = set()
+    for (i, x), (_, y) in zip(items, docs):
+        p, q = shingles(x), shingles(y)
+        if 4 * (p & q).total() >= 3 * (p | q).total():
+            want.add(i)
+    assert len(want) == 40
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(docs, items).collect()} == want
+
+
 # -- 10 -----------------------------------------------------------------------------------------
 
 def brute_quality(text):
