@@ -117,6 +117,18 @@ def test_guess_cost_is_a_minimum_over_segmentations():
     assert [k for k, _, _ in spans] == ["word", "date", "repeat"] and spans[-1][2] == 22
 
 
+def test_clean_prose_holds_no_secret(spark):
+    clean = ["password is required here", "the pin is broken again", "the token is expired", "login is necessary now",
+             "das secret: notwendig genug", "the spin is always good"]
+    prose_rows = [(i, "required broken expired necessary notwendig, always; everything (ordinary) stays") for i in range(6)]
+    docs = prose_rows + [(100 + i, t) for i, t in enumerate(clean)] + [
+        (200, "my pwd is xK9#mQ2$vL7p ok"), (201, "passphrase: qzvkwjxhgpbt"), (202, "the xspin is qzvkwjxhgpbt")]
+    docs += [(300 + i, "pwd is wqpzkvbmxhtd") for i in range(8)]       # copied, still no word
+    out = {r["doc_id"]: r["n_guess"] for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[100 + i] for i in range(len(clean))] == [0] * len(clean)
+    assert [out[i] for i in (200, 201, 202, 300, 307)] == [1, 1, 0, 1, 1]
+
+
 def test_secret_rows(odd, none):
     out = secrets.scan(odd)
     assert out.count() == odd.count()
