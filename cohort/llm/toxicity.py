@@ -2,9 +2,13 @@
 
 1. A character trigram model is counted over all documents, in two tables of a fixed number of
    hashed buckets.
-2. Obfuscated tokens (look-alike characters among letters, letters spelled out with spaces or
-   dots, repeated letters) become lattices of the characters they may stand for; a Viterbi
-   search under the character model picks the likeliest reading.
+2. Tokens that are not plain letters (of any length, all of look-alikes too), tokens with
+   repeated letters, and runs of three or more characters spelled out with spaces or dots become
+   lattices of the characters they may stand for: a look-alike for its letters, a separator for a
+   space or nothing, a mask character for any letter or nothing, a run for one or two of its
+   character. A Viterbi search under the character model picks the likeliest reading; leaving a
+   character out costs ``DROP``. A masked token is also matched with the learned words that it
+   fits letter by letter, as the model cannot know which of them was meant.
 3. Words of the restored text and their first letters are matched against terms learned from
    labelled documents; a document's score is the probability that at least one match is right.
 
@@ -45,9 +49,14 @@ EVIDENCE = 24.0         #: least log-likelihood ratio statistic of a term (about
 
 #: Letters that a look-alike character may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-             "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "", "#": "", ".": "", "-": "", "_": "", "'": ""}
+             "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "'": ""}
+MASKS = frozenset("*#.-_")
+LETTERS = tuple("abcdefghijklmnopqrstuvwxyz")
+MASK_RUN = 6            #: letters that one run of masks may stand for, as the search grows with it
+DROP = 2.5              #: cost of leaving out a mask or a space, a little under that of a letter at random
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'`()[]{}<>#$%&*|-_=~^/\\"
-SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
+_UNIT = r"[^\W_]|[@$!|+(]"
+SPELLED = re.compile(rf"(?<![\w@$!|+(])(?:(?:{_UNIT})[ .*_-]{{1,2}}){{2,}}(?:{_UNIT})(?![\w@$|+(])")
 RUN = re.compile(r"([^\W\d_])\1\1")
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 
@@ -94,62 +103,99 @@ class Decoder:
 
     def __init__(self, three: np.ndarray, two: np.ndarray):
         self.three, self.two = three.astype(np.float32), two.astype(np.float32)
-        self.best = lru_cache(50_000)(self._best)
+        self.cost = lru_cache(1 << 17)(self._cost)
+        short = lru_cache(50_000)(self._best)
+        self.best = lambda token: short(token) if len(token) <= 100 else self._best(token)
 
     def __reduce__(self):
         return Decoder, (self.three, self.two)
 
-    def cost(self, a: str, b: str, c: str) -> float:
-        three, two = _slots(np.array([ord(a), ord(b), ord(c)]))
-        return math.log(self.two[two[0]] + 50.0) - math.log(self.three[three[0]] + 0.5)
+    def _cost(self, a: str, b: str, c: str) -> float:
+        x = ord(a) * int(_A) + ord(b) * int(_B) & 0xFFFFFFFF
+        y = x + ord(c) * int(_C) & 0xFFFFFFFF
+        return math.log(self.two[(x ^ x >> 15) % BUCKETS] + 50.0) - math.log(self.three[(y ^ y >> 15) % BUCKETS] + 0.5)
 
     @staticmethod
-    def lattice(token: str) -> list[tuple[str, ...]]:
-        """Alternatives, each a short string, for every run of equal characters."""
+    def lattice(token: str) -> list[tuple[tuple[str, float], ...]]:
+        """Alternatives (a short string and its own cost) for every mask, and for every run of another character."""
         out, i = [], 0
         while i < len(token):
             j = i
             while j < len(token) and token[j] == token[i]:
                 j += 1
             c, n = token[i], j - i
-            letters = (c,) if c.isalpha() else tuple(LOOKALIKE.get(c, c)) or ("",)
-            out.append(tuple(dict.fromkeys(x * k for x in letters for k in ((1,) if n == 1 else (1, 2)))))
+            if c == " ":
+                out.append((("", DROP), (" ", 0.0)))
+            elif c in MASKS:
+                # masks beside the ends are emphasis or punctuation, unless little else is there to read
+                inner = 0 < i and j < len(token) or sum(x not in MASKS for x in token) < 3
+                out += [(("", DROP), *((x, 0.0) for x in LETTERS))] * min(n, MASK_RUN) if inner else []
+            else:
+                letters = (c,) if c.isalpha() else tuple(LOOKALIKE.get(c, c)) or ("",)
+                out.append(tuple((x, 0.0) for x in dict.fromkeys(x * k for x in letters for k in ((1,) if n == 1 else (1, 2)))))
             i = j
         return out
 
     def _best(self, token: str) -> str:
-        states = {"  ": (0.0, "")}          # last two characters -> (cost, reading)
-        for options in [*self.lattice(token), (" ",)]:
-            after: dict[str, tuple[float, str]] = {}
+        # readings are linked lists (piece, reading before), so that a step costs the same at any length
+        states = {"  ": (0.0, None)}          # last two characters -> (cost, reading)
+        for options in [*self.lattice(token), ((" ", 0.0),)]:
+            after: dict[str, tuple[float, tuple | None]] = {}
             for last, (cost, read) in states.items():
-                for piece in options:
-                    total, pair = cost, last
+                for piece, own in options:
+                    total, pair = cost + own, last
                     for c in piece:
                         total += self.cost(pair[0], pair[1], c)
                         pair = pair[1] + c
-                    if pair not in after or (total, read + piece) < after[pair]:
-                        after[pair] = (total, read + piece)
+                    if pair not in after or total < after[pair][0]:
+                        after[pair] = (total, (piece, read) if piece else read)
             states = after
-        return min(states.values())[1].strip()
+        read, pieces = min(states.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
+        while read:
+            pieces.append(read[0])
+            read = read[1]
+        return "".join(reversed(pieces)).strip()
 
 
 def _odd(token: str) -> bool:
-    """Has letters and look-alike characters, or a letter three times in a row."""
-    return len(token) <= 40 and (any(c in LOOKALIKE for c in token) and sum(c.isalpha() for c in token) * 2 >= len(token)
-                                 or RUN.search(token) is not None)
+    """Has look-alike or mask characters, or a letter three times in a row."""
+    return any(c in LOOKALIKE or c in MASKS for c in token) and any(c not in MASKS for c in token) or RUN.search(token) is not None
 
 
-def restored_words(text: str, decoder: Decoder | None) -> set[str]:
+def masked_words(token: str, index: dict) -> list[str]:
+    """Words of the index that a token with masks fits letter by letter, at least two of them shown."""
+    options = [None if c in MASKS else c if c.isalpha() else LOOKALIKE.get(c, c) for c in token]
+    shown = [i for i, o in enumerate(options) if o]
+    if len(shown) < 2 or len(shown) == len(token):
+        return []
+    at = shown[0]
+    near = {w for c in options[at] for w in index.get((len(token), at, c), ())}
+    return sorted(w for w in near if all(w[i] in options[i] for i in shown))
+
+
+def word_index(words) -> dict:
+    """(length, position, letter) -> words."""
+    index: dict = {}
+    for w in words:
+        for i, c in enumerate(w):
+            index.setdefault((len(w), i, c), []).append(w)
+    return index
+
+
+def restored_words(text: str, decoder: Decoder | None, index: dict | None = None) -> set[str]:
     """Distinct lower-cased words without punctuation at their ends, with readings of obfuscated ones added."""
     text = text.lower()
     found = {t.strip(EDGES) for t in set(text.split())}
     if decoder is not None:
         raw = [t for t in set(text.split()) if not t.isalpha() or RUN.search(t)]
-        for token in raw:
-            if _odd(token.rstrip(".,;:")):
-                found.add(decoder.best(token.rstrip(".,;:")))
+        for token in {t.rstrip(".,;:") for t in raw}:
+            if _odd(token):
+                found.update(decoder.best(token).split())
+            if index and not MASKS.isdisjoint(token):
+                found.update(masked_words(token, index))
         for m in SPELLED.finditer(text):
-            letters = "".join(c for c in m.group() if c.isalpha())
+            found.update(decoder.best(m.group()).split())
+            letters = "".join(c for c in m.group() if c not in MASKS and c != " ")
             # a word of one letter next to it may stick to it
             found.update(decoder.best(x) for x in (letters, letters[1:], letters[:-1]))
     found.discard("")
@@ -207,6 +253,8 @@ def learn_terms(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: st
 def score(docs: DataFrame, terms: dict[str, float], decoder: Decoder, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_terms`` for every row."""
+    index = word_index(t for t in terms if not t.endswith("~"))
+
     def work(batches):
         for batch in batches:
             scores, hits = [], []
@@ -214,7 +262,7 @@ def score(docs: DataFrame, terms: dict[str, float], decoder: Decoder, id_col: st
                 text = value.as_py()
                 miss, n = 1.0 - BASE, 0
                 if text:
-                    for t in terms_of(restored_words(text, decoder)) & terms.keys():
+                    for t in terms_of(restored_words(text, decoder, index)) & terms.keys():
                         miss *= 1.0 - terms[t]
                         n += 1
                 scores.append(round(1.0 - miss, 6))

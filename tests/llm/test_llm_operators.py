@@ -151,6 +151,18 @@ def test_toxicity_learns_and_restores(spark):
     assert out[1003]["score"] == toxicity.BASE
 
 
+def test_toxicity_reads_mixed_obfuscation(spark):
+    rows = [(i, f"{prose(i, 20)} {['idiot', 'shit', 'ass', 'fool'][i // 4 % 4] if i % 4 == 0 else 'fine'} {prose(i + 5000, 20)}", int(i % 4 == 0)) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    odd = ["well 1d10t said", "oh $h!7 no", "such an i d 1 0 t here", "you a s s there", "that f**l went", "this s**t is", "a 1d1*t said",
+           "an id" + "i" * 60 + "ot came", "an i.d.1.0.t came", "go $.h.!.7 now", "!d!07 !d!07"]
+    plain = ["well 2021 it was", "see a-b and c_d.", "in 10 of 20 1 2 3", "*bold* words", "no" + "o" * 60]
+    more = [(1000 + i, t) for i, t in enumerate(odd + plain)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + more, "doc_id long, text string")
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert [t for i, t in more if out[i] != (t in odd)] == []
+
+
 def test_toxicity_without_labels(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).where("predicted = 1").count() == 0
