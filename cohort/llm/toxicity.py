@@ -9,17 +9,20 @@
    character. A Viterbi search under the character model picks the likeliest reading; leaving a
    character out costs ``DROP``. A masked token is also matched with the learned words that it
    fits letter by letter, as the model cannot know which of them was meant.
-3. Words of the restored text and their first letters are matched against terms learned from
-   labelled documents; a document's score is the probability that at least one match is right.
+3. Words of the restored text and their first letters are weighed by a logistic regression fitted
+   on labelled documents (the prior of a weight is the wider, the more evidence its term has, so
+   weak evidence counts a little and adds up); a document's score is the probability the regression gives it. Terms of
+   three or more labelled documents take part, with no other test; ``THRESHOLD`` is the only cut-off.
 
 Labels are read only of rows whose crc32 of the id, as text, leaves a remainder other than 2
 when divided by 4, and of these a sample of at most ``SAMPLE`` rows, the first by hash of the
 id: the one bounded part. Labels, language, source and id are no input of a score.
 
 All passes are maps over rows. What goes through the driver has a fixed bound: ``BUCKETS``
-counts per table, ``TERMS`` terms.
+counts per table, ``TERMS`` terms (those with the most evidence), and for each sampled row the
+numbers of its terms.
 
-Edge cases: null and empty texts score ``BASE``; a row with a null id is not held out and is
+Edge cases: null and empty texts, and texts without a weighed term, score ``BASE``; a row with a null id is not held out and is
 never learned from; repeated rows get equal scores; without labels every score is ``BASE``;
 an empty table gives an empty result.
 """
@@ -40,12 +43,12 @@ from .common import join_bounded
 
 SAMPLE = 40_000
 TERMS = 20_000
-CANDIDATES = 100_000
 BUCKETS = 1 << 16
 THRESHOLD = 0.3
 BASE = 0.01
-PRECISION = 0.95        #: least share of toxic documents among the labelled ones with a term
-EVIDENCE = 24.0         #: least log-likelihood ratio statistic of a term (about one in a million by chance)
+MIN_DOCS = 3            #: labelled documents with a term
+EVIDENCE = 10.0         #: log-likelihood ratio statistic of a term whose weight has a prior variance of one
+LEAST_PRIOR = 0.05      #: inverse variance for the terms with the most evidence
 
 #: Letters that a look-alike character may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -209,43 +212,92 @@ def terms_of(words: set[str]) -> set[str]:
 
 # -- learning ---------------------------------------------------------------------------------
 
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, n: int, prior: np.ndarray | float) -> np.ndarray:
+    """Weights of ``n`` binary features with priors of these inverse variances, and last the intercept, by Newton steps with conjugate gradients."""
+    col = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    penalty = np.r_[np.broadcast_to(prior, n), 1e-6]
+
+    def times(w):
+        return np.bincount(row, w[col], len(rows)) + w[n]
+
+    def back(v):
+        return np.r_[np.bincount(col, v[row], n), v.sum()]
+
+    def loss(w):
+        z = times(w)
+        return np.logaddexp(0, z).sum() - z @ y + 0.5 * (penalty * w) @ w, z
+    w = np.zeros(n + 1)
+    w[n] = math.log(y.mean() / (1 - y.mean()))
+    value, z = loss(w)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z))
+        grad, s = back(p - y) + penalty * w, p * (1 - p)
+        scale = 1 / (back(s) + penalty)
+        # preconditioned conjugate gradients for the step
+        step, r = np.zeros(n + 1), -grad
+        d, size = scale * r, (scale * r) @ r
+        limit = 1e-4 * size
+        for _ in range(60):
+            if size <= limit:
+                break
+            h = back(s * times(d)) + penalty * d
+            a = size / (d @ h)
+            step, r = step + a * d, r - a * h
+            new = (scale * r) @ r
+            d, size = scale * r + new / size * d, new
+        rate = 1.0
+        while rate > 1e-6 and (new := loss(w + rate * step))[0] > value:
+            rate /= 2
+        if rate <= 1e-6 or value - new[0] < 1e-9 * max(1.0, abs(value)):
+            break
+        w, (value, z) = w + rate * step, new
+    return w
+
+
 def learn_terms(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: str = "doc_id", text_col: str = "text",
                 sample: int = SAMPLE, evidence: float = EVIDENCE) -> dict[str, float]:
-    """Term -> probability that a document with it is toxic, for terms with enough evidence."""
+    """Term -> weight in the log odds that a document is toxic; the intercept is the empty term's."""
     known = (labels.select(F.col(id_col).alias("_lid"), F.col("toxic").cast("int").alias("_y")).where("_lid is not null and _y is not null")
              .where(F.crc32(F.col("_lid").cast("string")) % 4 != 2).groupBy("_lid").agg(F.max("_y").alias("_y"))
              .orderBy(F.xxhash64("_lid"), "_lid").limit(sample))
     counts = known.groupBy("_y").count().collect()
     n = {r["_y"]: r["count"] for r in counts}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    if not n_pos or not n_neg:
+    if not n.get(1) or not n.get(0):
         return {}
+    rows = join_bounded(docs, known, F.col(id_col) == F.col("_lid"), "inner", sum(n.values()), sample).select(
+        F.col(id_col).cast("long").alias("id"), "_y", F.col(text_col).alias("text"))
 
-    def count(rows: DataFrame, only: frozenset | None) -> DataFrame:
-        def work(batches):
-            seen: Counter = Counter()
-            for batch in batches:
-                for value in batch.column(0):
-                    terms = terms_of(restored_words(value.as_py() or "", decoder))
-                    seen.update(terms if only is None else terms & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "c"])
-        return rows.mapInArrow(work, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
-
-    def labelled(y: int) -> DataFrame:
-        ids = known.where(F.col("_y") == y)
-        return join_bounded(docs, ids, F.col(id_col) == F.col("_lid"), "left_semi", n[y], sample).select(text_col)
-    pos = {r["term"]: r["c"] for r in count(labelled(1), None).where("c >= 3").orderBy(F.desc("c"), "term").limit(CANDIDATES).collect()}
-    neg = {r["term"]: r["c"] for r in count(labelled(0), frozenset(pos)).collect()}
-    rate, out = n_pos / (n_pos + n_neg), {}
-    for term, p in pos.items():
-        q = neg.get(term, 0)
-        share = p / (p + q)
-        if share < PRECISION or share <= rate:
-            continue
-        g = 2 * (p * math.log(share / rate) + (q * math.log((1 - share) / (1 - rate)) if q else 0.0))
-        if g >= evidence:
-            out[term] = (p + rate) / (p + q + 1)
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    def count(batches):
+        pos: Counter = Counter()
+        neg: Counter = Counter()
+        for batch in batches:
+            for y, value in zip(batch.column("_y").to_pylist(), batch.column("text")):
+                (pos if y else neg).update(terms_of(restored_words(value.as_py() or "", decoder)))
+        terms = list(pos | neg)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()),
+                                          pa.array([neg[t] for t in terms], pa.int64())], ["term", "p", "q"])
+    seen = rows.mapInArrow(count, "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    rate, both = n[1] / (n[1] + n[0]), F.col("p") + F.col("q")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / both / share)).otherwise(0.0)
+    g = F.greatest(F.lit(1e-6), F.round(2 * (part("p", rate) + part("q", 1 - rate)), 6))
+    seen = seen.where(both >= MIN_DOCS).select("term", g.alias("g")).orderBy(F.desc("g"), "term").limit(TERMS).collect()
+    terms = [r["term"] for r in seen]
+    prior = np.maximum(LEAST_PRIOR, (evidence / np.array([r["g"] for r in seen])) ** 2)
+    number = {t: i for i, t in enumerate(terms)}
+
+    def matrix(batches):
+        for batch in batches:
+            found = [np.sort(np.array([number[t] for t in terms_of(restored_words(v.as_py() or "", decoder)) & number.keys()], "<i4")).tobytes()
+                     for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_y"), pa.array(found, pa.binary())], ["id", "y", "x"])
+    # in a fixed order, so that reruns add up alike
+    data = sorted((r["id"], bytes(r["x"]), r["y"]) for r in rows.mapInArrow(matrix, "id long, y int, x binary").collect())
+    y = np.array([int(r[2] > 0) for r in data], float)
+    if not len(y) or y.min() == y.max():
+        return {}
+    w = fit_logistic([np.frombuffer(r[1], "<i4") for r in data], y, len(terms), prior)
+    return {"": float(w[-1]), **{t: float(x) for t, x in zip(terms, w)}}
 
 
 # -- scoring ----------------------------------------------------------------------------------
@@ -253,19 +305,19 @@ def learn_terms(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: st
 def score(docs: DataFrame, terms: dict[str, float], decoder: Decoder, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_terms`` for every row."""
-    index = word_index(t for t in terms if not t.endswith("~"))
+    base = terms.get("", 0.0)
+    terms = {t: w for t, w in terms.items() if t}
+    index = word_index(t for t, w in terms.items() if w > 0 and not t.endswith("~"))
 
     def work(batches):
         for batch in batches:
             scores, hits = [], []
             for value in batch.column(1):
                 text = value.as_py()
-                miss, n = 1.0 - BASE, 0
-                if text:
-                    for t in terms_of(restored_words(text, decoder, index)) & terms.keys():
-                        miss *= 1.0 - terms[t]
-                        n += 1
-                scores.append(round(1.0 - miss, 6))
+                found = terms_of(restored_words(text, decoder, index)) & terms.keys() if text else ()
+                odds = base + math.fsum(terms[t] for t in found)
+                scores.append(round(1 / (1 + math.exp(-max(-40.0, odds))), 6) if found else BASE)
+                n = len(found)
                 hits.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], ["doc_id", "score", "n_terms"])
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, score double, n_terms long")

@@ -163,6 +163,22 @@ def test_toxicity_reads_mixed_obfuscation(spark):
     assert [t for i, t in more if out[i] != (t in odd)] == []
 
 
+def test_toxicity_weighs_weak_terms(spark):
+    # each of three words is in every toxic document and in 30 % of the clean ones: a toxic share of about a half
+    rng, rows, bad = random.Random(2), [], ["grubfex", "snarvolt", "plinkour"]
+    for i in range(900):
+        y = int(i % 4 == 0)
+        rows.append((i, " ".join([prose(i, 15), *[w for w in bad if y or rng.random() < 0.3]]), y))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    more = [(1000, "grubfex snarvolt plinkour"), (1001, "snarvolt alone")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + more, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(out[i]["predicted"], y) for i, _, y in rows if out[i]["held_out"]]
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held)
+    assert sum(p == y for p, y in held) / len(held) > 0.85
+    assert [out[i]["predicted"] for i in (1000, 1001)] == [1, 0]
+
+
 def test_toxicity_without_labels(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).where("predicted = 1").count() == 0
