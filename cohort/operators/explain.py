@@ -103,13 +103,31 @@ def dependence_table(phi: DataFrame, df: DataFrame, id_col: str, feature: str, q
 
 
 def counterfactuals(model, df: DataFrame, id_col: str, features: Sequence[str], allowed: Sequence[str],
-                    desired_class: int, k: int = 3, grid: int = 5) -> DataFrame:
+                    desired_class: int, k: int = 3, grid: int = 5, refine: int = 9) -> DataFrame:
     """Up to k nearest changes of ``allowed`` columns that make the model predict ``desired_class``.
 
+    Rows that no change on ``grid`` quantiles a column reaches are tried on ``refine`` quantiles; rows that
+    are still out of reach have one row whose ``allowed`` values, distance and cf_rank are null.
     Output: id, cf_rank, the full feature values of the counterfactual, distance, n_changed.
     """
+    from ..session import materialize
+    found = materialize(_proposals(model, df, df, id_col, features, allowed, desired_class, k, grid), "recourse")
+    rest = df.join(found.select(id_col).distinct(), id_col, "left_anti")
+    if refine > grid and rest.limit(1).count():
+        more = materialize(_proposals(model, rest, df, id_col, features, allowed, desired_class, k, refine), "recourse-fine")
+        found = found.unionByName(more)
+        rest = rest.join(more.select(id_col).distinct(), id_col, "left_anti")
+    value = {c: F.col(c).cast("double") for c in features}
+    none = rest.select(id_col, *[F.lit(None).cast("double").alias(c) if c in allowed else value[c].alias(c) for c in features],
+                       *[value[c].alias(f"_o_{c}") for c in allowed])
+    return found.unionByName(none, allowMissingColumns=True)
+
+
+def _proposals(model, df: DataFrame, population: DataFrame, id_col: str, features: Sequence[str], allowed: Sequence[str],
+               desired_class: int, k: int, grid: int) -> DataFrame:
+    """Reached rows only, with values at ``grid`` quantiles of each column of the population."""
     probs = [i / (grid - 1) for i in range(grid)]
-    st = df.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in allowed],
+    st = population.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in allowed],
                 *[F.stddev_pop(c).alias(f"s_{c}") for c in allowed]).first()
     cand_vals = {c: sorted(set(float(v) for v in st[f"q_{c}"])) for c in allowed}
     combos = list(itertools.product(*[cand_vals[c] for c in allowed]))     # grid ** len(allowed), bounded
@@ -165,7 +183,7 @@ def scenario_grid(df: DataFrame, cols: Sequence[str], fixed: dict | None = None,
     """What-if profiles: the cross product of each column's observed quantiles (points per column),
     generated from one aggregate of the data (points ** len(cols) rows)."""
     probs = [i / (points - 1) for i in range(points)]
-    st = df.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
+    st = population.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
     vals = [sorted(set(float(v) for v in st[c])) for c in cols]
     combos = list(itertools.product(*vals))
     rows = [tuple(combo) + tuple((fixed or {}).values()) for combo in combos]

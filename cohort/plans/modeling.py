@@ -143,7 +143,7 @@ def q_ordinal(spark, sf):
     train, test = _train_test(spark, sf)
     # early stopping on a validation fold carved out of the training rows (never the test rows)
     train = stratified_folds(train, "row_id", "GradeClass", 5, 7).withColumn("is_val", F.col("fold") == 0)
-    m = MD.OrdinalBoost(5, "label", max_iter=20, depth=4, validation="is_val").fit(train)
+    m = MD.OrdinalBoost(5, "label", max_iter=1000, validation="is_val").fit(train)
     return rounded(_metrics(m.transform(test)))
 
 
@@ -158,9 +158,9 @@ def q_mlp(spark, sf):
 def q_stack(spark, sf):
     train, test = _train_test(spark, sf)
     train = stratified_folds(train, "row_id", "GradeClass", 3, 42)
-    bases = {"rf": MD.forest_classifier("label", trees=10, depth=6),
-             "gbt": MD.OrdinalBoost(5, "label", max_iter=3, depth=3),
-             "mlp": MD.mlp_classifier(len(FEATURES), 5, "label", hidden=(16, 8)).setMaxIter(20)}
+    bases = {"rf": MD.forest_classifier("label", trees=200, depth=10),
+             "gbt": MD.OrdinalBoost(5, "label", max_iter=500, depth=6, step=0.05),
+             "mlp": MD.mlp_classifier(len(FEATURES), 5, "label", hidden=(64, 32)).setMaxIter(500)}
     pred, _ = MD.stacking_fit_predict(train, test, "label", "fold", "row_id", bases, 5)
     return rounded(_metrics(pred))
 
@@ -169,8 +169,10 @@ def q_stack(spark, sf):
 def q_grid(spark, sf):
     train, _ = _train_test(spark, sf)
     train = stratified_folds(train, "row_id", "GradeClass", 3, 42)
-    rf = MD.forest_classifier("label", trees=20)
-    cv = MD.grid_search(rf, {rf.maxDepth: [4, 8], rf.minInstancesPerNode: [1, 5]}, train, "label", "fold")
+    rf = MD.forest_classifier("label")
+    # 81 points; 30 is MLlib's greatest depth, least gain stands for the least rows to split, which MLlib lacks
+    grid = {rf.numTrees: [100, 200, 300], rf.maxDepth: [30, 10, 20], rf.minInfoGain: [0.0, 0.001, 0.01], rf.minInstancesPerNode: [1, 2, 4]}
+    cv = MD.grid_search(rf, grid, train, "label", "fold")
     return rounded(MD.trials_table(spark, cv))
 
 
@@ -178,13 +180,13 @@ def q_grid(spark, sf):
 def q_random(spark, sf):
     train, _ = _train_test(spark, sf)
     train = stratified_folds(train, "row_id", "GradeClass", 3, 42)
-    rf = MD.forest_classifier("label", trees=20)
+    rf = MD.forest_classifier("label", trees=100)
     space = {rf.maxDepth: ("int", 3, 10), rf.minInstancesPerNode: ("int", 1, 10),
              rf.subsamplingRate: ("float", 0.5, 1.0), rf.featureSubsetStrategy: ("choice", ["sqrt", "all"])}
-    cv = MD.random_search(rf, space, 4, train, "label", "fold")
+    cv = MD.random_search(rf, space, 50, train, "label", "fold")
     trials = MD.trials_table(spark, cv)
     log = _scratch(spark, "trials")
-    for t in trials.collect():   # one row per trial (4)
+    for t in trials.collect():   # one row per trial (50)
         IO.log_run(spark, log, f"trial-{t.trial}", {"params": t.params}, {"cv_qwk": t.cv_qwk})
     return rounded(trials)
 
@@ -325,7 +327,7 @@ def q_placebo(spark, sf):
     d = CA.propensity_cells(_causal_input(spark, sf), "InternetAccess", _CONF, "score")
     est = CA.matched_effect(d, "row_id", "InternetAccess", "score", "GPA").first()["ate"]
     return rounded(CA.placebo_refute(_causal_input(spark, sf), "row_id", "InternetAccess", _CONF, "GPA",
-                                     est, replicates=10))
+                                     est, replicates=100))
 
 
 # ---------------------------------------------------------------- personas (M16-M19), selection
@@ -362,7 +364,7 @@ def q_silhouette(spark, sf):
 def q_boruta(spark, sf):
     d = prepared_records(spark, sf)
     return boruta_frame(d, "row_id", "GradeClass", ["StudyTimeWeekly", "Absences", "ParentalEducation",
-                                                     "InternetAccess", "Tutoring", "Gender"], rounds=8, trees=20)
+                                                     "InternetAccess", "Tutoring", "Gender"])
 
 
 # ---------------------------------------------------------------- explanations
@@ -373,22 +375,22 @@ _XF = ["StudyTimeWeekly", "Absences", "ParentalEducation", "InternetAccess", "Tu
 def _xmodel(spark, sf):
     d = prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double"))
     d = MD.assemble(d, _XF)
-    return MD.forest_classifier("label", trees=20, depth=6).fit(d), prepared_records(spark, sf)
+    return MD.forest_classifier("label", trees=100, depth=5).fit(d), prepared_records(spark, sf)
 
 
 @query("shapley_values")
 def q_shap(spark, sf):
     model, d = _xmodel(spark, sf)
-    bg = XP.background_sample(d, "row_id", 50)
-    phi = XP.shapley_values(model, d, "row_id", _XF, 4, bg, samples=4)
+    bg = XP.background_sample(d, "row_id", 100)
+    phi = XP.shapley_values(model, d, "row_id", _XF, 4, bg, samples=120)   # as many orderings as five features have
     return rounded(XP.mean_abs_ranking(phi))
 
 
 @query("shapley_dependence")
 def q_dep(spark, sf):
     model, d = _xmodel(spark, sf)
-    bg = XP.background_sample(d, "row_id", 50)
-    phi = XP.shapley_values(model, d, "row_id", _XF, 4, bg, samples=4)
+    bg = XP.background_sample(d, "row_id", 100)
+    phi = XP.shapley_values(model, d, "row_id", _XF, 4, bg, samples=120)   # as many orderings as five features have
     return rounded(XP.dependence_table(phi, d, "row_id", "Absences"))
 
 

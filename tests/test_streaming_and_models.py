@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 from cohort.operators import causal as CA
 from cohort.operators import explain as XP
 from cohort.operators import models as MD
@@ -151,6 +152,43 @@ def test_counterfactuals_change_only_allowed(spark):
     assert ch.where(F.col("from_value") == F.col("to_value")).count() == 0
 
 
+def test_counterfactuals_keep_rows_out_of_reach(spark):
+    d = prepared_records(spark, SF_SMALL).withColumn("label", F.col("GradeClass").cast("double"))
+    feats = ["StudyTimeWeekly", "Absences", "ParentalEducation"]
+    m = MD.forest_classifier("label", trees=5, depth=3).fit(MD.assemble(d, feats))
+    q = d.where("GradeClass = 4").limit(20)
+    cf = XP.counterfactuals(m, q, "row_id", feats, ["StudyTimeWeekly", "Absences"], 99, refine=6)
+    assert cf.count() == q.count() > 0
+    assert cf.where("cf_rank is null and StudyTimeWeekly is null and Absences is null and _o_Absences is not null").count() == q.count()
+
+
+def test_searches_and_selection_have_the_reference_sizes(spark, monkeypatch):
+    from cohort.plans import modeling as P
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(name):
+        def f(*args, **kw):
+            seen[name] = args, kw
+            raise Stop
+        return f
+    monkeypatch.setattr(P.MD, "grid_search", stop("grid"))
+    monkeypatch.setattr(P.MD, "random_search", stop("random"))
+    monkeypatch.setattr(P, "boruta_frame", stop("boruta"))
+    monkeypatch.setattr(P.MD, "stacking_fit_predict", stop("stack"))
+    for q in (P.q_grid, P.q_random, P.q_boruta, P.q_stack):
+        with pytest.raises(Stop):
+            q(spark, SF_SMALL)
+    points = 1
+    for values in seen["grid"][0][1].values():
+        points *= len(values)
+    assert points == 81 and seen["random"][0][2] == 50 and not seen["boruta"][1]
+    bases = seen["stack"][0][5]
+    assert (bases["rf"].getNumTrees(), bases["gbt"].max_iter, bases["mlp"].getMaxIter(), bases["mlp"].getLayers()[1:3]) == (200, 500, 500, [64, 32])
+
+
 def test_ordinal_boost_probabilities_are_distributions(spark):
     d = MD.assemble(prepared_records(spark, SF_MID), ["StudyTimeWeekly", "Absences", "GPA"]).withColumn(
         "label", F.col("GradeClass").cast("double"))
