@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, substrings, toxicity, warc
+from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, substrings, toxicity, urls, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ SQL["op5_lm_scores"] = lm.SQL
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read(spark, sf_dir, "pages"), urls.train(urls.labelled(spark)))
