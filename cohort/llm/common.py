@@ -58,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -68,8 +69,13 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables written so far but ``kept``."""
+        self.drop(*[t for t in self.tables if not any(t is k for k in kept)])
+
     def drop(self, *tables: DataFrame | None) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
@@ -77,6 +83,7 @@ class Scratch:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+                self.tables = [x for x in self.tables if x is not t]
 
 
 def join_bounded(df: DataFrame, small: DataFrame, on, how: str, rows: int, limit: int = 100_000) -> DataFrame:

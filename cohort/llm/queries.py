@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, substrings, toxicity, urls, warc
+from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, spelling, substrings, toxicity, urls, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -83,3 +83,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), urls.train(urls.labelled(spark)))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling_variants"] = spelling.SQL
