@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lm, mixing, neardup, quality, secrets, spelling, substrings, toxicity, urls, warc
+from . import decontaminate, lines, lm, mixing, neardup, phrases, quality, secrets, spelling, substrings, toxicity, urls, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -91,3 +91,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_spelling_variants"] = spelling.SQL
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(read(spark, sf_dir, "documents"))
+
+
+SQL["op11_phrases"] = phrases.SQL

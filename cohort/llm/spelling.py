@@ -11,7 +11,7 @@ a chain that grows tenfold at each step.
 
 Few of the strings a neighbourhood holds are reduced words of the table, so they are looked up in a
 bitmap of the reduced vocabulary before they are exchanged. The bitmap has a fixed size
-(``2**SIEVE_BITS`` bits, 8 MB) whatever the table; what it lets through wrongly meets nothing in the
+(``sieve.py``, 8 MB) whatever the table; what it lets through wrongly meets nothing in the
 join. It never decides a pair.
 
 Counting is one map over the documents with partial counts per task (vectorised over Arrow buffers;
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .sieve import BITS, bitmap, in_bitmap
 from .textnum import _BASE, _INV, mix, powers, prefix_sums, slices, span_hashes
 
 SYMBOLS = 8             #: letters are hashed to so many symbols
-SIEVE_BITS = 26         #: log2 of the bits of the fixed-size bitmap
 MIN_LENGTH = 7          #: code points of a word
 MIN_COUNT = 2           #: occurrences of a word
 RATIO = 10              #: how much more frequent a form is
@@ -224,26 +224,10 @@ def reduced(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     return vocabulary.select("word", "n").mapInArrow(work, "word string, n long, key long")
 
 
-def bitmap(keys: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
-    """Bytes of a bitmap with the bits ``key mod 2**bits`` set; its size does not depend on the table."""
-    at = F.pmod(F.col(keys.columns[0]), F.lit(1 << bits)) + 1
-    rows = (keys.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
-            .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect())
-    out = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
-    for r in rows:
-        out[(r["b"] - 1) * 4096:r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
-
-
-def in_bitmap(sieve: np.ndarray, keys: np.ndarray, bits: int = SIEVE_BITS) -> np.ndarray:
-    at = keys & np.uint64((1 << bits) - 1)
-    return (sieve[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-
-
-def near_pairs(vocabulary: DataFrame, scratch: Scratch, symbols: int = SYMBOLS, bits: int = SIEVE_BITS) -> DataFrame:
+def near_pairs(vocabulary: DataFrame, scratch: Scratch, symbols: int = SYMBOLS, bits: int = BITS) -> DataFrame:
     """``word, n, near, near_n``: every ordered pair of words at exactly one edit."""
     keyed = scratch.write(reduced(vocabulary, symbols), "keys")
-    sieve = vocabulary.sparkSession.sparkContext.broadcast(bitmap(keyed.select("key"), bits))
+    sieve = vocabulary.sparkSession.sparkContext.broadcast(bitmap(keyed, F.col("key"), bits))
 
     def work(batches):
         for batch in batches:
