@@ -1,41 +1,11 @@
-"""Library-wide execution choices.
-
-``QUANTILES``: "exact" uses Spark's ``percentile`` (linear interpolation, the numpy/pandas
-rule, checked against DuckDB ``quantile_cont``). Its buffer is a value -> count map per
-group, so memory grows with the number of *distinct* values in a group. "approx" uses
-``percentile_approx`` (Greenwald-Khanna sketch, memory bounded by ``APPROX_ACCURACY``),
-which is the setting for very large continuous columns. The same switch makes the
-density curve bin values onto ``KDE_BINS`` points before evaluating the kernel.
-"""
+"""Library-wide execution choices."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-QUANTILES = os.environ.get("COHORT_QUANTILES", "exact")
-APPROX_ACCURACY = int(os.environ.get("COHORT_APPROX_ACCURACY", "100000"))
-KDE_BINS = 4096
-
 # Ordered-window chunking (operators/windows.py): hex digits of the md5 prefix (16**d
 # chunks) and the number of value-range chunks. More chunks = fewer rows per window
 # task for a hot key; the (key, chunk) offset table grows accordingly (still small).
 MD5_CHUNK_DIGITS = int(os.environ.get("COHORT_MD5_CHUNK_DIGITS", "3"))
 RANGE_CHUNKS = int(os.environ.get("COHORT_RANGE_CHUNKS", "256"))
-
-
-def quantile_agg(col, probs) -> Column:
-    """Quantile aggregate honouring ``QUANTILES``; ``probs`` a float or a list."""
-    c = F.col(col) if isinstance(col, str) else col
-    if QUANTILES == "approx":
-        return F.percentile_approx(c, probs, APPROX_ACCURACY).cast(
-            "array<double>" if isinstance(probs, (list, tuple)) else "double")
-    return F.percentile(c, list(probs) if isinstance(probs, (list, tuple)) else probs)
-
-
-def distinct_count(col) -> Column:
-    """Distinct count for threshold decisions: exact, or HyperLogLog++ (1 % error) in approx mode."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.approx_count_distinct(c, 0.01) if QUANTILES == "approx" else F.count_distinct(c)

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import KDE_BINS, QUANTILES, quantile_agg
+from .ranks import group_quantiles, quantile_values
 from .windows import join_small
 
 
@@ -41,22 +41,9 @@ def kpi_row(df: DataFrame, cls: str = "GradeClass", value: str = "GPA", risk_thr
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas rule), long form (column, p, value)."""
-    aggs = [quantile_agg(F.col(c), list(probs)).alias(f"q_{c}") for c in cols]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.arrays_zip(
-        F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col(f"q_{c}").alias("value")).alias("z"))
-        for c in cols])
-    out = g.select(*by, F.inline(rows)).select(*by, "column_name", F.inline("z"))
-    return out
-
-
-def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000) -> DataFrame:
-    """Bounded-memory quantiles for very large groups (Greenwald-Khanna sketch)."""
-    g = df.agg(*[F.percentile_approx(F.col(c), list(probs), accuracy).alias(f"q_{c}") for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.arrays_zip(
-        F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col(f"q_{c}").alias("value")).alias("z"))
-        for c in cols])
-    return g.select(F.inline(rows)).select("column_name", F.inline("z"))
+    p = F.array(*[F.lit(float(x)) for x in probs])
+    zipped = F.arrays_zip(p.alias("p"), F.col("q").alias("value"))
+    return group_quantiles(df, cols, probs, by).select(*by, "column_name", F.inline(zipped).alias("p", "value"))
 
 
 def _corr(a: str, b: str) -> Column:
@@ -114,8 +101,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 
 def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: float | None = None) -> DataFrame:
-    """Gaussian kernel density on an even grid (Scott bandwidth = sd * n^-1/5); exact unless
-    ``config.QUANTILES == "approx"``, which snaps values to a fixed grid first.
+    """Gaussian kernel density on an even grid (Scott bandwidth = sd * n^-1/5). A column without values
+    gives no row.
 
     Rows collapse to (distinct value, count) first; each distinct value then emits one
     contribution per grid point via ``explode(sequence)`` and the grid sums are a grouped
@@ -124,14 +111,13 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: f
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"), F.min(col).alias("lo"),
                 F.max(col).alias("hi")).first()
     n, sd, lo, hi = st["n"], st["sd"] or 0.0, st["lo"], st["hi"]
+    if not n:
+        return df.sparkSession.createDataFrame([], "g int, x double, density double")
+    lo, hi = float(lo), float(hi)
     h = bandwidth if bandwidth is not None else (sd * n ** (-0.2) if sd > 0 else 1.0)
     g0, g1 = lo - cut * h, hi + cut * h
     step = (g1 - g0) / (grid - 1)
     v = F.col(col).cast("double")
-    if QUANTILES == "approx" and hi > lo:
-        # bounded work: snap values to KDE_BINS points (error <= half a bin width)
-        w = (hi - lo) / (KDE_BINS - 1)
-        v = F.lit(lo) + F.round((v - F.lit(lo)) / F.lit(w)) * F.lit(w)
     vals = df.where(F.col(col).isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     pts = vals.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
     x = F.lit(g0) + F.col("g") * F.lit(step)
@@ -143,19 +129,21 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: f
 
 
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
-    """Per group: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and
-    outlier count. Quartiles are one grouped aggregate; the fences join back to the rows
-    (one row per group; AQE broadcasts it when its measured size is small)."""
-    q = df.groupBy(group).agg(quantile_agg(F.col(col), [0.25, 0.5, 0.75]).alias("_q"), F.count(col).alias("n"))
-    q = q.select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    """Per group: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and outlier count.
+
+    Quartiles come from rank selection; the fences, one row per group, join back to the rows (a table
+    whose size AQE measures before it broadcasts it)."""
+    q = group_quantiles(df.select(group, F.col(col).alias("_x")), ["_x"], [0.25, 0.5, 0.75], [group])
+    q = q.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = join_small(df.select(group, col).where(F.col(col).isNotNull()), q.select(group, "_lo", "_hi"), on=group)
+    fences = q.select(F.col(group).alias("_g"), "_lo", "_hi")
+    j = df.select(group, col).where(F.col(col).isNotNull()).join(fences, F.col(group).eqNullSafe(F.col("_g")))
     inside = (F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))
-    w = j.groupBy(group).agg(F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
-                             F.max(F.when(inside, F.col(col))).alias("whisker_hi"),
-                             F.count_if(~inside).alias("n_outliers"))
-    return q.drop("_lo", "_hi").join(w, group)
+    w = j.groupBy(F.col(group).alias("_g")).agg(F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
+                                                F.max(F.when(inside, F.col(col))).alias("whisker_hi"),
+                                                F.count_if(~inside).alias("n_outliers"))
+    return q.drop("_lo", "_hi").join(w, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
@@ -174,8 +162,7 @@ def pair_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
 def qcut_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Exact quantile edges at 0, 1/q, .., 1 with duplicates dropped."""
     probs = [i / q for i in range(q + 1)]
-    e = df.agg(quantile_agg(F.col(col), probs)).first()[0]
-    return sorted(set(float(x) for x in e or []))
+    return sorted({x for x in quantile_values(df, [col], probs)[col] if x is not None})
 
 
 def qcut_bin(x: Column, edges: Sequence[float]) -> Column:

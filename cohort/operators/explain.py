@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import quantile_agg
+from .ranks import quantile_values
 from .windows import chunked_row_number, join_small, md5_order
 
 
@@ -127,9 +127,8 @@ def _proposals(model, df: DataFrame, population: DataFrame, id_col: str, feature
                desired_class: int, k: int, grid: int) -> DataFrame:
     """Reached rows only, with values at ``grid`` quantiles of each column of the population."""
     probs = [i / (grid - 1) for i in range(grid)]
-    st = population.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in allowed],
-                *[F.stddev_pop(c).alias(f"s_{c}") for c in allowed]).first()
-    cand_vals = {c: sorted(set(float(v) for v in st[f"q_{c}"])) for c in allowed}
+    st = population.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in allowed]).first()
+    cand_vals = {c: sorted({v for v in q if v is not None}) for c, q in quantile_values(population, allowed, probs).items()}
     combos = list(itertools.product(*[cand_vals[c] for c in allowed]))     # grid ** len(allowed), bounded
     arr = F.array(*[F.struct(*[F.lit(v).alias(f"_n_{c}") for v, c in zip(combo, allowed)]) for combo in combos])
     d = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features])
@@ -179,16 +178,22 @@ def scenario_scores(model, scenarios: DataFrame, features: Sequence[str], risk_c
     return s.drop("_fv", "_cls", "_pp", "_raw")
 
 
-def scenario_grid(df: DataFrame, cols: Sequence[str], fixed: dict | None = None, points: int = 3) -> DataFrame:
-    """What-if profiles: the cross product of each column's observed quantiles (points per column),
-    generated from one aggregate of the data (points ** len(cols) rows)."""
-    probs = [i / (points - 1) for i in range(points)]
-    st = population.agg(*[quantile_agg(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
-    vals = [sorted(set(float(v) for v in st[c])) for c in cols]
-    combos = list(itertools.product(*vals))
-    rows = [tuple(combo) + tuple((fixed or {}).values()) for combo in combos]
-    schema = ", ".join([f"`{c}` double" for c in cols] + [f"`{k}` double" for k in (fixed or {})])
-    return df.sparkSession.createDataFrame(rows, schema)
+def scenario_grid(df: DataFrame, cols: Sequence[str], fixed: dict | None = None, points: int = 3,
+                  values: dict[str, Sequence[float]] | None = None) -> DataFrame:
+    """What-if profiles: every combination of the values of ``cols``, with ``fixed`` columns beside them.
+
+    A column's values are those in ``values``, else its observed quantiles (``points`` of them, equal ones once).
+    The combinations are generated by one ``explode`` a column, so only the value lists are on the driver.
+    """
+    values = dict(values or {})
+    probs = [i / (points - 1) for i in range(points)] if points > 1 else [0.5]
+    rest = [c for c in cols if c not in values]
+    if rest:
+        values |= {c: sorted({x for x in q if x is not None}) for c, q in quantile_values(df, rest, probs).items()}
+    out = df.sparkSession.range(1).select(*[F.lit(float(v)).alias(c) for c, v in (fixed or {}).items()])
+    for c in cols:
+        out = out.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values[c]]).cast("array<double>")).alias(c))
+    return out.select(*cols, *(fixed or {}))
 
 
 __all__ = ["shapley_values", "mean_abs_ranking", "dependence_table", "counterfactuals", "changed_cells",

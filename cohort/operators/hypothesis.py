@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import distinct_count, quantile_agg
+from .ranks import quantile_values
 from .windows import chunked_running, range_chunk, range_edges
 
 # Chebyshev fit of erfc (fractional error < 1.2e-7), coefficients in order.
@@ -52,14 +52,14 @@ def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]
     value is High and the smaller Low (the reference compares groups that do not exist).
     """
     gcols = sorted({g for _, g, _ in hypotheses})
-    st = df.agg(*[distinct_count(g).alias(f"d_{g}") for g in gcols],
-                *[quantile_agg(F.col(g).cast("double"), 0.5).alias(f"m_{g}") for g in gcols],
+    median = {g: q[0] for g, q in quantile_values(df, gcols, [0.5]).items()}
+    st = df.agg(*[F.count_distinct(g).alias(f"d_{g}") for g in gcols],
                 *[F.max(g).alias(f"x_{g}") for g in gcols], *[F.min(g).alias(f"n_{g}") for g in gcols]).first()
     structs = []
     for name, g, y in hypotheses:
         x = F.col(g)
         if st[f"d_{g}"] > 2:
-            grp = F.when(x > F.lit(st[f"m_{g}"]), F.lit("High")).when(x.isNotNull(), F.lit("Low"))
+            grp = F.when(x > F.lit(median[g]), F.lit("High")).when(x.isNotNull(), F.lit("Low"))
         else:
             grp = F.when(x == F.lit(st[f"x_{g}"]), F.lit("High")).when(x == F.lit(st[f"n_{g}"]), F.lit("Low"))
             if st[f"x_{g}"] == st[f"n_{g}"]:

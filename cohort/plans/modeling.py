@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.expressions import interaction_features
 from ..operators import causal as CA
 from ..operators import explain as XP
 from ..operators import models as MD
@@ -404,7 +405,10 @@ def q_cf(spark, sf):
 
 @query("what_if_scenarios")
 def q_whatif(spark, sf):
-    model, d = _xmodel(spark, sf)
-    grid = XP.scenario_grid(d, ["StudyTimeWeekly", "Absences", "ParentalEducation"], {"InternetAccess": 0.0,
-                                                                                     "Tutoring": 0.0})
-    return rounded(XP.scenario_scores(model, grid, _XF).select(*_XF, "pred_class", "risk", "advice"))
+    """Profiles of raw columns -> engineered features -> class, risk and advice, by the model on all features."""
+    d = prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double"))
+    model = MD.forest_classifier("label", trees=100, depth=5).fit(MD.assemble(d, FEATURES))
+    flags = {c: [0.0, 1.0] for c in ("InternetAccess", "Tutoring", "Extracurricular")}
+    grid = XP.scenario_grid(d, ["StudyTimeWeekly", "Absences", "ParentalEducation", *flags], {"Gender": 0.0}, points=5, values=flags)
+    scored = XP.scenario_scores(model, interaction_features(grid), FEATURES)
+    return rounded(scored.select(*FEATURES, "pred_class", "risk", "advice"))
