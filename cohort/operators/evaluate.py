@@ -61,6 +61,21 @@ def _kappa(conf: DataFrame) -> DataFrame:
     return j.agg((F.lit(1.0) - F.coalesce(F.try_divide(num.cast("double"), den), F.lit(0.0))).alias("qwk"))
 
 
+def kappa_of_counts(counts) -> float:
+    """Quadratic kappa of (label, prediction, n) triples of one confusion table; weights use label positions."""
+    counts = [(y, p, n) for y, p, n in counts if y is not None and p is not None]
+    at = {v: i for i, v in enumerate(sorted({x for y, p, _ in counts for x in (y, p)}))}
+    total = sum(n for *_, n in counts)
+    rows, cols = [0] * len(at), [0] * len(at)
+    off = 0
+    for y, p, n in counts:
+        rows[at[y]] += n
+        cols[at[p]] += n
+        off += n * (at[y] - at[p]) ** 2
+    chance = sum(r * c * (i - j) ** 2 for i, r in enumerate(rows) for j, c in enumerate(cols))
+    return 1.0 - off * total / chance if chance else 1.0
+
+
 def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
     """(label, precision, recall, f1, support); 0/0 -> 0."""
     return _per_class(confusion_counts(df, y, p))

@@ -1,6 +1,5 @@
-"""Models on MLlib: linear/forest regression, multinomial logistic regression, forests,
-ordinal boosted trees (cumulative binary GBTs), MLP, stacking with out-of-fold scores,
-grid and random search with fold columns, split-ratio study, batch scoring.
+"""Models on MLlib: linear/forest regression, multinomial logistic regression, forests, MLP,
+split-ratio study, batch scoring; ordinal boosting, stacking and the searches have modules of their own.
 
 Training is MLlib's distributed tree/gradient code (treeAggregate); scoring is a
 map-only ``transform``. Nothing is collected except model parameters.
@@ -8,21 +7,20 @@ map-only ``transform``. Nothing is collected except model parameters.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import QWKEvaluator, classification_metrics
+from .evaluate import classification_metrics
+from .ordinal import OrdinalBoost, OrdinalBoostModel  # noqa: F401
+from .search import SearchResult, grid_search, random_param_maps, random_search, trials_table  # noqa: F401
+from .stacking import Stacking, StackingModel  # noqa: F401
 
 FEATURES = "features"
 
@@ -69,144 +67,10 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     return df.join(F.broadcast(w) if k <= 10_000 else w, label)
 
 
-# ---------------------------------------------------------------- ordinal boosted trees (M6)
-
-class OrdinalBoostModel(Model):
-    def __init__(self, models, n_classes, features, prediction="prediction", probability="probability"):
-        super().__init__()
-        self.models, self.k, self.features = models, n_classes, features
-        self.prediction, self.probability = prediction, probability
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        d = df
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
-            d = m.transform(d).withColumn(f"_g{i}", vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_r{i}", f"_y{i}")
-        # P(y > k) must not increase in k: running minimum, then class mass by differences
-        gt = []
-        for i in range(self.k - 1):
-            c = F.col(f"_g{i}")
-            gt.append(c if not gt else F.least(gt[-1], c))
-        probs = [F.lit(1.0) - gt[0]] + [gt[i - 1] - gt[i] for i in range(1, self.k - 1)] + [gt[-1]]
-        arr = F.array(*probs)
-        total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-        arr = F.transform(arr, lambda x: x / total)
-        d = d.withColumn("_probs", arr)
-        best = F.array_position(d["_probs"], F.array_max(d["_probs"])) - 1
-        return (d.withColumn(self.probability, array_to_vector("_probs"))
-                .withColumn(self.prediction, best.cast("double"))
-                .drop("_probs", *[f"_g{i}" for i in range(self.k - 1)]))
-
-
-class OrdinalBoost(Estimator):
-    """K - 1 binary GBTs for P(y > k); class probabilities by differences (ordered classes)."""
-
-    def __init__(self, n_classes: int = 5, label: str = "label", features: str = FEATURES, max_iter: int = 50,
-                 depth: int = 6, step: float = 0.1, seed: int = 42, validation: str | None = None):
-        super().__init__()
-        self.k, self.label, self.features = n_classes, label, features
-        self.max_iter, self.depth, self.step, self.seed, self.validation = max_iter, depth, step, seed, validation
-
-    def _fit(self, df: DataFrame) -> OrdinalBoostModel:
-        models = []
-        for i in range(self.k - 1):
-            d = df.withColumn("_bin", (F.col(self.label) > i).cast("double"))
-            gbt = GBTClassifier(featuresCol=self.features, labelCol="_bin", maxIter=self.max_iter,
-                                maxDepth=self.depth, stepSize=self.step, seed=self.seed)
-            if self.validation:
-                gbt.setValidationIndicatorCol(self.validation)
-            models.append(gbt.fit(d))
-        return OrdinalBoostModel(models, self.k, self.features)
-
-
-# ---------------------------------------------------------------- stacking (M8)
-
-def stacking_fit_predict(train: DataFrame, test: DataFrame, label: str, fold_col: str, id_col: str,
-                         bases: dict, n_classes: int):
-    """Out-of-fold class probabilities of each base model feed a multinomial logistic meta model.
-
-    ``bases`` maps name -> Estimator (features column ``features``). For each fold f, every
-    base is fitted on the other folds and scores fold f; bases are then refitted on all
-    training rows to score ``test``. Returns (test predictions, oof table).
-    """
-    from ..session import materialize
-    # every base is fitted k + 1 times: read the prepared inputs from one written copy
-    train, test = materialize(train, "stack-train"), materialize(test, "stack-test")
-    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]   # k fold ids
-    oof = None
-    for f in folds:
-        tr = train.where(F.col(fold_col) != f)
-        va = train.where(F.col(fold_col) == f)
-        cols = va.select(id_col, label)
-        for name, est in bases.items():
-            m = est.fit(tr)
-            sc = m.transform(va).select(id_col, vector_to_array("probability").alias(f"p_{name}"))
-            cols = cols.join(sc, id_col)
-        oof = cols if oof is None else oof.unionByName(cols)
-    names = list(bases)
-    meta_in = oof.select(id_col, label, F.concat(*[F.col(f"p_{n}") for n in names]).alias("_meta"))
-    meta_in = meta_in.withColumn("meta_features", array_to_vector("_meta"))
-    meta = logistic_multinomial(label, features="meta_features").fit(meta_in)
-    t = test
-    for name, est in bases.items():
-        m = est.fit(train)
-        t = t.join(m.transform(test).select(id_col, vector_to_array("probability").alias(f"p_{name}")), id_col)
-    t = t.withColumn("meta_features", array_to_vector(F.concat(*[F.col(f"p_{n}") for n in names])))
-    return meta.transform(t), oof
-
-
-# ---------------------------------------------------------------- tuning
-
-def grid_search(estimator, grid: dict, train: DataFrame, label: str, fold_col: str, parallelism: int = 4):
-    """Exhaustive grid with CrossValidator on a fold column, scored by QWK."""
-    b = ParamGridBuilder()
-    for p, vals in grid.items():
-        b = b.addGrid(p, list(vals))
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(),
-                        evaluator=QWKEvaluator(labelCol=label), foldCol=fold_col, parallelism=parallelism)
-    return cv.fit(train)
-
-
-def _u(trial: int, name: str, seed: int) -> float:
-    h = hashlib.md5(f"{trial}-{name}-{seed}".encode()).hexdigest()
-    return int(h[:13], 16) / float(16 ** 13)
-
-
-def random_param_maps(space: dict, trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random trials over ('int', lo, hi) / ('float', lo, hi) / ('logfloat', lo, hi) / ('choice', [..])."""
-    maps = []
-    for t in range(trials):
-        m = {}
-        for param, spec in space.items():
-            u = _u(t, param.name, seed)
-            kind = spec[0]
-            if kind == "int":
-                m[param] = int(spec[1] + math.floor(u * (spec[2] - spec[1] + 1)))
-            elif kind == "float":
-                m[param] = spec[1] + u * (spec[2] - spec[1])
-            elif kind == "logfloat":
-                m[param] = math.exp(math.log(spec[1]) + u * (math.log(spec[2]) - math.log(spec[1])))
-            else:
-                opts = spec[1]
-                m[param] = opts[min(int(u * len(opts)), len(opts) - 1)]
-        maps.append(m)
-    return maps
-
-
-def random_search(estimator, space: dict, trials: int, train: DataFrame, label: str, fold_col: str,
-                  seed: int = 42, parallelism: int = 4):
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=random_param_maps(space, trials, seed),
-                        evaluator=QWKEvaluator(labelCol=label), foldCol=fold_col, parallelism=parallelism)
-    return cv.fit(train)
-
-
-def trials_table(spark, cv_model) -> DataFrame:
-    """(trial, params, cv_qwk) rows of a fitted CrossValidatorModel."""
-    rows = []
-    for i, (pm, score) in enumerate(zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics)):
-        rows.append((i, ", ".join(f"{p.name}={v}" for p, v in pm.items()), float(score)))
-    return spark.createDataFrame(rows, "trial int, params string, cv_qwk double")
+def stacking_fit_predict(train: DataFrame, test: DataFrame, label: str, fold_col: str, id_col: str, bases: dict, n_classes: int):
+    """Fit a ``Stacking`` of ``bases`` (name -> Estimator) and score ``test``: (predictions, out-of-fold table)."""
+    stack = Stacking(bases, label, fold_col)
+    return stack.fit(train).transform(test), stack.out_of_fold
 
 
 # ---------------------------------------------------------------- scoring (M21) and study

@@ -1,14 +1,19 @@
-"""Shadow-feature selection (Boruta-style) with MLlib random forests.
+"""Sequential shadow-feature selection (Boruta-style) with MLlib random forests.
 
-Each round adds shadow copies of all features, each permuted on its own (seeded md5 order per
-column: the row at md5-rank k borrows the value of the row at id-rank k), fits a forest with
-balanced class weights, and counts a *hit* for every real feature whose importance beats the
-best shadow. After all rounds a two-sided binomial test (p = 0.5,
-Bonferroni over features) gives confirmed / tentative / rejected.
+Each round adds a shadow copy of every feature that is still in play, permuted on its own, fits a forest with
+balanced class weights, and counts a *hit* for every real feature whose importance beats the best
+shadow. After each round a one-sided binomial test in either direction (p = 0.5, Bonferroni over the
+features) settles features: a rejected one leaves the forest, a confirmed one stays in it, and the rounds
+end when none is undecided, or after ``rounds``, when the rest is tentative.
+
+Permutations come from one table, ranked once by a seeded md5 of the row id: in that random order, the shadow of the
+row at rank k is the value at rank k + offset (mod n), with an offset drawn per round and feature. A round
+so costs one exchange of the shadow values and no sort of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .models import balanced_weights
-from .windows import chunked_running, md5_chunk, range_chunk, range_edges
+from .windows import chunked_running, md5_chunk, md5_chunks, md5_order
 
 
 def _binom_sf(k: int, n: int) -> float:
@@ -27,47 +32,67 @@ def _binom_sf(k: int, n: int) -> float:
     return sum(math.comb(n, i) for i in range(k, n + 1)) / 2 ** n
 
 
+def ranked_rows(df: DataFrame, id_col: str, seed) -> DataFrame:
+    """The rows with ``_rank``, their dense rank (from 0) in the order of a seeded md5 of the id."""
+    d = df.withColumn("_k", md5_order(F.col(id_col), f"shadow-{seed}"))
+    d = chunked_running(d, [], [F.col("_k")], md5_chunk(F.col("_k")), {"_rank": F.lit(1)}, n_chunks=md5_chunks())
+    return d.withColumn("_rank", (F.col("_rank") - 1).cast("bigint")).drop("_k")
+
+
+def _offset(seed, round_: int, feature: str, n: int) -> int:
+    """Between 1 and n - 1 (0 for a single row)."""
+    return 1 + int(hashlib.md5(f"{seed}-{round_}-{feature}".encode()).hexdigest()[:15], 16) % (n - 1) if n > 1 else 0
+
+
+def _shadows(ranked: DataFrame, features: Sequence[str], n: int, seed, round_: int) -> DataFrame:
+    """The ranked rows with a ``shadow_`` column per feature: each a permutation of the feature's values."""
+    to = [F.struct(((F.col("_rank") - F.lit(_offset(seed, round_, c, n)) + F.lit(n)) % F.lit(n)).alias("_rank"), F.lit(i).alias("_c"),
+                   F.col(c).cast("double").alias("_v")) for i, c in enumerate(features)]
+    moved = ranked.select(F.inline(F.array(*to))).groupBy("_rank").agg(
+        *[F.max(F.when(F.col("_c") == i, F.col("_v"))).alias(f"shadow_{c}") for i, c in enumerate(features)])
+    return ranked.join(moved, "_rank")
+
+
 def shadow_rows(df: DataFrame, id_col: str, features: Sequence[str], seed) -> DataFrame:
-    """The rows with a ``shadow_`` column per feature; all columns' permutations share one join."""
-    names = F.explode(F.array(*[F.lit(c) for c in features]))
-    a = df.select(id_col, names.alias("_c"))
-    a = a.withColumn("_k", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-shadow-{seed}-"), F.col("_c"))))
-    a = chunked_running(a, ["_c"], [F.col("_k")], md5_chunk(F.col("_k")), {"_r": F.lit(1)}).drop("_k")
-    edges = range_edges(df, id_col)
-    b = chunked_running(df.select(id_col, *features), [], [F.col(id_col)], range_chunk(id_col, edges),
-                        {"_r": F.lit(1)}, n_chunks=len(edges) + 1)
-    b = b.select("_r", F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in features])))
-    shadows = a.join(b, ["_c", "_r"]).groupBy(id_col).agg(
-        *[F.max(F.when(F.col("_c") == c, F.col("_v"))).alias(f"shadow_{c}") for c in features])
-    return df.join(shadows, id_col)
+    """The rows with a ``shadow_`` column per feature, each permuted on its own."""
+    ranked = ranked_rows(df, id_col, seed)
+    return _shadows(ranked, features, df.count(), seed, 0).drop("_rank")
+
+
+def decide(hits: int, rounds: int, alpha: float) -> str:
+    """Binomial test of the hits at level ``alpha``."""
+    if _binom_sf(hits, rounds) < alpha:
+        return "confirmed"
+    return "rejected" if _binom_sf(rounds - hits, rounds) < alpha else "tentative"
 
 
 def boruta(df: DataFrame, id_col: str, label: str, features: Sequence[str], rounds: int = 100, trees: int = 100,
            alpha: float = 0.05, seed: int = 42) -> list[tuple]:
-    """Rows (feature, hits, rounds, decision). Too few rounds to decide at ``alpha`` are refused."""
+    """Rows (feature, hits, rounds, decision); ``rounds`` of a row are those the feature took part in until it was
+    settled. Too few rounds to decide at ``alpha`` are refused."""
     feats = list(features)
-    if 0.5 ** rounds >= alpha / len(feats):
+    level = alpha / len(feats)
+    if 0.5 ** rounds >= level:
         raise ValueError(f"{rounds} rounds can neither confirm nor reject {len(feats)} features at {alpha}")
-    hits = {c: 0 for c in feats}
-    df = materialize(balanced_weights(df, label, "_weight"), "boruta")
+    d = balanced_weights(df.select(id_col, label, *feats), label, "_weight").withColumn(label, F.col(label).cast("double"))
+    d = materialize(ranked_rows(d, id_col, seed), "shadow")
+    n = d.count()
+    hits, state = dict.fromkeys(feats, 0), {}
     for r in range(rounds):
-        d = shadow_rows(df, id_col, feats, f"{seed}-{r}")
-        cols = feats + [f"shadow_{c}" for c in feats]
-        d = VectorAssembler(inputCols=cols, outputCol="_fv", handleInvalid="keep").transform(d)
+        active = [c for c in feats if state.get(c, ("",))[0] != "rejected"]
+        cols = active + [f"shadow_{c}" for c in active]
+        v = VectorAssembler(inputCols=cols, outputCol="_fv", handleInvalid="keep").transform(_shadows(d, active, n, seed, r))
         rf = RandomForestClassifier(featuresCol="_fv", labelCol=label, weightCol="_weight", numTrees=trees, seed=seed + r)
-        imp = rf.fit(d.withColumn(label, F.col(label).cast("double"))).featureImportances.toArray()
-        best_shadow = max(imp[len(feats):])
-        for i, c in enumerate(feats):
-            if imp[i] > best_shadow:
-                hits[c] += 1
-    out = []
-    a = alpha / len(feats)
-    for c in feats:
-        up = _binom_sf(hits[c], rounds)
-        down = _binom_sf(rounds - hits[c], rounds)
-        decision = "confirmed" if up < a else ("rejected" if down < a else "tentative")
-        out.append((c, hits[c], rounds, decision))
-    return out
+        imp = rf.fit(v.select("_fv", label, "_weight")).featureImportances.toArray()
+        best = max(imp[len(active):])
+        for i, c in enumerate(active):
+            if c not in state:
+                hits[c] += int(imp[i] > best)
+                if (said := decide(hits[c], r + 1, level)) != "tentative":
+                    state[c] = (said, r + 1)
+        if len(state) == len(feats):
+            break
+    return [(c, hits[c], *reversed(state.get(c, ("tentative", rounds)))) for c in feats]
 
 
 def boruta_frame(df: DataFrame, id_col: str, label: str, features: Sequence[str], **kw) -> DataFrame:

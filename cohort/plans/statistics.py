@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import features as FE
 from ..operators import split as S
+from ..operators.column_groups import ColumnGroupTransformer
 from ..sources.tables import records, table, with_records
 from .audit import prepared_records
 from .registry import query, rounded
@@ -314,9 +315,8 @@ def q_column_groups(spark, sf):
     train, test = S.stratified_split(d, "row_id", "GradeClass", 0.2, 42)
     numeric = ["StudyTimeWeekly", "Absences", "TechSynergy", "SelfDriven", "SupportIndex", "BalancedLife",
                "AbsenceRisk"]
-    tr, te = FE.column_group_transform(train, test, numeric, ["ParentalEducation"],
-                                       ["Gender", "Tutoring", "Extracurricular", "InternetAccess"], "GradeClass", "row_id")
-    return rounded(te)
+    groups = ColumnGroupTransformer(numeric, ["ParentalEducation"], ["Gender", "Tutoring", "Extracurricular", "InternetAccess"], "GradeClass", "row_id")
+    return rounded(groups.fit(train).transform(test))
 
 
 @query("changed_cells_capping", f"""
