@@ -166,7 +166,7 @@ def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             out = [(*g, c, ns[i], got.get((g, i), [None] * len(probs))) for g, ns, _ in sketch for i, c in enumerate(cols)]
             schema = T.StructType([T.StructField(b, df.schema[b].dataType, True) for b in by] + _RESULT.fields)
             return df.sparkSession.createDataFrame(out, schema)
-        margin *= 16
+        margin = max(1, margin) * 16
     every = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_c"))
     same = F.col("_c") == F.col("_c2")
     found = found.select(*[F.col(b).alias(f"_h{k}") for k, b in enumerate(by)], F.col("_c").alias("_c2"), "_n", "_q")

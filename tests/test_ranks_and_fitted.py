@@ -23,6 +23,7 @@ from cohort.operators.evaluate import kappa_of_counts, quadratic_kappa
 from cohort.operators.ordinal import OrdinalBoost, OrdinalBoostModel
 from cohort.operators.stacking import Stacking, StackingModel
 from cohort.operators.split import stratified_folds
+from cohort.session import materialize
 from cohort.sources.tables import records
 from conftest import SF_SMALL
 
@@ -198,7 +199,7 @@ def test_imputer_reads_the_rows_once_and_keeps_its_limits(spark, tmp_path):
 def classed(spark):
     d = records(spark, SF_SMALL).na.fill(0.0, ["ParentalEducation"]).withColumn("label", F.col("GradeClass").cast("double"))
     d = MD.assemble(d, ["StudyTimeWeekly", "Absences", "ParentalEducation"]).select("row_id", "label", "features")
-    return stratified_folds(d, "row_id", "label", 3, 42).cache()
+    return materialize(stratified_folds(d, "row_id", "label", 3, 42), "classed")
 
 
 def test_ordinal_boost_saves_and_loads(spark, classed, tmp_path):
