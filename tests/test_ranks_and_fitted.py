@@ -16,9 +16,9 @@ from cohort.operators import aggregate as A
 from cohort.operators import features as FE
 from cohort.operators import models as MD
 from cohort.operators import ranks as R
-from cohort.operators import search as SE
 from cohort.operators import selection as SL
 from cohort.operators.column_groups import ColumnGroupModel, ColumnGroupTransformer
+from cohort.operators.forest import forest_trees, prefix_counts
 from cohort.operators.evaluate import kappa_of_counts, quadratic_kappa
 from cohort.operators.ordinal import OrdinalBoost, OrdinalBoostModel
 from cohort.operators.stacking import Stacking, StackingModel
@@ -271,21 +271,26 @@ def test_stacking_saves_loads_and_joins_nothing(spark, classed, tmp_path):
     assert sorted(loaded.transform(classed).select(*cols).collect()) == sorted(out.select(*cols).collect())
 
 
-def test_forest_blocks_score_like_the_whole_forest(spark, classed):
-    """The classes of a prefix are those of its blocks' summed votes, and equal sizes have equal scores."""
-    rf = MD.forest_classifier("label", depth=4)
+def classes_of(model, df):
+    return [(int(r["label"]), int(r["prediction"])) for r in model.transform(df).select("label", "prediction").collect()]
+
+
+def counted(pairs):
+    return {(y, p): pairs.count((y, p)) for y, p in set(pairs)}
+
+
+def test_a_cut_forest_is_the_forest_grown_with_those_limits(spark, classed):
+    """One tree sees all rows and features, so a cut of the deep tree must be the shallow tree; many trees must vote as the model does."""
     train, held = classed.where("fold <> 0"), classed.where("fold = 0")
-    maps = [{rf.numTrees: n} for n in (6, 2, 4, 4)]
-    found = SE._score_forests(rf, maps, {}, [1, 2, 3, 0], train, held, "label")
-    votes, y = np.zeros((held.count(), 5)), None
-    for k, want in enumerate((found[0], found[1], found[3])):
-        m = rf.copy().setNumTrees(2).setSeed(rf.getSeed() + (0, 1, 3)[k]).fit(train)
-        rows = sorted(m.transform(held).select("row_id", "label", vector_to_array("rawPrediction").alias("v")).collect())
-        votes += np.array([r["v"] for r in rows])
-        y = [int(r["label"]) for r in rows]
-        pairs = list(zip(y, votes.argmax(axis=1).tolist()))
-        assert want == pytest.approx(kappa_of_counts([(a, b, pairs.count((a, b))) for a, b in set(pairs)]))
-    assert found[1] == found[2]
+    cuts = [(0, 0.0), (1, 0.0), (3, 0.0), (3, 0.02), (12, 0.01), (12, 0.0)]
+    rf = MD.forest_classifier("label", trees=1, depth=12)
+    rows = prefix_counts(held, forest_trees(rf.fit(train)), cuts, [1], "label").collect()
+    for c, (depth, gain) in enumerate(cuts):
+        got = {(r["y"], r["p"]): r["n"] for r in rows if r["cut"] == c}
+        assert got == counted(classes_of(rf.copy().setMaxDepth(depth).setMinInfoGain(gain).fit(train), held))
+    many = rf.copy().setNumTrees(7).fit(train)
+    rows = prefix_counts(held, forest_trees(many), [(12, 0.0)], [3, 7], "label").collect()
+    assert {(r["y"], r["p"]): r["n"] for r in rows if r["size"] == 1} == counted(classes_of(many, held))
 
 
 def test_grid_search_orders_trials_and_averages_folds(spark, classed):
