@@ -45,9 +45,10 @@ def logistic_multinomial(label: str = "label", reg: float = 0.0, features: str =
 
 def forest_classifier(label: str = "label", trees: int = 100, depth: int = 30, min_leaf: int = 1, seed: int = 42,
                       weight: str | None = None, features: str = FEATURES):
-    """Random forest; an unlimited depth becomes 30 (MLlib's maximum)."""
+    """Random forest; an unlimited depth becomes 30 (MLlib's maximum). Deep trees keep each row's node, so that a level
+    neither ships the forest grown so far to the tasks nor walks every row down it again."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=min(depth, 30),
-                                minInstancesPerNode=min_leaf, seed=seed)
+                                minInstancesPerNode=min_leaf, seed=seed, cacheNodeIds=depth > 8)
     if weight:
         rf.setWeightCol(weight)
     return rf
