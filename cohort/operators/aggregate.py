@@ -190,11 +190,48 @@ def qcut_table(df: DataFrame, col: str, q: int = 5) -> DataFrame:
         "qbin", lo.alias("lo"), hi.alias("hi"), "n")
 
 
-def interaction_table(df: DataFrame, x: str, y: str, hue: str, q: int = 5, z: float = 1.96) -> DataFrame:
-    """Quantile bin of x by hue -> n, mean y, normal 95% interval (sample sd / sqrt n)."""
+def interaction_table(df: DataFrame, x: str, y: str, hue: str, q: int = 5, z: float = 1.96, n_boot: int = 0, id_col: str | None = None,
+                      seed=42) -> DataFrame:
+    """Quantile bin of x by hue -> n, mean y, normal 95% interval (sample sd / sqrt n); with ``n_boot`` and the rows'
+    ``id_col`` a bootstrap interval instead."""
     d, _ = qcut(df, x, q)
+    if n_boot:
+        return bootstrap_interval(d.where(F.col("qbin").isNotNull()), ["qbin", hue], y, id_col, n_boot, seed=seed)
     g = d.where(F.col("qbin").isNotNull()).groupBy("qbin", hue).agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("_sd"))
     half = F.lit(z) * F.coalesce(F.col("_sd"), F.lit(0.0)) / F.sqrt(F.col("n"))
     return g.select("qbin", hue, "n", "mean", (F.col("mean") - half).alias("ci_lo"),
                     (F.col("mean") + half).alias("ci_hi"))
+
+
+#: P(X <= k) for X ~ Poisson(1), k = 0..7
+POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def poisson_weight(row_id: Column, replicate: Column, seed) -> Column:
+    """How often a bootstrap replicate draws a row: Poisson(1) from eight hex digits of an md5 that four replicates share."""
+    digits = F.md5(F.concat_ws("-", row_id.cast("string"), (replicate / 4).cast("int").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digits, replicate % 4 * 8 + 1, F.lit(8)), 16, 10).cast("bigint") / F.lit(float(16 ** 8))
+    return sum(((u >= F.lit(c)).cast("int") for c in POISSON_CDF), F.lit(0))
+
+
+def bootstrap_interval(df: DataFrame, by: Sequence[str], y: str, id_col: str, n_boot: int = 1000, level: float = 0.95, seed=42) -> DataFrame:
+    """``by .., n, mean, ci_lo, ci_hi``: percentile bootstrap interval of the group mean (linear between ranks).
+
+    Every row weighs a hashed Poisson(1) number in each replicate, so a replicate needs no draw from the
+    rows: sums per (group, replicate) are one aggregate with map-side combine, whatever the group's size. Only the
+    ``n_boot`` means of a group come together. Replicates without a row of the group do not count; rows without ``y`` do not either.
+    """
+    rows = df.where(F.col(y).isNotNull()).select(*by, F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"))
+    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
+    draws = draws.withColumn("_w", poisson_weight(F.col("_id"), F.col("_b"), seed))
+    sums = draws.groupBy(*by, "_b").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_y")).alias("_s"),
+                                        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_t"))
+    got = sums.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("_b") == 0, F.col("_t"))).alias("_t"),
+                                F.array_sort(F.collect_list(F.try_divide("_s", "_w"))).alias("_m"))     # n_boot numbers at most
+
+    def at(p: float) -> Column:
+        where = F.lit(p) * (F.size("_m") - 1)
+        low, high = F.get("_m", F.floor(where).cast("int")), F.get("_m", F.ceil(where).cast("int"))
+        return low + (high - low) * (where - F.floor(where))
+    return got.select(*by, "n", (F.col("_t") / F.col("n")).alias("mean"), at((1 - level) / 2).alias("ci_lo"), at((1 + level) / 2).alias("ci_hi"))

@@ -8,7 +8,9 @@ map-only ``transform``. Nothing is collected except model parameters.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -85,22 +87,29 @@ def score(model, df: DataFrame, pred: str = "prediction", prob: str = "probabili
 
 
 def split_ratio_study(df: DataFrame, id_col: str, label: str, feature_cols, ratios=(0.1, 0.2, 0.3, 0.4),
-                      make_estimator=None, seed: int = 42) -> DataFrame:
+                      make_estimator=None, seed: int = 42, groups=None, parallelism: int = 4) -> DataFrame:
     """For each test ratio: stratified split, fit, QWK/accuracy/F1 on the test part -> long table.
 
-    Each ratio's metrics (six numbers) are computed when its model is fitted, so the result
-    is a small table rather than a union of four full training lineages.
+    ``groups`` (a ``ColumnGroupTransformer``) is fitted on each ratio's training rows, which keep their own encoding,
+    and then encodes its test rows. The ratios are independent and run side by side; each one's
+    metrics (six numbers) are computed when its model is fitted, so the result is a small table.
     """
+    from ..session import materialize
     from .split import split_flag
-    rows = []
-    base = assemble(df, feature_cols)
-    for r in ratios:
-        d = split_flag(base, id_col, label, r, seed)
-        est = make_estimator() if make_estimator else forest_classifier(label, trees=50)
-        m = est.fit(d.where(~F.col("is_test")))
-        pred = m.transform(d.where(F.col("is_test")))
+    df = materialize(df, "ratios")
+
+    def one(ratio: float) -> list[tuple]:
+        d = split_flag(df, id_col, label, ratio, seed)
+        train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+        if groups is not None:
+            fitted, train = groups.copy().fit_transform(train)
+            test = fitted.transform(test)
+        est = make_estimator() if make_estimator else forest_classifier(label)
+        pred = est.fit(materialize(assemble(train, feature_cols), "ratio-train")).transform(assemble(test, feature_cols))
         met = classification_metrics(pred.withColumn("_p", F.col("prediction").cast("int")), label, "_p")
-        rows += [(x["metric"], float(x["value"]), float(r)) for x in met.collect()]   # six rows per ratio
+        return [(x["metric"], float(x["value"]), float(ratio)) for x in met.collect()]   # six rows per ratio
+    with ThreadPool(max(1, min(parallelism, len(ratios)))) as pool:
+        rows = [r for found in pool.map(inheritable_thread_target(one), ratios) for r in found]
     return df.sparkSession.createDataFrame(rows, "metric string, value double, test_ratio double")
 
 

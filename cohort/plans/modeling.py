@@ -12,6 +12,7 @@ from ..operators import explain as XP
 from ..operators import models as MD
 from ..operators import persona as PE
 from ..operators import survival as SV
+from ..operators.column_groups import ColumnGroupTransformer
 from ..operators.evaluate import classification_metrics, importance_table
 from ..operators.selection import boruta_frame
 from ..operators.split import split_flag, stratified_folds
@@ -93,13 +94,13 @@ def q_pipeline(spark, sf):
     train, test = train.drop("features"), test.drop("features")
     pipe = MD.pipeline_of(RobustScaler(inputCols=["StudyTimeWeekly", "Absences"]),
                           VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep"),
-                          MD.forest_classifier("label", trees=20, depth=8))
+                          MD.forest_classifier("label", trees=100, depth=10))
     model = pipe.fit(train)
     path = _scratch(spark, "model")
     IO.save_model(model, path)
     loaded = IO.load_pipeline_model(path)
     log = _scratch(spark, "runlog")
-    IO.log_run(spark, log, "pipeline", {"trees": 20, "depth": 8}, {"n_train": train.count()})
+    IO.log_run(spark, log, "pipeline", {"trees": 100, "depth": 10}, {"n_train": train.count()})
     return MD.score(loaded, test).select("row_id", "GradeClass", "pred_class")
 
 
@@ -125,7 +126,7 @@ def q_linear(spark, sf):
 @query("forest_regression_importance")
 def q_rf_reg(spark, sf):
     d = prepared_records(spark, sf)
-    m = MD.forest_regression(d, FEATURES, "GPA", trees=30)
+    m = MD.forest_regression(d, FEATURES, "GPA", trees=100)
     return spark.createDataFrame(importance_table(FEATURES, m.featureImportances.toArray(), top=3),
                                  "feature string, importance double, rank int")
 
@@ -140,7 +141,7 @@ def q_lr(spark, sf):
 @query("forest_classifier_metrics")
 def q_rf(spark, sf):
     train, test = _train_test(spark, sf)
-    m = MD.forest_classifier("label", trees=50, depth=10).fit(train)
+    m = MD.forest_classifier("label", trees=100, depth=10).fit(train)
     return rounded(_metrics(m.transform(test)))
 
 
@@ -200,15 +201,19 @@ def q_random(spark, sf):
 
 @query("split_ratio_study")
 def q_ratio(spark, sf):
-    d = prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double"))
-    return rounded(MD.split_ratio_study(d, "row_id", "label", FEATURES, make_estimator=lambda: MD.forest_classifier(
-        "label", trees=20, depth=8)).withColumnRenamed("value", "value"))
+    """The main model behind the fitted column groups, at four test ratios."""
+    d = _with_validation(prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double")))
+    nominal = ["Gender", "Tutoring", "Extracurricular", "InternetAccess"]
+    numeric = [c for c in FEATURES if c not in nominal and c != "ParentalEducation"]
+    groups = ColumnGroupTransformer(numeric, ["ParentalEducation"], nominal, "label", "row_id", keepCols=["row_id", "label", "is_val"])
+    boost = lambda: MD.OrdinalBoost(5, "label", max_iter=1000, depth=6, step=0.03, validation="is_val")
+    return rounded(MD.split_ratio_study(d, "row_id", "label", FEATURES, make_estimator=boost, groups=groups))
 
 
 @query("batch_scoring")
 def q_score(spark, sf):
     train, test = _train_test(spark, sf)
-    m = MD.forest_classifier("label", trees=20, depth=8).fit(train)
+    m = MD.forest_classifier("label", trees=100, depth=10).fit(train)
     return MD.score(m, test).select("row_id", "pred_class", "probabilities")
 
 

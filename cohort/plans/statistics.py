@@ -280,6 +280,21 @@ def q_interact(spark, sf):
     return rounded(A.interaction_table(prepared_records(spark, sf), "StudyTimeWeekly", "GPA", "InternetAccess"))
 
 
+@query("interaction_bootstrap_internet", with_records(PREPARED, """
+e AS (SELECT list_sort(list_distinct(quantile_cont("StudyTimeWeekly", [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM prepared)""",
+ """b AS (SELECT row_id, CASE WHEN "StudyTimeWeekly" >= e[1] AND "StudyTimeWeekly" <= e[len(e)]
+                 THEN CAST(len(list_filter(e[2:len(e) - 1], lambda x: "StudyTimeWeekly" > x)) AS INT) END AS qbin,
+                 "InternetAccess", "GPA" FROM prepared, e)""",
+ f"""u AS (SELECT qbin, "InternetAccess", "GPA", i, ('0x' || substr(md5(concat(row_id::VARCHAR, '-', (i // 4)::VARCHAR, '-42')), (i % 4) * 8 + 1, 8))::BIGINT / {float(16 ** 8)} AS u
+      FROM b, (SELECT range::INT AS i FROM range(1000)) WHERE qbin IS NOT NULL AND "GPA" IS NOT NULL)""",
+ f"""m AS (SELECT qbin, "InternetAccess", i, count(*) AS n, avg("GPA") AS mean, sum("GPA" * w) / nullif(sum(w), 0) AS v
+      FROM (SELECT *, {' + '.join(f'(u >= {c})::INT' for c in A.POISSON_CDF)} AS w FROM u) GROUP BY 1, 2, 3)""",
+ select=f"""SELECT qbin, "InternetAccess", max(n) AS n, {r6('max(mean)')} AS mean, {r6('quantile_cont(v, 0.025)')} AS ci_lo, {r6('quantile_cont(v, 0.975)')} AS ci_hi
+FROM m GROUP BY 1, 2"""))
+def q_interact_boot(spark, sf):
+    return rounded(A.interaction_table(prepared_records(spark, sf), "StudyTimeWeekly", "GPA", "InternetAccess", n_boot=1000, id_col="row_id"))
+
+
 @query("test_rows_with_raw", with_records(PREPARED, select=f"""
 SELECT t.row_id, t."GradeClass", t."InternetAccess", r."InternetAccess" AS "InternetAccess_raw"
 FROM (SELECT row_id, "GradeClass", "InternetAccess" FROM (SELECT row_id, "GradeClass", "InternetAccess",
