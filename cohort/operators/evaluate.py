@@ -112,32 +112,36 @@ def _report(conf: DataFrame) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
+#: cells of a confusion table that the metrics accept; more distinct labels are an error
+MAX_CELLS = 1_000_000
+
+
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Long table (metric, value): qwk, accuracy, weighted precision/recall/F1, macro F1.
+    """Long table (metric, value): qwk, accuracy, weighted precision/recall/F1, macro F1 (0/0 is 0).
 
-    The scored rows are read once: the k x k confusion table is persisted and every
-    metric is derived from it.
+    The scored rows are read once, by one grouped count; all six numbers follow from its at most k x k cells.
+    Without a row the ratios are null and kappa is 1.
     """
-    conf = confusion_counts(df, y, p).persist()
-    conf.count()   # materialise the k x k table once; every metric below reads the cache
-    acc = conf.agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("v"))
-    rep = _report(conf)
-    kappa = _kappa(conf)
-    parts = [
-        kappa.select(F.lit("qwk").alias("metric"), F.col("qwk").alias("value")),
-        acc.select(F.lit("accuracy").alias("metric"), F.col("v").alias("value")),
-        rep.where(F.col("label") == "weighted avg").select(F.lit("precision_weighted").alias("metric"),
-                                                          F.col("precision").alias("value")),
-        rep.where(F.col("label") == "weighted avg").select(F.lit("recall_weighted").alias("metric"),
-                                                          F.col("recall").alias("value")),
-        rep.where(F.col("label") == "weighted avg").select(F.lit("f1_weighted").alias("metric"),
-                                                          F.col("f1").alias("value")),
-        rep.where(F.col("label") == "macro avg").select(F.lit("f1_macro").alias("metric"), F.col("f1").alias("value")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    cells = [(r["y"], r["p"], r["n"]) for r in confusion_counts(df, y, p).limit(MAX_CELLS + 1).collect()]
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} pairs of labels")
+    total = sum(n for *_, n in cells)
+    support, predicted, hit = {}, {}, {}
+    for a, b, n in cells:
+        support[a] = support.get(a, 0) + n
+        predicted[b] = predicted.get(b, 0) + n
+        if a == b:
+            hit[a] = n
+    ratio = lambda top, bottom: top / bottom if bottom else 0.0
+    per = []
+    for c in sorted(support.keys() | predicted.keys()):
+        pre, rec = ratio(hit.get(c, 0), predicted.get(c, 0)), ratio(hit.get(c, 0), support.get(c, 0))
+        per.append((pre, rec, ratio(2 * pre * rec, pre + rec), support.get(c, 0)))
+    weighted = lambda k: sum(x[k] * x[3] for x in per) / total if total else None
+    rows = [("qwk", float(kappa_of_counts(cells))), ("accuracy", sum(hit.values()) / total if total else None),
+            ("precision_weighted", weighted(0)), ("recall_weighted", weighted(1)), ("f1_weighted", weighted(2)),
+            ("f1_macro", sum(x[2] for x in per) / len(per) if per else None)]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double")
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:

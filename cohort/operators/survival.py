@@ -2,8 +2,9 @@
 survival curves for profiles, and exposure-band exponential curves.
 
 Cox fitting is Newton's method on standardised covariates. Each step is:
-1. one grouped aggregate by duration: event count d, event sums of x, and sums of
-   w = exp(x b), x w, x x' w over all rows and over the events at that time;
+1. one grouped aggregate by duration over the collapsed rows (equal time, event and covariates count as one with a
+   weight): event count d, and sums of w = exp(x b), x w, x x' w over all rows and over the events at that
+   time; the event sums of x do not change and are taken once;
 2. risk-set sums (rows with duration >= t) as chunked running sums over the per-time
    table in descending duration (no single-task window);
 3. Efron's tie correction needs one term per tied event: (time, l) rows come from a
@@ -37,7 +38,7 @@ def event_duration(df: DataFrame, cls: str = "GradeClass", event_class: int = 4,
     Noise (optional) is Box-Muller from md5 of the row id, so it is reproducible anywhere.
     """
     r = df.agg(F.min(exposure).alias("lo"), F.max(exposure).alias("hi")).first()
-    lo, hi = float(r["lo"]), float(r["hi"])
+    lo, hi = (float(r[k] or 0.0) for k in ("lo", "hi"))     # without any exposure no event has a duration
     norm = F.when(F.col(exposure).isNotNull(), F.coalesce(F.try_divide(F.col(exposure) - F.lit(lo), F.lit(hi - lo)), F.lit(0.0)))
     dur = F.lit(max_time) * (F.lit(1.0) - norm)
     if noise_sd and id_col:
@@ -50,16 +51,16 @@ def event_duration(df: DataFrame, cls: str = "GradeClass", event_class: int = 4,
     return df.withColumns({"Event": event, "Duration": F.when(event == 1, dur).otherwise(F.lit(max_time))})
 
 
-def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str, event: str, edges: list):
+def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str, event: str, edges: list, at_events: np.ndarray):
+    """Log likelihood, gradient and Hessian from one scan of the collapsed rows (``_n`` equal ones each)."""
     p = len(xs)
     eta = sum(F.lit(float(beta[i])) * F.col(x) for i, x in enumerate(xs)) if p else F.lit(0.0)
-    w = F.exp(eta)
+    w = F.col("_n") * F.exp(eta)
     ev = F.col(event) == 1
     aggs = [F.sum(w).alias("a0"), F.sum(F.when(ev, w).otherwise(0.0)).alias("e0"),
-            F.count_if(ev).alias("dcount"), F.sum(F.when(ev, eta).otherwise(0.0)).alias("eeta")]
+            F.sum(F.when(ev, F.col("_n")).otherwise(0)).alias("dcount")]
     for i, x in enumerate(xs):
-        aggs += [F.sum(F.col(x) * w).alias(f"a1_{i}"), F.sum(F.when(ev, F.col(x) * w).otherwise(0.0)).alias(f"e1_{i}"),
-                 F.sum(F.when(ev, F.col(x)).otherwise(0.0)).alias(f"ex_{i}")]
+        aggs += [F.sum(F.col(x) * w).alias(f"a1_{i}"), F.sum(F.when(ev, F.col(x) * w).otherwise(0.0)).alias(f"e1_{i}")]
         for j in range(i, p):
             xx = F.col(x) * F.col(xs[j]) * w
             aggs += [F.sum(xx).alias(f"a2_{i}_{j}"), F.sum(F.when(ev, xx).otherwise(0.0)).alias(f"e2_{i}_{j}")]
@@ -88,10 +89,8 @@ def _cox_step(d: DataFrame, xs: Sequence[str], beta: np.ndarray, duration: str,
             s2 = F.col(f"r_a2_{i}_{j}") - phi * F.col(f"e2_{i}_{j}")
             out.append(F.sum(s2 / s0 - s1[i] * s1[j] / (s0 * s0)).alias(f"h_{i}_{j}"))
     tr = terms.agg(*out).first()
-    ev_tot = d.agg(F.sum(F.when(ev, eta).otherwise(0.0)).alias("eeta"),
-                   *[F.sum(F.when(ev, F.col(x)).otherwise(0.0)).alias(f"ex_{i}") for i, x in enumerate(xs)]).first()
-    ll = (ev_tot["eeta"] or 0.0) - (tr["logs0"] or 0.0)
-    grad = np.array([(ev_tot[f"ex_{i}"] or 0.0) - (tr[f"g_{i}"] or 0.0) for i in range(p)])
+    ll = float(beta @ at_events) - (tr["logs0"] or 0.0)
+    grad = np.array([at_events[i] - (tr[f"g_{i}"] or 0.0) for i in range(p)])
     hess = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
@@ -115,13 +114,16 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], duration: str = "Duration"
     sd[sd == 0] = 1.0
     d = df.select(F.col(duration).cast("double").alias(duration), F.col(event).cast("int").alias(event),
                   *[((F.col(x) - F.lit(float(mean[i]))) / F.lit(float(sd[i]))).alias(x) for i, x in enumerate(xs)])
-    d = cut_lineage(d)
+    # equal rows (time, event, covariates) collapse once; every step reads the collapsed table once
+    d = cut_lineage(d.groupBy(duration, event, *xs).agg(F.count(F.lit(1)).alias("_n")))
     p = len(xs)
+    sums = d.where(F.col(event) == 1).agg(F.count(F.lit(1)).alias("_e"), *[F.sum(F.col("_n") * F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)]).first()
+    at_events = np.array([sums[f"x{i}"] or 0.0 for i in range(p)])
     # durations do not change between Newton steps: chunk edges of the time axis once
     edges = range_edges(d.select(F.col(duration).alias("t")).distinct(), "t", chunks)
 
     def penalised(b):
-        ll, g, h = _cox_step(d, xs, b, duration, event, edges)
+        ll, g, h = _cox_step(d, xs, b, duration, event, edges, at_events)
         return ll - 0.5 * penalizer * float(b @ b), g - penalizer * b, h - penalizer * np.eye(p)
 
     beta = np.zeros(p)
@@ -179,12 +181,10 @@ def survival_profiles(df: DataFrame, fit: dict, vary: str, values: Sequence[floa
     ``vary`` set to each value; (value, t, survival)."""
     xs = fit["covariates"]
     h0 = baseline_hazard(df, fit, duration, event)
-    spark = df.sparkSession
     lin = []
     for v in values:
         x = [float(v) if c == vary else m for c, m in zip(xs, fit["mean"])]
         lin.append((float(v), float(sum(b * (xi - m) for b, xi, m in zip(fit["coef"], x, fit["mean"])))))
-    del spark
     prof = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(lp).alias("lp")) for v, lp in lin])
     return h0.select("t", "H0", F.inline(prof)).select(
         "value", "t", F.exp(-F.col("H0") * F.exp(F.col("lp"))).alias("survival"))

@@ -293,6 +293,20 @@ def q_cox(spark, sf):
     return rounded(SV.cox_table(spark, fit))
 
 
+_HAZARD_FIT = {"covariates": ["n_orders", "mean_total"], "coef": [0.05, 0.000002], "mean": [10.0, 150000.0]}
+
+
+@query("breslow_hazard_orders", f"""WITH {_ORDERS_SURV},
+s AS (SELECT CAST(datediff('day', first_date, last_date) AS DOUBLE) AS t, CAST(last_status = 'F' AS INT) AS e,
+             exp(0.05 * (n_orders - 10.0) + 0.000002 * (mean_total - 150000.0)) AS w FROM last),
+per AS (SELECT t, sum(w) AS w, count_if(e = 1) AS d FROM s GROUP BY t),
+risk AS (SELECT t, d / sum(w) OVER (ORDER BY t DESC) AS dh FROM per)
+SELECT t, {r6('sum(dh) OVER (ORDER BY t)')} AS "H0" FROM risk""")
+def q_breslow(spark, sf):
+    """Cumulative baseline hazard at given coefficients."""
+    return rounded(SV.baseline_hazard(_orders_surv(spark, sf), _HAZARD_FIT))
+
+
 @query("cox_records_curves")
 def q_cox_curves(spark, sf):
     from ..operators.clean import present
