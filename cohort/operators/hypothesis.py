@@ -12,6 +12,9 @@ import itertools
 import math
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def erfc_sql(x: str) -> str:
 def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Stack (hypothesis, group 'High'/'Low', y) for each (name, group_col, target).
 
-    More than two distinct values: > median -> High, else Low. Two or fewer: the larger
+    More than two distinct values: > median -> High, else (also without a value) Low. Two or fewer: the larger
     value is High and the smaller Low (the reference compares groups that do not exist).
     """
     gcols = sorted({g for _, g, _ in hypotheses})
@@ -59,7 +62,7 @@ def median_split_groups(df: DataFrame, hypotheses: Sequence[tuple[str, str, str]
     for name, g, y in hypotheses:
         x = F.col(g)
         if st[f"d_{g}"] > 2:
-            grp = F.when(x > F.lit(median[g]), F.lit("High")).when(x.isNotNull(), F.lit("Low"))
+            grp = F.when(x > F.lit(median[g]), F.lit("High")).otherwise(F.lit("Low"))
         else:
             grp = F.when(x == F.lit(st[f"x_{g}"]), F.lit("High")).when(x == F.lit(st[f"n_{g}"]), F.lit("Low"))
             if st[f"x_{g}"] == st[f"n_{g}"]:
@@ -236,10 +239,11 @@ def pc_orient(edges, sepset, p: int):
     return directed, undirected
 
 
-def causal_edges(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Edge table (src, dst, kind 'directed'|'undirected', sepset-free) of the PC graph.
+def causal_edges(df: DataFrame, cols: Sequence[str], alpha: float = 0.05, separations: bool = False) -> DataFrame:
+    """Edge table (src, dst, kind 'directed'|'undirected', p_value) of the PC graph.
 
-    The only distributed work is the covariance pass; the search runs on the p x p matrix.
+    With ``separations`` also a column ``sepset``, and a row of kind 'separated' for each pair without an edge, with the
+    columns given which it is independent. The only distributed work is the covariance pass; the search runs on the p x p matrix.
     """
     import numpy as np
     cov, n = gram(df, cols, center=True)
@@ -250,7 +254,45 @@ def causal_edges(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> Dat
     directed, undirected = pc_orient(edges, sep, len(cols))
     rows = [(cols[a], cols[b], "directed", float(pv.get(frozenset((a, b)), 0.0))) for a, b in sorted(directed)]
     rows += [(cols[a], cols[b], "undirected", float(pv.get(frozenset((a, b)), 0.0))) for a, b in sorted(undirected)]
-    return df.sparkSession.createDataFrame(rows, "src string, dst string, kind string, p_value double")
+    schema = "src string, dst string, kind string, p_value double"
+    if not separations:
+        return df.sparkSession.createDataFrame(rows, schema)
+    rows = [(*r, None) for r in rows]
+    for pair, given in sorted(sep.items(), key=lambda x: sorted(x[0])):
+        a, b = sorted(pair)
+        rows.append((cols[a], cols[b], "separated", float(pv[pair]), [cols[k] for k in sorted(given)]))
+    return df.sparkSession.createDataFrame(rows, schema + ", sepset array<string>")
+
+
+class PCAResult:
+    """Principal components of standardised columns: ``table`` (component, ratio, cumulative, first_at_share), the number ``k`` of
+    components that reach the share, and ``project``, which scores rows on the first ``k`` (up to the components' signs)."""
+
+    def __init__(self, model, table: list[tuple], k: int, spark):
+        self.model, self.rows, self.k, self.spark = model, table, k, spark
+
+    @property
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, "component int, ratio double, cumulative double, first_at_share boolean")
+
+    def project(self, df: DataFrame, prefix: str = "pc_") -> DataFrame:
+        scores = vector_to_array("_pc")
+        out = self.model.transform(df).withColumns({f"{prefix}{i + 1}": scores[i] for i in range(self.k)})
+        return out.drop("_v", "_s", "_pc")
+
+
+def pca(df: DataFrame, cols: Sequence[str], share: float = 0.9) -> PCAResult:
+    """PCA by MLlib (one Gram pass); ``k`` is the least number of components whose ratios sum to ``share``."""
+    steps = [VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip"),
+             StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True), PCA(k=len(cols), inputCol="_s", outputCol="_pc")]
+    model = Pipeline(stages=steps).fit(df)
+    rows, total, k = [], 0.0, 0
+    for i, v in enumerate(model.stages[-1].explainedVariance):
+        first = total < share <= total + float(v) or (not k and i == len(cols) - 1)
+        total += float(v)
+        rows.append((i + 1, float(v), total, first))
+        k = k or (i + 1 if first else 0)
+    return PCAResult(model, rows, k, df.sparkSession)
 
 
 def binary_treatment(df: DataFrame, col: str, threshold=None, truthy: bool = False, name: str = "treatment"):

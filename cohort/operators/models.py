@@ -41,8 +41,11 @@ def forest_regression(df: DataFrame, cols, label: str, trees: int = 100, seed: i
 
 
 def logistic_multinomial(label: str = "label", reg: float = 0.0, features: str = FEATURES):
+    """Multinomial logistic regression with an L2 penalty ``reg / 2 * |w|^2`` on the raw weights, beside the mean loss.
+
+    A penalty of ``|w|^2 / 2`` beside the summed loss of n rows is ``reg = 1 / n``."""
     return LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", regParam=reg,
-                              elasticNetParam=0.0, maxIter=200)
+                              elasticNetParam=0.0, standardization=False, maxIter=1000)
 
 
 def forest_classifier(label: str = "label", trees: int = 100, depth: int = 30, min_leaf: int = 1, seed: int = 42,

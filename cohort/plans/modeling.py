@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import interaction_features
 from ..operators import causal as CA
 from ..operators import explain as XP
+from ..operators import hypothesis as HY
 from ..operators import models as MD
 from ..operators import persona as PE
 from ..operators import survival as SV
@@ -134,7 +135,7 @@ def q_rf_reg(spark, sf):
 @query("logistic_multinomial_metrics")
 def q_lr(spark, sf):
     train, test = _train_test(spark, sf)
-    m = MD.logistic_multinomial("label").fit(train)
+    m = MD.logistic_multinomial("label", reg=1.0 / train.count()).fit(train)
     return rounded(_metrics(m.transform(test)))
 
 
@@ -219,16 +220,8 @@ def q_score(spark, sf):
 
 @query("pca_explained_variance")
 def q_pca(spark, sf):
-    from pyspark.ml.feature import PCA, StandardScaler
-    d = MD.assemble(prepared_records(spark, sf), FEATURES, "_v")
-    s = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(d).transform(d)
-    pca = PCA(k=len(FEATURES), inputCol="_s", outputCol="_pc").fit(s)
-    ev = [float(v) for v in pca.explainedVariance]
-    rows, cum = [], 0.0
-    for i, v in enumerate(ev):
-        cum += v
-        rows.append((i + 1, v, cum, cum >= 0.9 and (cum - v) < 0.9))
-    return rounded(spark.createDataFrame(rows, "component int, ratio double, cumulative double, first_at_90 boolean"))
+    found = HY.pca(prepared_records(spark, sf), FEATURES, 0.9)
+    return rounded(found.table.withColumnRenamed("first_at_share", "first_at_90"))
 
 
 # ---------------------------------------------------------------- survival

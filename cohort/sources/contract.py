@@ -7,6 +7,7 @@ is one scan with map-side partial aggregation, whatever the table size.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +43,35 @@ class Contract:
         no_nulls = bool((d.get("checks") or {}).get("no_nulls", False))
         return Contract(columns=cols, no_nulls=no_nulls)
 
+    @staticmethod
+    def from_frame(df: DataFrame) -> "Contract":
+        """Inverse of ``to_frame``: a contract from a rules table (a few rows a column), read from any source.
+
+        ``arg`` is JSON, but for the type's name; rows without a column hold for the table. An unknown rule is an error."""
+        cols: dict[str, dict] = {}
+        table: dict[str, bool] = {}
+        for r in df.select("column_name", "rule", "arg").collect():
+            name, rule, arg = r
+            if name is None and rule in ("no_nulls", "enforce_no_nulls"):
+                table[rule] = bool(json.loads(arg))
+            elif name is not None and rule in ("type", "min", "max", "isin"):
+                cols.setdefault(name, {})[rule] = arg if rule == "type" else json.loads(arg)
+            else:
+                raise ValueError(f"unknown rule {rule} of column {name}")
+        rules = {name: Rule(**(spec | {"isin": tuple(spec["isin"])} if "isin" in spec else spec)) for name, spec in cols.items()}
+        return Contract(columns=rules, **table)
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        """Rules as a small table (column_name, rule, arg)."""
-        rows = []
+        """Rules as a small table (column_name, rule, arg); ``arg`` is JSON, but for the type's name."""
+        rows = [(None, name, json.dumps(value)) for name, value in (("no_nulls", self.no_nulls), ("enforce_no_nulls", self.enforce_no_nulls))]
         for name, r in self.columns.items():
             rows.append((name, "type", r.type))
             if r.min is not None:
-                rows.append((name, "min", str(r.min)))
+                rows.append((name, "min", json.dumps(r.min)))
             if r.max is not None:
-                rows.append((name, "max", str(r.max)))
+                rows.append((name, "max", json.dumps(r.max)))
             if r.isin is not None:
-                rows.append((name, "isin", ",".join(map(str, r.isin))))
+                rows.append((name, "isin", json.dumps(list(r.isin))))
         return spark.createDataFrame(rows, "column_name string, rule string, arg string")
 
 

@@ -75,3 +75,48 @@ def test_bootstrap_interval_equals_its_definition(spark):
         assert got[g]["n"] == len(own) and got[g]["mean"] == pytest.approx(np.mean([y for _, y in own]))
         assert (got[g]["ci_lo"], got[g]["ci_hi"]) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)))
     assert A.bootstrap_interval(df.where(F.lit(False)), ["g"], "y", "id", n_boot=5).count() == 0
+
+
+def test_contract_survives_a_rules_table(spark, tmp_path):
+    from cohort.sources import contract as CO
+    c = CO.Contract({"a": CO.Rule("int", 0, 9), "b": CO.Rule("string", isin=("x,y", "z")), "c": CO.Rule("float", max=1.5)}, no_nulls=True, enforce_no_nulls=True)
+    c.to_frame(spark).write.parquet(f"file://{tmp_path}/rules")
+    assert CO.Contract.from_frame(spark.read.parquet(f"file://{tmp_path}/rules")) == c
+    assert CO.Contract.from_frame(CO.STUDENT_CONTRACT.to_frame(spark)) == CO.STUDENT_CONTRACT
+    with pytest.raises(ValueError):
+        CO.Contract.from_frame(spark.createDataFrame([("a", "regex", "1")], "column_name string, rule string, arg string"))
+
+
+def test_pca_projects_to_the_chosen_components(spark):
+    from cohort.operators import hypothesis as H
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.5, 0.0], [0.0, 0.3, 1.0]]) + rng.normal(scale=0.05, size=(300, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    found = H.pca(df, ["a", "b", "c"], 0.9)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    eig, vec = np.linalg.eigh(np.cov(z.T))
+    ratios = eig[::-1] / eig.sum()
+    assert [r["ratio"] for r in found.table.collect()] == pytest.approx(list(ratios))
+    assert found.k == int(np.searchsorted(np.cumsum(ratios), 0.9) + 1) == 2
+    got = found.project(df).orderBy("id").toPandas()
+    assert list(got.columns) == ["id", "a", "b", "c", "pc_1", "pc_2"]
+    assert np.allclose(np.abs(got[["pc_1", "pc_2"]].to_numpy()), np.abs(z @ vec[:, ::-1][:, :2]), atol=1e-8)
+
+
+def test_separated_pairs_name_their_sepset(spark):
+    from cohort.operators import hypothesis as H
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=2_000)
+    b = a + 0.5 * rng.normal(size=2_000)
+    c = b + 0.5 * rng.normal(size=2_000)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), c.tolist())), "a double, b double, c double")
+    rows = {(r["src"], r["dst"]): r for r in H.causal_edges(df, ["a", "b", "c"], 0.01, separations=True).collect()}
+    assert rows[("a", "c")]["kind"] == "separated" and rows[("a", "c")]["sepset"] == ["b"]
+    assert all(r["sepset"] is None for r in rows.values() if r["kind"] != "separated")
+
+
+def test_median_split_puts_missing_groups_low(spark):
+    from cohort.operators import hypothesis as H
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(9)] + [(None, 50.0), (None, None)], "g double, y double")
+    got = H.median_split_groups(df, [("t", "g", "y")]).groupBy("grp").count().collect()
+    assert {r["grp"]: r["count"] for r in got} == {"High": 4, "Low": 6}
