@@ -124,6 +124,15 @@ def q_linear(spark, sf):
     return rounded(spark.createDataFrame(rows, "term string, coef double"))
 
 
+@query("linear_regression_one_feature", with_records(PREPARED, select=f"""
+SELECT 'StudyTimeWeekly' AS term, {r6('regr_slope("GPA", "StudyTimeWeekly")')} AS coef FROM prepared
+UNION ALL SELECT 'intercept', {r6('regr_intercept("GPA", "StudyTimeWeekly")')} FROM prepared"""))
+def q_linear_one(spark, sf):
+    m = MD.linear_regression(prepared_records(spark, sf), ["StudyTimeWeekly"], "GPA")
+    rows = [("StudyTimeWeekly", float(m.coefficients[0])), ("intercept", float(m.intercept))]
+    return rounded(spark.createDataFrame(rows, "term string, coef double"))
+
+
 @query("forest_regression_importance")
 def q_rf_reg(spark, sf):
     d = prepared_records(spark, sf)
@@ -218,6 +227,14 @@ def q_score(spark, sf):
     return MD.score(m, test).select("row_id", "pred_class", "probabilities")
 
 
+@query("pca_two_columns", with_records(PREPARED, """r AS (SELECT abs(corr("StudyTimeWeekly", "GPA")) AS r FROM prepared)""", select=f"""
+SELECT 1 AS component, {r6('(1 + r) / 2')} AS ratio, {r6('(1 + r) / 2')} AS cumulative, (1 + r) / 2 >= 0.9 AS first_at_share FROM r
+UNION ALL SELECT 2, {r6('(1 - r) / 2')}, 1.0::DOUBLE, (1 + r) / 2 < 0.9 FROM r"""))
+def q_pca_two(spark, sf):
+    """Two standardised columns: the ratios follow from their correlation."""
+    return rounded(HY.pca(prepared_records(spark, sf), ["StudyTimeWeekly", "GPA"], 0.9).table)
+
+
 @query("pca_explained_variance")
 def q_pca(spark, sf):
     found = HY.pca(prepared_records(spark, sf), FEATURES, 0.9)
