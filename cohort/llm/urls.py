@@ -236,20 +236,21 @@ def rule_columns(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> t
     return name, verdict
 
 
-def gram_tokens(host: Column, path: Column, sizes: Sequence[int] = GRAMS) -> Column:
-    """All character n-grams of the host, between marks of its ends, and of the path."""
-    parts = []
-    for mark, text in (("h", F.when(host == "", "").otherwise(F.concat(F.lit("."), host, F.lit("/")))), ("p", path)):
-        for n in sizes:
-            grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
-            parts.append(F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
-
-
 def _with_tokens(urls: DataFrame, url_col: str, keep: Sequence[Column], sizes: Sequence[int]) -> DataFrame:
+    """``keep .., host, path, _tokens``: all character n-grams of the host, between marks of its ends, and of the path.
+
+    The texts are cut into characters once, so that a gram is a few array look-ups and a long URL costs its length."""
     host, path = url_parts(F.col(url_col))
     df = urls.select(*keep, host.alias("host"), path.alias("path"))
-    return df.withColumn("_tokens", gram_tokens(F.col("host"), F.col("path"), sizes))
+    marked = F.when(F.col("host") == "", "").otherwise(F.concat(F.lit("."), "host", F.lit("/")))
+    df = df.withColumns({"_h": F.split(marked, ""), "_hn": F.length(marked), "_p": F.split("path", ""), "_pn": F.length("path")})
+    parts = []
+    for mark in ("h", "p"):
+        chars, n = F.col(f"_{mark}"), F.col(f"_{mark}n")
+        for size in sizes:
+            grams = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.concat(F.lit(mark), *[F.get(chars, i + k) for k in range(size)]))  # noqa: B023
+            parts.append(F.when(n >= size, grams).otherwise(F.array().cast("array<string>")))
+    return df.withColumn("_tokens", F.concat(*parts)).drop("_h", "_hn", "_p", "_pn")
 
 
 def train(table: DataFrame, url_col: str = "url", label_col: str = "label", sizes: Sequence[int] = GRAMS, buckets: int = BUCKETS,
