@@ -8,11 +8,18 @@ whose size depends on bins/groups, never on rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import spread
 from .ranks import group_quantiles, quantile_values
 from .windows import join_small
 
@@ -208,25 +215,70 @@ def interaction_table(df: DataFrame, x: str, y: str, hue: str, q: int = 5, z: fl
 POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 
 
-def poisson_weight(row_id: Column, replicate: Column, seed) -> Column:
-    """How often a bootstrap replicate draws a row: Poisson(1) from eight hex digits of an md5 that four replicates share."""
-    digits = F.md5(F.concat_ws("-", row_id.cast("string"), (replicate / 4).cast("int").cast("string"), F.lit(str(seed))))
-    u = F.conv(F.substring(digits, replicate % 4 * 8 + 1, F.lit(8)), 16, 10).cast("bigint") / F.lit(float(16 ** 8))
-    return sum(((u >= F.lit(c)).cast("int") for c in POISSON_CDF), F.lit(0))
+#: the same as least 32-bit numbers: P(X > k) is the share of numbers from the k-th on
+POISSON_STEPS = tuple(math.ceil(c * 2 ** 32) for c in POISSON_CDF)
+
+BOOT_GROUPS = 1000      #: groups whose sums a task holds before it hands them on
+
+
+def poisson_weights(ids: Sequence[str | None], n_boot: int, seed) -> np.ndarray:
+    """How often each replicate draws each row (rows x replicates): Poisson(1) from eight hex digits of an md5 of
+    ``id-(replicate div 4)-seed``, which four replicates share."""
+    tails = [f"{q}-{seed}".encode() for q in range(-(-n_boot // 4))]
+    heads = [b"" if i is None else f"{i}-".encode() for i in ids]
+    digests = b"".join([md5(head + tail).digest() for head in heads for tail in tails])
+    u = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(heads), -1)[:, :n_boot]
+    w = np.zeros(u.shape, np.uint8)
+    for step in POISSON_STEPS:
+        w += u >= np.uint32(step)
+    return w
+
+
+def _boot_sums(by: Sequence[str], n_boot: int, seed, schema: pa.Schema):
+    """Batches of ``by .., _id, _y`` to sums per (group, replicate): a task hands on a row per group and replicate, not per row and replicate."""
+    def hand_on(groups: dict):
+        for key, (w, s, n, t) in groups.items():
+            fixed = [pa.array([v] * n_boot, f.type) for v, f in zip(key, schema)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(range(n_boot), pa.int32()), pa.array(w), pa.array(s), pa.array([n] * n_boot, pa.int64()),
+                                              pa.array([t] * n_boot, pa.float64())], schema=schema)
+
+    def work(batches):
+        groups: dict[tuple, list] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                keys = list(zip(*[part.column(c).to_pylist() for c in by])) if by else [()] * part.num_rows
+                w, y = poisson_weights(part.column("_id").to_pylist(), n_boot, seed).astype(np.float64), part.column("_y").to_numpy()
+                at: dict[tuple, list[int]] = {}
+                for i, key in enumerate(keys):
+                    at.setdefault(key, []).append(i)
+                for key, rows in at.items():
+                    g = groups.setdefault(key, [np.zeros(n_boot, np.int64), np.zeros(n_boot), 0, 0.0])
+                    g[0] += w[rows].sum(axis=0).astype(np.int64)
+                    g[1] += y[rows] @ w[rows]
+                    g[2] += len(rows)
+                    g[3] += y[rows].sum()
+                if len(groups) > BOOT_GROUPS:
+                    yield from hand_on(groups)
+                    groups = {}
+        yield from hand_on(groups)
+    return work
 
 
 def bootstrap_interval(df: DataFrame, by: Sequence[str], y: str, id_col: str, n_boot: int = 1000, level: float = 0.95, seed=42) -> DataFrame:
     """``by .., n, mean, ci_lo, ci_hi``: percentile bootstrap interval of the group mean (linear between ranks).
 
     Every row weighs a hashed Poisson(1) number in each replicate, so a replicate needs no draw from the
-    rows: sums per (group, replicate) are one aggregate with map-side combine, whatever the group's size. Only the
+    rows: a task turns a block of rows into a matrix of weights and adds it to its sums per (group, replicate), so that
+    only those sums are shuffled, whatever the group's size. Only the
     ``n_boot`` means of a group come together. Replicates without a row of the group do not count; rows without ``y`` do not either.
     """
-    rows = df.where(F.col(y).isNotNull()).select(*by, F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"))
-    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
-    draws = draws.withColumn("_w", poisson_weight(F.col("_id"), F.col("_b"), seed))
-    sums = draws.groupBy(*by, "_b").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_y")).alias("_s"),
-                                        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_t"))
+    rows = df.where(F.col(y).isNotNull()).select(*by, F.col(id_col).cast("string").alias("_id"), F.col(y).cast("double").alias("_y"))
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in ("_id", "_y")]
+                       + [T.StructField("_b", T.IntegerType()), T.StructField("_w", T.LongType()), T.StructField("_s", T.DoubleType()),
+                          T.StructField("n", T.LongType()), T.StructField("_t", T.DoubleType())])
+    sums = spread(rows).mapInArrow(_boot_sums(list(by), n_boot, seed, to_arrow_schema(out)), out)
+    sums = sums.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in ("_w", "_s", "n", "_t")])
     got = sums.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("_b") == 0, F.col("_t"))).alias("_t"),
                                 F.array_sort(F.collect_list(F.try_divide("_s", "_w"))).alias("_m"))     # n_boot numbers at most
 
