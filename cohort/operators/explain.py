@@ -5,22 +5,32 @@
   ``explode`` (no join of rows with rows), scored in one ``transform``, and consecutive
   differences, taken by a signed grouped sum (no window), are the contributions. Per row they sum to f(x) - mean f(background)
   exactly (telescoping). The background is a fixed-size md5 sample, counted, broadcast.
+  For a forest the points are looked up in its table of cells (``forest.py``) and a row's chains stay in its task: a
+  row goes in, its p contributions come out.
 * Counterfactuals: for every query row, candidate changes of the allowed columns come
   from a grid of observed quantiles (a few values per column, exploded per row), are
   scored in one ``transform``, filtered to the desired class and ranked per row by
-  scaled L1 distance and number of changed columns; the best k are kept.
+  scaled L1 distance and number of changed columns; the best k are kept. A forest's candidates are looked up the same
+  way, and only a row's best k leave the task.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import spread
+from .forest import Cells, score_cells
 from .ranks import quantile_values
 from .windows import chunked_row_number, join_small, md5_order
 
@@ -50,6 +60,9 @@ def shapley_values(model, df: DataFrame, id_col: str, features: Sequence[str], t
     """
     p = len(features)
     nbg = background.count()
+    cells = score_cells(model, p, target_class) if 0 < nbg <= MAX_BACKGROUND else None
+    if cells:
+        return _shapley_cells(cells, df, id_col, features, background, samples, seed, return_base)
     bg = background.select("_bg", F.struct(*[F.col(c).cast("double").alias(c) for c in features]).alias("_z"))
     base = df.select(id_col, F.struct(*[F.col(c).cast("double").alias(c) for c in features]).alias("_x"))
     d = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_m"))
@@ -86,6 +99,56 @@ def shapley_values(model, df: DataFrame, id_col: str, features: Sequence[str], t
     return (phi, base) if return_base else phi
 
 
+MAX_BACKGROUND = 100_000     #: background rows that are held by every task
+
+
+def _digests(keys: Sequence[bytes], tails: Sequence[bytes]) -> np.ndarray:
+    """md5 of every key and tail as two numbers: keys x tails x 2."""
+    return np.frombuffer(b"".join([md5(k + t).digest() for k in keys for t in tails]), ">u8").astype(np.uint64).reshape(len(keys), len(tails), 2)
+
+
+def _row_contributions(cells: Cells, ids: Sequence[str | None], x: np.ndarray, z: np.ndarray, samples: int, seed, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the contributions (rows x features) and the mean score of its background draws; ``x``, ``z`` are offsets of cells."""
+    keys = [(f"{m}" if i is None else f"{i}|{m}").encode() for i in ids for m in range(samples)]
+    h = _digests(keys, [f"-b{seed}".encode(), *[f"-{c}-{seed}".encode() for c in names]])
+    drawn = ((h[:, 0, 0] >> np.uint64(16)) % np.uint64(len(z))).astype(np.int64)       # the first 12 hex digits
+    order = np.lexsort((h[:, 1:, 1], h[:, 1:, 0]), axis=-1)
+    move = np.repeat(x, samples, axis=0) - z[drawn]
+    at = z[drawn].sum(axis=1)
+    phi = np.zeros((len(keys), len(names)))
+    every = np.arange(len(keys))
+    base = last = cells.probability[at]
+    for step in range(len(names)):
+        f = order[:, step]
+        at = at + move[every, f]
+        score = cells.probability[at]
+        phi[every, f] = score - last
+        last = score
+    return phi.reshape(len(ids), samples, -1).sum(axis=1), base.reshape(len(ids), samples).mean(axis=1)
+
+
+def _shapley_cells(cells: Cells, df: DataFrame, id_col: str, features: Sequence[str], background: DataFrame, samples: int, seed, return_base: bool):
+    drawn = background.orderBy("_bg").select(*[F.col(c).cast("double").alias(c) for c in features]).toPandas()   # MAX_BACKGROUND rows at most
+    z = np.stack([cells.of(j, drawn[c].to_numpy(float)) for j, c in enumerate(features)], axis=1)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_text"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features)])
+    out = T.StructType([rows.schema["_id"], T.StructField("_base", T.DoubleType()), *[T.StructField(f"_p{j}", T.DoubleType()) for j in range(len(features))]])
+    schema, names = to_arrow_schema(out), list(features)
+    shared = df.sparkSession.sparkContext.broadcast((cells, z))
+
+    def work(batches):
+        cells, z = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                x = np.stack([cells.of(j, part.column(f"_x{j}").to_numpy(zero_copy_only=False).astype(float)) for j in range(len(names))], axis=1)
+                phi, base = _row_contributions(cells, part.column("_text").to_pylist(), x, z, samples, seed, names)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(base), *[pa.array(c) for c in phi.T]], schema=schema)
+    got = spread(rows).mapInArrow(work, out).groupBy(F.col("_id").alias(id_col)).agg(
+        F.avg("_base").alias("base"), *[(F.sum(f"_p{j}") / F.lit(float(samples))).alias(c) for j, c in enumerate(names)])
+    phi = got.select(id_col, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("phi")) for c in names])))
+    return (phi, got.select(id_col, "base")) if return_base else phi
+
+
 def mean_abs_ranking(phi: DataFrame) -> DataFrame:
     """Global importance: mean |phi| per feature (p rows; rank when shown)."""
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
@@ -93,8 +156,10 @@ def mean_abs_ranking(phi: DataFrame) -> DataFrame:
 
 def dependence_table(phi: DataFrame, df: DataFrame, id_col: str, feature: str, q: int = 5) -> DataFrame:
     """Feature value (quantile bin) vs attribution: (qbin, lo, hi, n, mean_phi)."""
+    from ..session import materialize
     from .aggregate import qcut
-    j = phi.where(F.col("feature") == feature).join(df.select(id_col, feature), id_col)
+    # the quantiles and the bins read these rows again: the attributions are not computed a second time
+    j = materialize(phi.where(F.col("feature") == feature).join(df.select(id_col, feature), id_col), "dependence")
     b, edges = qcut(j, feature, q)
     lo = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("qbin") + 1)
     hi = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("qbin") + 2)
@@ -111,10 +176,11 @@ def counterfactuals(model, df: DataFrame, id_col: str, features: Sequence[str],
     Output: id, cf_rank, the full feature values of the counterfactual, distance, n_changed.
     """
     from ..session import materialize
-    found = materialize(_proposals(model, df, df, id_col, features, allowed, desired_class, k, grid), "recourse")
+    cells = score_cells(model, len(features), desired_class)
+    found = materialize(_proposals(model, df, df, id_col, features, allowed, desired_class, k, grid, cells), "recourse")
     rest = df.join(found.select(id_col).distinct(), id_col, "left_anti")
     if refine > grid and rest.limit(1).count():
-        more = materialize(_proposals(model, rest, df, id_col, features, allowed, desired_class, k, refine), "recourse-fine")
+        more = materialize(_proposals(model, rest, df, id_col, features, allowed, desired_class, k, refine, cells), "recourse-fine")
         found = found.unionByName(more)
         rest = rest.join(more.select(id_col).distinct(), id_col, "left_anti")
     value = {c: F.col(c).cast("double") for c in features}
@@ -124,12 +190,16 @@ def counterfactuals(model, df: DataFrame, id_col: str, features: Sequence[str],
 
 
 def _proposals(model, df: DataFrame, population: DataFrame, id_col: str, features: Sequence[str], allowed: Sequence[str],
-               desired_class: int, k: int, grid: int) -> DataFrame:
+               desired_class: int, k: int, grid: int, cells: Cells | None = None) -> DataFrame:
     """Reached rows only, with values at ``grid`` quantiles of each column of the population."""
     probs = [i / (grid - 1) for i in range(grid)]
     st = population.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in allowed]).first()
     cand_vals = {c: sorted({v for v in q if v is not None}) for c, q in quantile_values(population, allowed, probs).items()}
     combos = list(itertools.product(*[cand_vals[c] for c in allowed]))     # grid ** len(allowed), bounded
+    if cells and combos:
+        best = _nearest_cells(cells, df, id_col, features, allowed, desired_class, k, combos, [(st[f"s_{c}"] or 1.0) or 1.0 for c in allowed])
+        w = Window.partitionBy(id_col).orderBy("distance", "n_changed", *allowed)   # k rows per row of an id
+        return best.withColumn("cf_rank", F.row_number().over(w)).where(F.col("cf_rank") <= k)
     arr = F.array(*[F.struct(*[F.lit(v).alias(f"_n_{c}") for v, c in zip(combo, allowed)]) for combo in combos])
     d = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features])
     orig = {c: F.col(c) for c in allowed}
@@ -150,6 +220,42 @@ def _proposals(model, df: DataFrame, population: DataFrame, id_col: str, feature
     return sc.withColumn("cf_rank", F.row_number().over(w)).where(F.col("cf_rank") <= k).drop("_pd")
 
 
+def _nearest_cells(cells: Cells, df: DataFrame, id_col: str, features: Sequence[str], allowed: Sequence[str], desired_class: int, k: int,
+                   combos: Sequence[tuple], scales: Sequence[float]) -> DataFrame:
+    """Per row its best k of ``combos`` that reach the class: id, features, originals, distance, n_changed."""
+    features, allowed = list(features), list(allowed)
+    rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).cast("double").alias(f"_o_{c}") for c in allowed])
+    out = T.StructType([*rows.schema.fields, T.StructField("distance", T.DoubleType()), T.StructField("n_changed", T.IntegerType())])
+    schema, new = to_arrow_schema(out), np.array(combos, float)
+    move = sum(cells.of(features.index(c), new[:, a]) for a, c in enumerate(allowed))
+    by_value = np.lexsort(new.T[::-1])           # ties of a row go to the smaller values
+    new, move = new[by_value], move[by_value]
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def work(batches):
+        cells = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                old = {c: part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features}
+                fixed = sum((cells.of(j, old[c]) for j, c in enumerate(features) if c not in allowed), np.zeros(part.num_rows, np.int64))
+                distance, changed = 0, 0
+                for a, c in enumerate(allowed):
+                    gap = new[None, :, a] - old[c][:, None]
+                    distance, changed = distance + np.abs(gap) / scales[a], changed + (gap != 0).astype(np.int32)
+                known = np.all([part.column(c).is_valid().to_numpy(zero_copy_only=False) for c in allowed], axis=0)
+                fits = (cells.prediction[fixed[:, None] + move] == desired_class) & (changed > 0) & known[:, None]
+                row, combo = np.nonzero(fits)
+                at = np.lexsort((combo, changed[row, combo], distance[row, combo], row))
+                row, combo = row[at], combo[at]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, combo = row[place < k], combo[place < k]
+                kept = part.take(pa.array(row))
+                columns = [pa.array(new[combo, allowed.index(f.name)]) if f.name in allowed else kept.column(f.name) for f in schema if f.name in part.schema.names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(distance[row, combo]), pa.array(changed[row, combo], pa.int32())], schema=schema)
+    return spread(rows).mapInArrow(work, out)
+
+
 def changed_cells(cf: DataFrame, id_col: str, allowed: Sequence[str], rank_col: str | None = "cf_rank") -> DataFrame:
     """Only the cells a proposal changes: (id, [rank], feature, from_value, to_value).
 
