@@ -19,6 +19,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import full_partitions
 from .evaluate import classification_metrics
 from .ordinal import OrdinalBoost, OrdinalBoostModel  # noqa: F401
 from .search import SearchResult, grid_search, random_param_maps, random_search, trials_table  # noqa: F401
@@ -37,7 +38,7 @@ def linear_regression(df: DataFrame, cols, label: str):
 
 def forest_regression(df: DataFrame, cols, label: str, trees: int = 100, seed: int = 42):
     return RandomForestRegressor(featuresCol=FEATURES, labelCol=label, numTrees=trees, seed=seed).fit(
-        assemble(df, cols))
+        full_partitions(assemble(df, cols).select(FEATURES, label), "forest-rows"))
 
 
 def logistic_multinomial(label: str = "label", reg: float = 0.0, features: str = FEATURES):

@@ -17,7 +17,7 @@ from ..operators.column_groups import ColumnGroupTransformer
 from ..operators.evaluate import classification_metrics, importance_table
 from ..operators.selection import boruta_frame
 from ..operators.split import split_flag, stratified_folds
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, full_partitions, materialize
 from ..sources import io as IO
 from ..sources.tables import records, table, with_records
 from .audit import prepared_records
@@ -39,6 +39,7 @@ def _train_test(spark, sf, ratio=0.2):
     d = split_flag(d, "row_id", "GradeClass", ratio, 42).withColumn("label", F.col("GradeClass").cast("double"))
     # not persisted: MLlib caches its own training input, and long sessions that run many
     # queries should not pile up cached tables
+    d = full_partitions(d, "split")
     return d.where(~F.col("is_test")), d.where(F.col("is_test"))
 
 
@@ -411,7 +412,7 @@ _XF = ["StudyTimeWeekly", "Absences", "ParentalEducation", "InternetAccess", "Tu
 def _xmodel(spark, sf):
     d = prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double"))
     d = MD.assemble(d, _XF)
-    return MD.forest_classifier("label", trees=100, depth=5).fit(d), prepared_records(spark, sf)
+    return MD.forest_classifier("label", trees=100, depth=5).fit(full_partitions(d, "explained")), prepared_records(spark, sf)
 
 
 @query("shapley_values")
@@ -442,7 +443,7 @@ def q_cf(spark, sf):
 def q_whatif(spark, sf):
     """Profiles of raw columns -> engineered features -> class, risk and advice, by the model on all features."""
     d = prepared_records(spark, sf).withColumn("label", F.col("GradeClass").cast("double"))
-    model = MD.forest_classifier("label", trees=100, depth=5).fit(MD.assemble(d, FEATURES))
+    model = MD.forest_classifier("label", trees=100, depth=5).fit(full_partitions(MD.assemble(d, FEATURES), "what-if"))
     flags = {c: [0.0, 1.0] for c in ("InternetAccess", "Tutoring", "Extracurricular")}
     grid = XP.scenario_grid(d, ["StudyTimeWeekly", "Absences", "ParentalEducation", *flags], {"Gender": 0.0}, points=5, values=flags)
     scored = XP.scenario_scores(model, interaction_features(grid), FEATURES)
