@@ -138,8 +138,8 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bandwidth: f
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """Per group: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and outlier count.
 
-    Quartiles come from rank selection; the fences, one row per group, join back to the rows (a table
-    whose size AQE measures before it broadcasts it)."""
+    Quartiles come from rank selection; the fences, one row per group, join back to the rows. They are broadcast up to
+    ``ranks.MAX_GROUPS`` groups, so that the rows stay where they were read."""
     q = group_quantiles(df.select(group, F.col(col).alias("_x")), ["_x"], [0.25, 0.5, 0.75], [group])
     q = q.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(

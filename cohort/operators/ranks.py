@@ -165,7 +165,8 @@ def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             got = {(tuple(r[b] for b in by), r["_c"]): r["_q"] for r in rows}
             out = [(*g, c, ns[i], got.get((g, i), [None] * len(probs))) for g, ns, _ in sketch for i, c in enumerate(cols)]
             schema = T.StructType([T.StructField(b, df.schema[b].dataType, True) for b in by] + _RESULT.fields)
-            return df.sparkSession.createDataFrame(out, schema)
+            # at most MAX_GROUPS rows a column: a join with the rows must not deal these by group, as a task then sorts a whole one
+            return F.broadcast(df.sparkSession.createDataFrame(out, schema))
         margin = max(1, margin) * 16
     every = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_c"))
     same = F.col("_c") == F.col("_c2")
