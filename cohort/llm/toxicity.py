@@ -60,7 +60,9 @@ DROP = 2.5              #: cost of leaving out a mask or a space, a little under
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'`()[]{}<>#$%&*|-_=~^/\\"
 _UNIT = r"[^\W_]|[@$!|+(]"
 SPELLED = re.compile(rf"(?<![\w@$!|+(])(?:(?:{_UNIT})[ .*_-]{{1,2}}){{2,}}(?:{_UNIT})(?![\w@$|+(])")
+SPELLED_END = re.compile(rf"[ .*_-](?:{_UNIT})[ .*_-]{{1,2}}(?:{_UNIT})(?![\w@$|+(])")     #: in every ``SPELLED`` run, and cheaper to look for
 RUN = re.compile(r"([^\W\d_])\1\1")
+_ANY = (("", DROP), *((x, 0.0) for x in LETTERS))       #: what a mask may stand for
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 
 
@@ -107,6 +109,7 @@ class Decoder:
     def __init__(self, three: np.ndarray, two: np.ndarray):
         self.three, self.two = three.astype(np.float32), two.astype(np.float32)
         self.cost = lru_cache(1 << 17)(self._cost)
+        self.letters = lru_cache(1 << 13)(self._letters)
         short = lru_cache(50_000)(self._best)
         self.best = lambda token: short(token) if len(token) <= 100 else self._best(token)
 
@@ -118,6 +121,10 @@ class Decoder:
         y = x + ord(c) * int(_C) & 0xFFFFFFFF
         return math.log(self.two[(x ^ x >> 15) % BUCKETS] + 50.0) - math.log(self.three[(y ^ y >> 15) % BUCKETS] + 0.5)
 
+    def _letters(self, pair: str) -> list[tuple[str, str, float]]:
+        """Each letter after two characters: it, the last two characters then, its cost."""
+        return [(c, pair[1] + c, self.cost(pair[0], pair[1], c)) for c in LETTERS]
+
     @staticmethod
     def lattice(token: str) -> list[tuple[tuple[str, float], ...]]:
         """Alternatives (a short string and its own cost) for every mask, and for every run of another character."""
@@ -132,7 +139,7 @@ class Decoder:
             elif c in MASKS:
                 # masks beside the ends are emphasis or punctuation, unless little else is there to read
                 inner = 0 < i and j < len(token) or sum(x not in MASKS for x in token) < 3
-                out += [(("", DROP), *((x, 0.0) for x in LETTERS))] * min(n, MASK_RUN) if inner else []
+                out += [_ANY] * min(n, MASK_RUN) if inner else []
             else:
                 letters = (c,) if c.isalpha() else tuple(LOOKALIKE.get(c, c)) or ("",)
                 out.append(tuple((x, 0.0) for x in dict.fromkeys(x * k for x in letters for k in ((1,) if n == 1 else (1, 2)))))
@@ -140,18 +147,27 @@ class Decoder:
         return out
 
     def _best(self, token: str) -> str:
+        lattice = self.lattice(token)
+        if all(len(options) == 1 for options in lattice):       # nothing to choose
+            return "".join(options[0][0] for options in lattice).strip()
         # readings are linked lists (piece, reading before), so that a step costs the same at any length
+        cost_of = self.cost
         states = {"  ": (0.0, None)}          # last two characters -> (cost, reading)
-        for options in [*self.lattice(token), ((" ", 0.0),)]:
+        for options in [*lattice, ((" ", 0.0),)]:
             after: dict[str, tuple[float, tuple | None]] = {}
             for last, (cost, read) in states.items():
-                for piece, own in options:
+                for piece, own in options[:1] if options is _ANY else options:
                     total, pair = cost + own, last
                     for c in piece:
-                        total += self.cost(pair[0], pair[1], c)
+                        total += cost_of(pair[0], pair[1], c)
                         pair = pair[1] + c
-                    if pair not in after or total < after[pair][0]:
+                    known = after.get(pair)
+                    if known is None or total < known[0]:
                         after[pair] = (total, (piece, read) if piece else read)
+                for piece, pair, own in self.letters(last) if options is _ANY else ():
+                    known, total = after.get(pair), cost + own
+                    if known is None or total < known[0]:
+                        after[pair] = (total, (piece, read))
             states = after
         read, pieces = min(states.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
         while read:
@@ -160,9 +176,12 @@ class Decoder:
         return "".join(reversed(pieces)).strip()
 
 
+_ODD = frozenset(LOOKALIKE) | MASKS
+
+
 def _odd(token: str) -> bool:
     """Has look-alike or mask characters, or a letter three times in a row."""
-    return any(c in LOOKALIKE or c in MASKS for c in token) and any(c not in MASKS for c in token) or RUN.search(token) is not None
+    return not _ODD.isdisjoint(token) and not MASKS.issuperset(token) or RUN.search(token) is not None
 
 
 def masked_words(token: str, index: dict) -> list[str]:
@@ -188,15 +207,20 @@ def word_index(words) -> dict:
 def restored_words(text: str, decoder: Decoder | None, index: dict | None = None) -> set[str]:
     """Distinct lower-cased words without punctuation at their ends, with readings of obfuscated ones added."""
     text = text.lower()
-    found = {t.strip(EDGES) for t in set(text.split())}
+    tokens = set(text.split())
+    plain = {t for t in tokens if t.isalpha()}      # nothing to strip
+    rest = tokens - plain
+    found = plain | {t.strip(EDGES) for t in rest}
     if decoder is not None:
-        raw = [t for t in set(text.split()) if not t.isalpha() or RUN.search(t)]
-        for token in {t.rstrip(".,;:") for t in raw}:
+        # one search says whether any token repeats a letter; without one, tokens of letters alone are not odd
+        repeats = RUN.search(" ".join(tokens)) is not None
+        raw = {t.rstrip(".,;:") for t in rest}
+        for token in raw | {t for t in plain if RUN.search(t)} if repeats else [t for t in raw if not t.isalpha()]:
             if _odd(token):
                 found.update(decoder.best(token).split())
             if index and not MASKS.isdisjoint(token):
                 found.update(masked_words(token, index))
-        for m in SPELLED.finditer(text):
+        for m in SPELLED.finditer(text) if SPELLED_END.search(text) else ():
             found.update(decoder.best(m.group()).split())
             letters = "".join(c for c in m.group() if c not in MASKS and c != " ")
             # a word of one letter next to it may stick to it
@@ -210,6 +234,19 @@ def terms_of(words: set[str]) -> set[str]:
     return words | {w[:4] + "~" for w in words if len(w) > 4} | {w[:5] + "~" for w in words if len(w) > 5}
 
 
+def known_terms(words: set[str], terms: dict, four: set[str], five: set[str]) -> set[str]:
+    """``terms_of(words)`` that are keys of ``terms``, whose first letters are ``four`` and ``five``."""
+    found = words & terms.keys()
+    found.update(f"{w}~" for w in four & {w[:4] for w in words if len(w) > 4})
+    found.update(f"{w}~" for w in five & {w[:5] for w in words if len(w) > 5})
+    return found
+
+
+def first_letters(terms) -> tuple[set[str], set[str]]:
+    """The first four and the first five letters among the terms."""
+    return tuple({t[:-1] for t in terms if t.endswith("~") and len(t) == n + 1} for n in (4, 5))
+
+
 # -- learning ---------------------------------------------------------------------------------
 
 def fit_logistic(rows: list[np.ndarray], y: np.ndarray, n: int, prior: np.ndarray | float) -> np.ndarray:
@@ -285,10 +322,11 @@ def learn_terms(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: st
     terms = [r["term"] for r in seen]
     prior = np.maximum(LEAST_PRIOR, (evidence / np.array([r["g"] for r in seen])) ** 2)
     number = {t: i for i, t in enumerate(terms)}
+    four, five = first_letters(terms)
 
     def matrix(batches):
         for batch in batches:
-            found = [np.sort(np.array([number[t] for t in terms_of(restored_words(v.as_py() or "", decoder)) & number.keys()], "<i4")).tobytes()
+            found = [np.sort(np.array([number[t] for t in known_terms(restored_words(v.as_py() or "", decoder), number, four, five)], "<i4")).tobytes()
                      for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_y"), pa.array(found, pa.binary())], ["id", "y", "x"])
     # in a fixed order, so that reruns add up alike
@@ -308,13 +346,14 @@ def score(docs: DataFrame, terms: dict[str, float], decoder: Decoder, id_col: st
     base = terms.get("", 0.0)
     terms = {t: w for t, w in terms.items() if t}
     index = word_index(t for t, w in terms.items() if w > 0 and not t.endswith("~"))
+    four, five = first_letters(terms)
 
     def work(batches):
         for batch in batches:
             scores, hits = [], []
             for value in batch.column(1):
                 text = value.as_py()
-                found = terms_of(restored_words(text, decoder, index)) & terms.keys() if text else ()
+                found = known_terms(restored_words(text, decoder, index), terms, four, five) if text else ()
                 odds = base + math.fsum(terms[t] for t in found)
                 scores.append(round(1 / (1 + math.exp(-max(-40.0, odds))), 6) if found else BASE)
                 n = len(found)
