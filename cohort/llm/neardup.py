@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from . import textnum as tn
 from .common import SHINGLE, Scratch
 from .components import components
+from .sieve import bitmap, in_bitmap
 
 COORDS = 64
 TREES = 6
@@ -213,11 +214,26 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, t
                 sets.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(sums, np.uint64).astype(np.int64)),
                                               pa.array(sets, pa.binary())], ["id", "s1", "set"])
-    ids = wanted.select(F.col("id").alias("_id")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ids = F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    rows = rows.join(ids, F.col("id") == F.col("_id")).select("id", "text")
-    return rows.mapInArrow(work, "id long, s1 long, set binary").join(wanted, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
+    if n_wanted <= BROADCAST_IDS:
+        ids = F.broadcast(wanted.select(F.col("id").alias("_id")).distinct())
+        rows = rows.join(ids, F.col("id") == F.col("_id")).select("id", "text")
+    else:
+        # texts never travel: a bitmap of the wanted ids drops most others where they are read, the join below the rest
+        sieve = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("id")))
+
+        def sift(batches):
+            for batch in batches:
+                known = in_bitmap(sieve.value, batch.column("h").to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(known)).select(["id", "text"])
+        rows = rows.select("id", "text", F.xxhash64("id").alias("h"))
+        both = lambda batches: work(sift(batches))
+        return _only(rows.mapInArrow(both, "id long, s1 long, set binary"), wanted)
+    return _only(rows.mapInArrow(work, "id long, s1 long, set binary"), wanted)
+
+
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    return sets.join(wanted, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +346,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min_by(F.struct("id", "s1", "comp"), F.xxhash64("path", "id", "s1")).alias("pivot"))
         sizes = scratch.write(sizes.where("c > 1 and lo < hi"), "sizes")
-        big = sizes.where(F.col("c") > leaf)
+        # a table of its own: its size then says that the joins below need not exchange all rows of the level
+        big = scratch.write(sizes.where(F.col("c") > leaf), "big")
         any_big = big.limit(1).count() > 0
         small = with_comp(rows.join(sizes.where(F.col("c") <= leaf).select("path"), "path")).join(slim, ["id", "s1"])
         small = scratch.write(_promising(small, coords, floor, percent), "promising")
