@@ -14,14 +14,16 @@ form of Christiani, Pagh and Sivertsen's recursive join).
 3. Nodes of at most ``leaf`` documents are compared exhaustively inside a task. In a larger node
    every document is compared with one pivot; verified links are contracted to components, and
    nodes that still hold more than one component branch again. What is in large nodes of the
-   last level is compared by prefix blocks, which part no pair: of two sets of similarity
+   last level, or of any level once it is ``direct`` documents or less, is compared by prefix
+   blocks, which part no pair: of two sets of similarity
    0.75 or more, the rarest ``n - ceil(0.75 n) + 1`` shingles of each (in one order for all)
    have one in common, so a block per such shingle holds every pair. A block of more than
    ``leaf`` documents is compared in pieces, each pair of pieces in a task. So the miss does not
    grow with depth: at most 1e-6 for a pair of similarity 0.75, and less above.
 4. Candidates whose tokens agree in at least ``floor`` of the coordinates (0.75 expected, 4.6
    deviations less by default, about 3e-6 of such pairs) are verified on the full shingle sets. A pair that earlier links
-   already join needs no check, since the result is components.
+   already join needs no check, since the result is components, and of the nodes of the first
+   level that hold a pair only the first small one checks it.
 
 Only signatures and links travel through the trees; shingle sets are computed from the texts
 of candidate documents only. Nothing is collected; each step is written to the shared folder.
@@ -51,6 +53,8 @@ TREES = 6
 FANOUT = 2
 LEVELS = 3
 LEAF = 1024
+DIRECT = 50_000               #: documents that prefix blocks take without further levels
+PATIENCE = 4
 PREFIX_BUCKETS = 1 << 18      #: of shingle counts that order the prefixes; fewer only make blocks larger
 FLOOR = 0.5
 PERCENT = 75
@@ -89,6 +93,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, _SIG)
 
 
+def _child_paths(path: np.ndarray, sig: np.ndarray, coords: int, fanout: int) -> list[np.ndarray]:
+    """Paths of the ``fanout`` children of each row's node; different coordinates for the picks of one node."""
+    picks, part, rows, out = tn.mix(path ^ np.uint64(0xD6E8FEB86659FD93)), np.uint64(coords // fanout), np.arange(len(path)), []
+    for f in range(fanout):
+        pick = ((picks >> np.uint64(8 * f)) + np.uint64(f) * part) % part + np.uint64(f) * part
+        token = sig[rows, pick.astype(np.int64)].astype(np.uint64)
+        out.append(tn.mix(tn.mix(path + np.uint64(f + 1)) ^ tn.mix(token + (pick << np.uint64(32)))).view(np.int64))
+    return out
+
+
+def _first_nodes(sig: np.ndarray, trees: int, coords: int, fanout: int) -> np.ndarray:
+    """Paths of each row's nodes of the first level, a column per tree and pick."""
+    return np.stack([p for t in range(trees) for p in _child_paths(np.full(len(sig), t, np.uint64), sig, coords, fanout)], axis=1)
+
+
 def _children(nodes: DataFrame, coords: int, fanout: int) -> DataFrame:
     """Rows (path, id, s1, sig) of nodes to rows (path, id, s1) of their children."""
     def work(batches):
@@ -96,19 +115,11 @@ def _children(nodes: DataFrame, coords: int, fanout: int) -> DataFrame:
             path = batch.column("path").to_numpy().view(np.uint64) if batch.num_rows else np.zeros(0, np.uint64)
             if not len(path):
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, coords)
-            picks = tn.mix(path ^ np.uint64(0xD6E8FEB86659FD93))
-            paths, rows = [], np.arange(len(path))
-            for f in range(fanout):
-                # different coordinates for the picks of one node
-                pick = ((picks >> np.uint64(8 * f)) + np.uint64(f * (coords // fanout))) % np.uint64(coords // fanout) \
-                    + np.uint64(f * (coords // fanout))
-                token = sig[rows, pick.astype(np.int64)].astype(np.uint64)
-                paths.append(tn.mix(tn.mix(path + np.uint64(f + 1)) ^ tn.mix(token + (pick << np.uint64(32)))).view(np.int64))
+            paths = _child_paths(path, _matrix(batch.column("sig"), coords), coords, fanout)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(paths)), pa.concat_arrays([batch.column("id")] * fanout),
                 pa.concat_arrays([batch.column("s1")] * fanout)], ["path", "id", "s1"])
-    return nodes.select("path", "id", "s1", "sig").mapInArrow(work, "path long, id long, s1 long").distinct()
+    return nodes.select("path", "id", "s1", "sig").mapInArrow(work, "path long, id long, s1 long")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, coords: int) -> np.ndarray:
@@ -133,61 +144,115 @@ def _groups(batches, key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
         yield rest, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
 
 
-def _promising(members: DataFrame, coords: int, floor: float, percent: int) -> DataFrame:
-    """Members (path, id, s1, n, comp, sig) of small nodes that may be similar to a member of another component there."""
+def _promising(members: DataFrame, coords: int, floor: float, percent: int, first: tuple | None = None) -> DataFrame:
+    """Members (path, id, s1, n, comp, sig) of small nodes that may be similar to a member of another component there.
+
+    With ``first`` (see ``_near``) their ``slot`` says which of a row's nodes of the first level it is."""
     def work(batches):
         for table, bounds in _groups(batches, "path"):
             sig, comp, n = _matrix(table.column("sig"), coords), table.column("comp").to_numpy(), table.column("n").to_numpy()
-            keep = np.zeros(table.num_rows, bool)
+            keep, slot = np.zeros(table.num_rows, bool), np.full(table.num_rows, -1, np.int32)
+            nodes = None
+            if first is not None:
+                nodes = _first_nodes(sig, first[0], coords, first[1])
+                slot = (nodes == table.column("path").to_numpy()[:, None]).argmax(axis=1).astype(np.int32)
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                keep[lo:hi] = _near(sig[lo:hi], comp[lo:hi], n[lo:hi], floor, percent).any(axis=1)
+                before = None if first is None else _earlier(nodes[lo:hi], slot[lo], first[2].value)
+                keep[lo:hi] = _near(sig[lo:hi], comp[lo:hi], n[lo:hi], floor, percent, before).any(axis=1)
+            table = table.append_column("slot", pa.array(slot))
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-    schema = "path long, id long, s1 long, n long, comp long, sig binary"
+    schema = "path long, id long, s1 long, n long, comp long, sig binary, slot int"
     return members.select("path", "id", "s1", "n", "comp", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(work, schema)
 
 
-def _near(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, floor: float, percent: int) -> np.ndarray:
-    """Which pairs of a node lie in different components, fit in size and agree in enough coordinates."""
+def _earlier(nodes: np.ndarray, slot: int, large: np.ndarray) -> np.ndarray:
+    """Which pairs of a node's rows meet in an earlier small node too: they are compared there."""
+    out = np.zeros((len(nodes), len(nodes)), bool)
+    for j in range(slot):
+        small = ~np.isin(nodes[:, j], large) if len(large) else np.ones(len(nodes), bool)
+        out |= (nodes[:, None, j] == nodes[None, :, j]) & small[:, None]
+    return out
+
+
+def _near(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, floor: float, percent: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of a node lie in different components, fit in size, agree in enough coordinates and were not met ``before``."""
     same = np.zeros((len(sig), len(sig)), np.int16)
     for j in range(sig.shape[1]):
         same += sig[:, j, None] == sig[None, :, j]
     fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    return np.where(fits & (comp[:, None] != comp[None, :]) & (same >= floor * sig.shape[1]), same, 0)
-
-
-def _links_in_nodes(members: DataFrame, sets: DataFrame, coords: int, floor: float, percent: int) -> DataFrame:
-    """Links ``u, v`` found by comparing full sets across the components of each small node.
-
-    The most alike pairs come first; a pair that links found before already join is not checked.
-    """
+    fits &= (comp[:, None] != comp[None, :]) & (same >= floor * sig.shape[1])
+    return np.where(fits if before is None else fits & ~before, same, 0)
+
+
+def _shared(own: list[np.ndarray], some: np.ndarray, slab: int = 2048) -> np.ndarray:
+    """Intersection sizes of the sets numbered ``some`` with all other sets, by products of their incidence matrices."""
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    col, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)[1:]
+    often = often > 1                             # a shingle of one set is in no intersection
+    row, col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(some), len(own)), np.float32)
+    for lo in range(0, int(often.sum()), slab):
+        a, b = np.searchsorted(col, [lo, lo + slab])
+        x = np.zeros((len(own), slab), np.float32)
+        x[row[a:b], col[a:b] - lo] = 1
+        out += x[some] @ x.T
+    return out
+
+
+def _links(own: list[np.ndarray], comp: np.ndarray, same: np.ndarray, percent: int, patience: int = PATIENCE) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join the components of a node; the most alike of the pairs that ``same`` rates come first,
+    and a pair that links found before already join is not checked.
+
+    Once more than ``patience`` checks a set have failed, the rest is checked by matrix products."""
+    x, y = np.nonzero(same)
+    order = np.argsort(-same[x, y], kind="stable")
+    x, y, label, found, failed = x[order], y[order], np.unique(comp, return_inverse=True)[1], [], 0
+
+    def join(i: int, j: int) -> None:
+        label[label == label[j]] = label[i]
+        found.append((i, j))
+    for at, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        if label[i] != label[j]:
+            both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+            if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+                join(i, j)
+            elif (failed := failed + 1) > patience * len(own):
+                break
+    else:
+        return found
+    apart = label[x] != label[y]
+    x, y = x[apart], y[apart]
+    some = label != np.bincount(label).argmax()   # of two sets in different components one is not in the largest
+    x, y = np.where(some[x], x, y), np.where(some[x], y, x)
+    both = _shared(own, np.flatnonzero(some))[(np.cumsum(some) - 1)[x], y].astype(np.int64)
+    size = np.array([len(s) for s in own])
+    ok = 100 * both >= percent * (size[x] + size[y] - both)
+    for i, j in zip(x[ok].tolist(), y[ok].tolist()):
+        if label[i] != label[j]:
+            join(i, j)
+    return found
+
+
+def _links_in_nodes(members: DataFrame, sets: DataFrame, coords: int, floor: float, percent: int, first: tuple | None = None) -> DataFrame:
+    """Links ``u, v`` found by comparing full sets across the components of each small node."""
     def work(batches):
         for table, bounds in _groups(batches, "path"):
             sig, comp, n = _matrix(table.column("sig"), coords), table.column("comp").to_numpy(), table.column("n").to_numpy()
-            ids, full = table.column("id").to_numpy(), table.column("set")
+            ids, full, slot = table.column("id").to_numpy(), table.column("set"), table.column("slot").to_numpy()
+            nodes = None if first is None else _first_nodes(sig, first[0], coords, first[1])
             us, vs = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                same = np.triu(_near(sig[lo:hi], comp[lo:hi], n[lo:hi], floor, percent))
-                x, y = np.nonzero(same)
-                if not len(x):
-                    continue
-                order = np.argsort(-same[x, y], kind="stable")
-                root = {}
-
-                def find(c):
-                    while root.get(c, c) != c:
-                        c = root[c]
-                    return c
-                own = [np.frombuffer(full[int(i)].as_py(), "<u8") for i in range(lo, hi)]
-                for i, j in zip(x[order], y[order]):
-                    p, q = find(comp[lo + i]), find(comp[lo + j])
-                    if p != q:
-                        both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                        if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
-                            root[max(p, q)] = min(p, q)
-                            us.append(ids[lo + i])
-                            vs.append(ids[lo + j])
+                before = None if first is None else _earlier(nodes[lo:hi], slot[lo], first[2].value)
+                same = np.triu(_near(sig[lo:hi], comp[lo:hi], n[lo:hi], floor, percent, before))
+                if same.any():
+                    own = [np.frombuffer(full[i].as_py(), "<u8") for i in range(int(lo), int(hi))]
+                    for i, j in _links(own, comp[lo:hi], same, percent):
+                        us.append(ids[lo + i])
+                        vs.append(ids[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-    rows = members.join(sets, ["id", "s1"]).select("path", "id", "n", "comp", "sig", "set")
+    rows = members.join(sets, ["id", "s1"]).select("path", "id", "n", "comp", "sig", "slot", "set")
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(work, "u long, v long")
 
 
@@ -255,7 +320,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int = PREFIX_BUCKETS) -> DataFrame:
-    """Rows (path, id, s1): a path for each of the rarest shingles of a set that a similar set must share one of."""
+    """Rows (path, id, s1): a path for each of the rarest shingles of a set that a similar set must share one of.
+
+    A shingle that counts once is in no other set and makes no row."""
     def count(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
@@ -275,9 +342,10 @@ def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int
             for x in batch.column("set"):
                 s = np.frombuffer(x.as_py(), "<u8")
                 size = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, often.value[(s % np.uint64(buckets)).astype(np.int64)]))
-                paths.append(s[order[:size]])
-                rows.append(min(size, len(s)))
+                held = often.value[(s % np.uint64(buckets)).astype(np.int64)]
+                order = np.lexsort((s, held))[:size]
+                paths.append(s[order[held[order] > 1]])
+                rows.append(len(paths[-1]))
             at = pa.array(np.repeat(np.arange(batch.num_rows), rows).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.uint64).view(np.int64)),
                                               batch.column("id").take(at), batch.column("s1").take(at)], ["path", "id", "s1"])
@@ -285,17 +353,19 @@ def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int
 
 
 def _in_pieces(rows: DataFrame, leaf: int) -> DataFrame:
-    """Blocks (path, id, s1) of more than ``leaf`` documents as one node per pair of pieces, so that every pair meets in a small node."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1")
-    rows = rows.join(sizes, "path").select("path", "id", "s1", F.ceil(F.col("c") / leaf).cast("int").alias("k"))
+    """Blocks (path, id, s1, comp) of more than one component. One of more than ``leaf`` documents becomes one node per pair of
+    pieces, so that every pair meets in a small node."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = rows.join(sizes.select("path", "c"), "path").withColumn("k", F.ceil(F.col("c") / leaf).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", "s1"), F.col("k")))
-    rows = rows.select("path", "id", "s1", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.select("path", "id", "s1", "comp", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     path = F.when(F.col("k") == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
-    return rows.select(path.alias("path"), "id", "s1")
+    return rows.select(path.alias("path"), "id", "s1", "comp")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, coords: int = COORDS,
-                      fanout: int = FANOUT, levels: int = LEVELS, leaf: int = LEAF, floor: float = FLOOR, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+                      fanout: int = FANOUT, levels: int = LEVELS, leaf: int = LEAF, floor: float = FLOOR, percent: int = PERCENT, k: int = SHINGLE,
+                      direct: int = DIRECT) -> DataFrame:
     """``id, n, component`` for every input row."""
     scratch = Scratch(docs.sparkSession, "neardup")
     sig = scratch.write(signatures(docs, id_col, text_col, coords, k), "signatures")
@@ -346,35 +416,42 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min_by(F.struct("id", "s1", "comp"), F.xxhash64("path", "id", "s1")).alias("pivot"))
         sizes = scratch.write(sizes.where("c > 1 and lo < hi"), "sizes")
-        # a table of its own: its size then says that the joins below need not exchange all rows of the level
+        # a table of its own: its size then says that the join below need not exchange all rows of the level
         big = scratch.write(sizes.where(F.col("c") > leaf), "big")
         any_big = big.limit(1).count() > 0
+        first = None
+        if level == 0:
+            # a pair is compared in the first small node that holds both; of ``leaf`` documents at most ``trees * fanout`` nodes are large
+            large = np.array([r[0] for r in big.select("path").collect()], np.int64)
+            first = (trees, fanout, docs.sparkSession.sparkContext.broadcast(large))
         small = with_comp(rows.join(sizes.where(F.col("c") <= leaf).select("path"), "path")).join(slim, ["id", "s1"])
-        small = scratch.write(_promising(small, coords, floor, percent), "promising")
+        small = scratch.write(_promising(small, coords, floor, percent, first), "promising")
         need = small.select("id", "s1")
         star = None
         if any_big:
             # each member of a large node against the node's pivot, unless links found before join them
-            pairs = with_comp(rows).join(big.select("path", "pivot"), "path").where(F.col("pivot.comp") != F.col("comp")).select(
+            inside = scratch.write(rows.join(big.select("path", "pivot"), "path"), "inside")
+            pairs = with_comp(inside).where(F.col("pivot.comp") != F.col("comp")).select(
                 F.col("pivot.id").alias("a"), F.col("pivot.s1").alias("a1"), F.col("id").alias("b"), F.col("s1").alias("b1"))
             star = scratch.write(_agreeing(pairs.distinct(), reps, coords, floor), "star")
             need = need.union(star.select("b", "b1")).union(star.select("a", "a1"))
         load_sets(need)
-        first = [] if star is None else [_verified(star, sets, percent)]
+        links = [] if star is None else [_verified(star, sets, percent)]
         if level == 0:
-            # a sixth of the nodes first; what they join needs no second look
-            first.append(_links_in_nodes(small.where(F.pmod("path", F.lit(trees)) == 0), sets, coords, floor, percent))
-        add_links(*first)
+            # the first tree's nodes first; what they join needs no second look
+            links.append(_links_in_nodes(small.where(F.col("slot") < fanout), sets, coords, floor, percent, first))
+            small = small.where(F.col("slot") >= fanout)
+        add_links(*links)
         small = mixed(small.drop("comp")) if comp is not None else small
-        add_links(_links_in_nodes(small, sets, coords, floor, percent))
+        add_links(_links_in_nodes(small, sets, coords, floor, percent, first))
         if not any_big:
             break
-        rows = mixed(rows.join(big.select("path"), "path")).select("path", "id", "s1")
-        if level == levels - 1:
-            members = scratch.write(rows.select("id", "s1").distinct(), "members")
+        rows = mixed(inside).select("path", "id", "s1")
+        members = scratch.write(rows.select("id", "s1").distinct(), "members")
+        if level == levels - 1 or members.count() <= direct:
             load_sets(members)
-            blocks = mixed(_prefix_rows(members, sets, percent)).select("path", "id", "s1")
-            blocks = with_comp(_in_pieces(scratch.write(blocks, "blocks"), leaf)).join(slim, ["id", "s1"])
+            blocks = scratch.write(with_comp(_prefix_rows(members, sets, percent)), "blocks")
+            blocks = _in_pieces(blocks, leaf).join(slim, ["id", "s1"])
             add_links(_links_in_nodes(scratch.write(_promising(blocks, coords, floor, percent), "promising"), sets, coords, floor, percent))
             break
         rows, level = _children(rows.join(slim.drop("n"), ["id", "s1"]), coords, fanout), level + 1
