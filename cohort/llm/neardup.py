@@ -56,6 +56,7 @@ LEAF = 1024
 DIRECT = 50_000               #: documents that prefix blocks take without further levels
 PATIENCE = 4
 PREFIX_BUCKETS = 1 << 18      #: of shingle counts that order the prefixes; fewer only make blocks larger
+PREFIX_BITS = 21              #: of the bitmap of prefix shingles of more than one component; fewer only make more rows
 FLOOR = 0.5
 PERCENT = 75
 BROADCAST_IDS = 20_000
@@ -319,37 +320,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "sa", "sb").mapInArrow(work, "u long, v long")
 
 
-def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int = PREFIX_BUCKETS) -> DataFrame:
-    """Rows (path, id, s1): a path for each of the rarest shingles of a set that a similar set must share one of.
+def _prefix_rows(members: DataFrame, sets: DataFrame, percent: int, buckets: int = PREFIX_BUCKETS, bits: int = PREFIX_BITS) -> DataFrame:
+    """Rows (path, id, s1, comp): a path for each of the rarest shingles of a set that a similar set must share one of.
+
+    A shingle whose bucket holds one set, or rare shingles of one component only, is in no pair to compare and makes no row."""
+    def bucket(s: np.ndarray) -> np.ndarray:
+        return (s % np.uint64(buckets)).astype(np.int64)
 
-    A shingle that counts once is in no other set and makes no row."""
     def count(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for x in batch.column("set"):
-                np.add.at(total, (np.frombuffer(x.as_py(), "<u8") % np.uint64(buckets)).astype(np.int64), 1)
+                np.add.at(total, bucket(np.frombuffer(x.as_py(), "<u8")), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "c"])
-    own = sets.join(members, ["id", "s1"], "left_semi")
+    own = sets.join(members.select("id", "s1", "comp"), ["id", "s1"])
     often = np.zeros(buckets, np.int64)
     for r in own.select("set").mapInArrow(count, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
         often[r["b"]] = r["c"]
     often = members.sparkSession.sparkContext.broadcast(often)
 
+    def rarest(x: pa.Scalar) -> np.ndarray:
+        s = np.frombuffer(x.as_py(), "<u8")
+        held = often.value[bucket(s)]
+        order = np.lexsort((s, held))[:len(s) - -(-percent * len(s) // 100) + 1]
+        return s[order[held[order] > 1]]
+
+    def ends(batches):
+        least, most = np.full(1 << bits, np.iinfo(np.int64).max), np.full(1 << bits, np.iinfo(np.int64).min)
+        for batch in batches:
+            for x, c in zip(batch.column("set"), batch.column("comp").to_pylist()):
+                at = (rarest(x) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                least[at], most[at] = np.minimum(least[at], c), np.maximum(most[at], c)
+        at = np.flatnonzero(least <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at]), pa.array(most[at])], ["b", "lo", "hi"])
+    found = own.select("set", "comp").mapInArrow(ends, "b long, lo long, hi long").groupBy("b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    several = members.sparkSession.sparkContext.broadcast(bitmap(found.where("lo < hi"), F.col("b"), bits))
+
     def prefix(batches):
         for batch in batches:
             paths, rows = [np.zeros(0, np.uint64)], []
             for x in batch.column("set"):
-                s = np.frombuffer(x.as_py(), "<u8")
-                size = len(s) - -(-percent * len(s) // 100) + 1
-                held = often.value[(s % np.uint64(buckets)).astype(np.int64)]
-                order = np.lexsort((s, held))[:size]
-                paths.append(s[order[held[order] > 1]])
+                s = rarest(x)
+                paths.append(s[in_bitmap(several.value, s, bits)])
                 rows.append(len(paths[-1]))
             at = pa.array(np.repeat(np.arange(batch.num_rows), rows).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.uint64).view(np.int64)),
-                                              batch.column("id").take(at), batch.column("s1").take(at)], ["path", "id", "s1"])
-    return own.select("id", "s1", "set").mapInArrow(prefix, "path long, id long, s1 long")
+                                              *[batch.column(c).take(at) for c in ("id", "s1", "comp")]], ["path", "id", "s1", "comp"])
+    return own.select("id", "s1", "comp", "set").mapInArrow(prefix, "path long, id long, s1 long, comp long")
 
 
 def _in_pieces(rows: DataFrame, leaf: int) -> DataFrame:
@@ -450,7 +468,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         members = scratch.write(rows.select("id", "s1").distinct(), "members")
         if level == levels - 1 or members.count() <= direct:
             load_sets(members)
-            blocks = scratch.write(with_comp(_prefix_rows(members, sets, percent)), "blocks")
+            blocks = scratch.write(_prefix_rows(with_comp(members), sets, percent), "blocks")
             blocks = _in_pieces(blocks, leaf).join(slim, ["id", "s1"])
             add_links(_links_in_nodes(scratch.write(_promising(blocks, coords, floor, percent), "promising"), sets, coords, floor, percent))
             break
